@@ -95,7 +95,9 @@ def annotated_line(text: Column, fault: Column, signal: Column) -> Column:
 def size_display(size: Column) -> Column:
     """Bytes as '4.0 MB'; null for negative or missing sizes."""
     def scaled(unit: float, suffix: str) -> Column:
-        return F.concat(F.format_string("%.1f", size / F.lit(unit)), F.lit(f" {suffix}"))
+        # This format rounds halves to even.
+        shown = F.call_function("format_number", size / F.lit(unit), F.lit("0.0"))
+        return F.concat(shown, F.lit(f" {suffix}"))
 
     return (
         F.when(size < 0, None)

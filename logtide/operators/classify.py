@@ -183,10 +183,11 @@ def vote_signal(labelled: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("votes"), F.min("file_name").alias("since"),
         F.min_by(first_fault(F.col("fault_categories")), "file_name").alias("fault"),
     )
-    rank = F.struct((-F.col("votes")).alias("v"), F.col("since").alias("s"))
+    name = F.col("golden_signal").alias("g")
+    rank = F.struct((-F.col("votes")).alias("v"), F.col("since").alias("s"), name)
     return votes.groupBy("template_id").agg(
         F.min_by("golden_signal", rank).alias("golden_signal"),
-        F.min_by("fault", "since").alias("fault_category"),
+        F.min_by("fault", F.struct("since", name)).alias("fault_category"),
     )
 
 

@@ -88,7 +88,7 @@ def signal_timeline(labelled: DataFrame) -> DataFrame:
 def timeline_documents(timeline: DataFrame) -> DataFrame:
     """Nested form, one row per file (about a hundred bins each)."""
     bins = timeline.groupBy("file_name", "bin_seconds", "bin_name", "bin_idx", "bin_start", "label").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("signal", "count")))).alias("counts")
+        F.sort_array(F.collect_list(F.struct("signal", "count"))).alias("counts")
     )
     entry = F.struct("bin_idx", F.col("bin_start").alias("start"), "label", "counts")
     return bins.groupBy("file_name", "bin_seconds", "bin_name").agg(

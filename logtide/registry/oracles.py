@@ -1 +1,470 @@
-ORACLES = {}
+"""The queries' results in SQL over the supplied tables."""
+
+from __future__ import annotations
+
+from logtide.operators.classify import SIGNAL_WORDS
+
+ORACLES: dict[str, str] = {}
+
+# --- functions, as SQL text -----------------------------------------------------
+
+
+def fold(x: str) -> str:
+    ascii_only = rf"regexp_replace({x}, '[^\x00-\x7F]', '', 'g')"
+    return rf"regexp_replace({ascii_only}, '[ \t\x0B\f\r\x1c-\x1f]+', ' ', 'g')"
+
+
+def clean(x: str) -> str:
+    for pattern, to in (
+        (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "IPADDRESS"), (r"https?://\S+|www\.\S+", "URL"),
+        ("[^a-zA-Z0-9]", " "), (r"\d+", ""), ("([a-z])([A-Z])", r"\1 \2"),
+        ("([A-Z])([A-Z][a-z])", r"\1 \2"), (" +", " "),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"lower(trim({x}))"
+
+
+def digits(x: str) -> str:
+    return f"length(regexp_replace({x}, '[^0-9]', '', 'g'))"
+
+
+def letters(x: str) -> str:
+    return f"length(regexp_replace({x}, '[^a-zA-Z]', '', 'g'))"
+
+
+def tokens(x: str) -> str:
+    return f"len(string_split({x}, ' '))"
+
+
+def mask(x: str) -> str:
+    for pattern, to in (
+        (r"\b(([0-9a-f]{2,}:){3,}([0-9a-f]{2,}))\b", "<:ID:>"),
+        (r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", "<:IP:>"),
+        (r"\b([0-9a-f]{6,} ?){3,}\b", "<:SEQ:>"), (r"\b([0-9A-F]{4} ?){4,}\b", "<:SEQ:>"),
+        (r"\b(0x[a-f0-9A-F]+)\b", "<:HEX:>"), (r"\b([\-\+]?\d+)\b", "<:NUM:>"),
+        ('(executed cmd )(".+?")', r"\1<:CMD:>"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+def scores(x: str, words: dict[str, list[str]]) -> tuple[str, str]:
+    """(label, score) of the rule classifier."""
+    hits = {k: "(" + " + ".join(f"contains({x}, '{w}')::INT" for w in v) + ")" for k, v in words.items()}
+    most = f"greatest({', '.join(hits.values())})"
+    total = " + ".join(hits.values())
+    label = "CASE " + " ".join(f"WHEN {h} = {most} THEN '{k}'" for k, h in hits.items()) + " END"
+    return label, f"CASE WHEN {total} = 0 THEN 0.0 ELSE {most} / ({total}) END"
+
+
+def utc(x: str) -> str:
+    return f"strftime(make_timestamp(CAST(floor({x}) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
+
+
+def us(x: str) -> str:
+    return f"CAST(round(({x}) * 1000000) AS BIGINT)"
+
+
+# --- inputs -----------------------------------------------------------------------
+
+MESSAGE = """CASE event_type WHEN 'click' THEN 'request served from cache'
+ WHEN 'view' THEN 'response slow, latency above target'
+ WHEN 'purchase' THEN 'session started for user' WHEN 'signup' THEN 'disk full on storage volume'
+ WHEN 'error' THEN 'connection failed with exception' END"""
+KIND = "(list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type))"
+SIGNAL = """CASE event_type WHEN 'click' THEN 'traffic' WHEN 'view' THEN 'latency'
+ WHEN 'purchase' THEN 'information' WHEN 'signup' THEN 'saturation' WHEN 'error' THEN 'error' END"""
+FAULTS = """CASE event_type WHEN 'click' THEN 'application' WHEN 'view' THEN 'io'
+ WHEN 'purchase' THEN 'other' WHEN 'signup' THEN 'io' WHEN 'error' THEN 'network,application' END"""
+MOMENT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+FILE = "'app-' || (user_id % 8) || '.log'"
+
+WITH_LINES = f"""WITH ev AS (SELECT *, {FILE} AS file_name, {MOMENT} AS ts_text,
+  {MOMENT} || ' [' || event_type || '] app[' || user_id || ']: ' || {MESSAGE} || ' value=' ||
+  CAST(value AS DECIMAL(18,2)) || ' props ' || props AS line FROM events),
+event_lines AS (SELECT file_name, event_id * 4 AS line_seq, line AS value, event_type, 0 AS pos FROM ev
+  UNION ALL SELECT file_name, event_id * 4 + 1, '  at frame ' || (event_id % 7), event_type, 1 FROM ev WHERE event_type = 'error'
+  UNION ALL SELECT file_name, event_id * 4 + 2, 'caused by code ' || (user_id % 13), event_type, 2 FROM ev WHERE event_type = 'error'),
+document_lines AS (SELECT source || '.txt' AS file_name, doc_id * 100000 + i - 1 AS line_seq, parts[i] AS value
+  FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)))
+"""
+WITH_LABELLED = f"""WITH lab AS (SELECT event_id, {FILE} AS file_name, epoch_us(ts) / 1e6 AS epoch,
+  {MESSAGE} || ' by ' || user_id AS text, {MESSAGE} AS clean_text,
+  {KIND} * 1000 + user_id % 40 AS template_id, {MESSAGE} || ' by <*>' AS template, user_id, event_type,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text, {SIGNAL} AS golden_signal, {FAULTS} AS faults,
+  split_part({FAULTS}, ',', 1) AS fault FROM events)
+"""
+
+# --- sources ------------------------------------------------------------------------
+
+ORACLES["line_scan"] = WITH_LINES + "SELECT file_name, value FROM event_lines"
+ORACLES["file_stats"] = WITH_LINES + r"""SELECT file_name, count(*) AS num_lines,
+ count(*) FILTER (WHERE regexp_replace(value, '\s+', '', 'g') = '') AS num_blank FROM document_lines GROUP BY 1"""
+ORACLES["input_stats"] = WITH_LINES + """SELECT sum(strlen(value) + 1) AS total_size_bytes,
+ count(*) AS num_log_lines_total, 0 AS num_log_lines_whitespaces FROM event_lines"""
+_SUFFIXES = "['.log', '.txt', '.log.1', '.log2', '.txt.-3', '.csv', '.xml.bak', '.tsv', '']"
+ORACLES["file_selection"] = f"""SELECT 'f' || page_id || suffix AS name,
+ suffix IN ('.log', '.txt', '.log.1', '.log2', '.txt.-3') AS processed,
+ suffix NOT IN ('.csv', '.xml.bak', '.tsv') AS by_name
+ FROM (SELECT page_id, {_SUFFIXES}[page_id % 9 + 1] AS suffix FROM pages)"""
+ORACLES["json_split"] = "SELECT event_id AS line_seq, event_id % 5 IN (0, 1) AS is_json FROM events"
+_JSON_TEXT = "event_type || ' by user ' || user_id"
+ORACLES["json_flatten"] = f"""
+SELECT event_id AS line_seq, 'time' AS key, {MOMENT} AS value FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT event_id, 'message', {_JSON_TEXT} FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT event_id, 'props_k', json_extract_string(props, '$.k') FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT event_id, 'meta_time', CAST((epoch_us(ts) // 1000) AS VARCHAR) FROM events WHERE event_id % 5 = 1
+UNION ALL SELECT event_id, 'body_message', {_JSON_TEXT} FROM events WHERE event_id % 5 = 1
+UNION ALL SELECT event_id, 'body_deep_user', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 5 = 1"""
+ORACLES["json_records"] = f"""SELECT event_id AS line_seq,
+ CASE WHEN event_id % 5 = 0 THEN epoch_us(ts) ELSE (epoch_us(ts) // 1000) * 1000 END AS epoch_us, t AS text,
+ {clean('t')} AS clean_text, {digits('t')} AS digit_count, {digits('t')} + {letters('t')} + 1 AS char_count,
+ {tokens('t')} AS token_count FROM (SELECT *, {_JSON_TEXT} AS t FROM events) WHERE event_id % 5 IN (0, 1)"""
+ORACLES["json_discarded"] = f"""SELECT event_id AS line_seq, '  {{"meta": {{"time": ' || (epoch_us(ts) // 1000) ||
+ '}}, "body": {{"message": "' || {_JSON_TEXT} || '", "deep": {{"user": ' || user_id || '}}}}}}' AS value
+ FROM events WHERE event_id % 5 = 1"""
+ORACLES["unquoted_csv"] = WITH_LABELLED + rf"SELECT template_id, text || chr(10) || '\end' AS text, {us('epoch')} AS epoch_us FROM lab"
+ORACLES["json_time"] = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (epoch_us(ts) // 1000) * 1000
+ ELSE epoch_us(ts) END AS epoch_us FROM events"""
+
+# --- scalar functions -----------------------------------------------------------------
+
+ORACLES["ascii_fold"] = WITH_LINES + f"SELECT file_name, line_seq, {fold('value')} AS folded FROM document_lines"
+ORACLES["clean_text"] = WITH_LINES + f"SELECT file_name, line_seq, {clean(fold('value'))} AS clean_text FROM document_lines"
+ORACLES["char_counts"] = WITH_LINES + f"""SELECT file_name, line_seq, {digits('t')} AS digits,
+ {letters('t')} AS letters, {tokens('t')} AS tokens FROM (SELECT *, {fold('value')} AS t FROM document_lines)"""
+
+_ORDERS = "(SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS t FROM orders)"
+
+
+def _order(name: str, text: str, moment: str = "epoch_us(t)", valid: str = "true") -> None:
+    ORACLES[name] = f"""SELECT o_orderkey AS line_seq, CASE WHEN {valid} THEN {text} END AS ts_text,
+ CASE WHEN {valid} THEN {moment} END AS epoch_us FROM {_ORDERS}"""
+
+
+_CLOCK = "(epoch_us(t) - epoch_us(date_trunc('day', t)))"
+_order("ts_iso", "strftime(t, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'")
+_order("ts_space", "strftime(t, '%Y-%m-%d %H:%M:%S') || ',250'", "epoch_us(t) + 250000")
+_order("ts_us", "strftime(t, '%m/%d/%y %H:%M:%S')")
+_order("ts_us_year", "strftime(t, '%-m/%-d/%Y, %-H:%-M:%-S') || ' AM'")
+_order("ts_day_first", "strftime(t, '%d.%m.%Y %H:%M:%S')")
+_order("ts_apache", "strftime(t, '%d/%b/%Y:%H:%M:%S')")
+_order(
+    "ts_syslog", "strftime(t, '%b %d %H:%M:%S')",
+    f"epoch_us(make_timestamp(1900, month(t), CASE WHEN month(t) = 2 THEN least(day(t), 28) ELSE day(t) END, 0, 0, 0)) + {_CLOCK}",
+    "NOT (month(t) = 2 AND day(t) = 29)",
+)
+_order("ts_weekday", "'Mon ' || strftime(t, '%b %d %H:%M:%S %Y')")
+_order("ts_dashed", "strftime(t, '%Y-%m-%d-%H.%M.%S.%f')")
+_order("ts_packed", "strftime(t, '%Y%m%dT%H%M%S') || '.125UTC'", "epoch_us(t) + 125000")
+_order("ts_clock", "strftime(t, '%H:%M:%S') || ',500'", f"epoch_us(TIMESTAMP '1900-01-01') + {_CLOCK} + 500000")
+_order("ts_hex", "lower(printf('%x', CAST(epoch(t) AS BIGINT)))")
+_order("ts_zone", "strftime(t, '%Y-%m-%d %H:%M:%S') || ' JST'", "epoch_us(t) - 32400000000")
+_order("ts_offset", "strftime(t, '%Y-%m-%d %H:%M:%S') || '+0530'", "epoch_us(t) - 19800000000")
+_order(
+    "ts_day_of_year", "'20' || strftime(t, '%y%j %H:%M:%S') || '.5'",
+    f"epoch_us(make_timestamp(2000 + year(t) % 100, 1, 1, 0, 0, 0)) + (dayofyear(t) - 1) * 86400000000 + {_CLOCK} + 500000",
+)
+_order(
+    "ts_epoch", "CAST(CAST(epoch(t) AS BIGINT) + 600000000 AS VARCHAR)", "epoch_us(t) + 600000000000000",
+    "epoch(t) + 600000000 BETWEEN 1420070400 AND 1464739200",
+)
+_order("ts_source_zone", "strftime(t, '%Y/%m/%d-%H:%M:%S')", "epoch_us(t) - 32400000000")
+_order("ts_loose", "strftime(t, '%Y-%m-%d %H:%M:%S')", valid=f"{_CLOCK} > 0")
+ORACLES["ts_pattern_hits"] = "SELECT 2 AS pattern_index, count(*) AS hits FROM events"
+
+ORACLES["display_values"] = WITH_LABELLED + f"""SELECT event_id AS id, {utc('epoch')} AS utc,
+ {utc('epoch + 19800')} AS "local", CASE WHEN b >= 1e9 THEN printf('%.1f GB', b / 1e9)
+ WHEN b >= 1e6 THEN printf('%.1f MB', b / 1e6) WHEN b >= 1e3 THEN printf('%.1f KB', b / 1e3) ELSE b || ' B' END AS size,
+ format('{{:,}}', b) AS "grouped", CASE WHEN event_id = 0 THEN 0 ELSE round(log10(event_id + 1), 2) END AS scaled,
+ file_name AS base, text || '&#13;&#10;next => Fault-Categories: ' || fault || ' => Golden-Signal: ' || golden_signal AS line
+ FROM (SELECT *, event_id * 977 AS b FROM lab)"""
+ORACLES["text_preview"] = """SELECT doc_id, CASE WHEN length(text) < 500 THEN text
+ ELSE substring(text, 1, 400) || '...' END AS preview, replace(text, chr(10), '</br>') AS breaks FROM documents"""
+ORACLES["escape_tags"] = r"""SELECT page_id, array_to_string(list_transform(
+ regexp_extract_all(regexp_replace(regexp_replace(html, '(?i)</?script>', '', 'g'), '(<br\s*/?>\s*)+', '<br>', 'g'),
+ '<[^>]+>|[^<]+|<'), lambda p: CASE WHEN lower(p) IN ('<br>', '<br/>', '</br>') THEN p
+ ELSE replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END), '') AS escaped FROM pages"""
+ORACLES["strip_tags"] = "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS stripped FROM pages"
+ORACLES["bracket_tokens"] = WITH_LINES + """SELECT line_seq,
+ CASE pos WHEN 0 THEN event_type || '|app' ELSE '' END AS tokens FROM event_lines"""
+ORACLES["distinct_tokens"] = "SELECT DISTINCT event_type AS token FROM events UNION SELECT 'app'"
+
+# --- records ----------------------------------------------------------------------------
+
+
+def _counts(x: str, ts: str) -> str:
+    rest = f"replace({x}, {ts}, '')"
+    return (
+        f"{digits(rest)} AS digit_count, {digits(rest)} + {letters(rest)} + 1 AS char_count,"
+        f" {tokens(x)} AS token_count"
+    )
+
+
+WITH_RECORDS = WITH_LINES + f""", parsed AS (SELECT l.file_name, l.line_seq // 4 * 4 AS head, l.pos, t AS text,
+  {clean('t')} AS clean_text, {_counts('t', 'ev.ts_text')}, epoch_us(ev.ts) AS epoch_us, ev.ts_text
+  FROM (SELECT *, {fold('value')} AS t FROM event_lines) l JOIN ev ON ev.event_id = l.line_seq // 4),
+recs AS (SELECT file_name, head AS line_seq, any_value(epoch_us) AS epoch_us, any_value(ts_text) AS ts_text,
+  string_agg(text, chr(10) ORDER BY pos) AS text, string_agg(clean_text, chr(10) ORDER BY pos) AS clean_text,
+  CAST(sum(digit_count) AS BIGINT) AS digit_count, CAST(sum(char_count) AS BIGINT) AS char_count,
+  CAST(sum(token_count) AS BIGINT) AS token_count FROM parsed GROUP BY 1, 2),
+docs AS (SELECT file_name, line_seq, t AS text, {digits('t')} AS digit_count,
+  {digits('t')} + {letters('t')} + 1 AS char_count, {tokens('t')} AS token_count
+  FROM (SELECT *, {fold('value')} AS t FROM document_lines))
+"""
+ORACLES["segment_records"] = WITH_RECORDS + "SELECT * FROM recs"
+ORACLES["untimed_lines"] = WITH_RECORDS + "SELECT * FROM docs"
+ORACLES["numeric_ratio"] = WITH_RECORDS + "SELECT file_name, line_seq FROM recs WHERE digit_count / char_count < 0.3"
+ORACLES["time_range"] = WITH_LABELLED + """SELECT event_id FROM lab
+ WHERE epoch >= (SELECT max(epoch) FROM lab) - 7 * 86400"""
+ORACLES["interval_filter"] = """SELECT event_id FROM events
+ WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-13'"""
+_DOC_STATS = f"""WITH d AS (SELECT doc_id, text, {tokens('text')} AS n FROM documents),
+ s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd, count(*) AS c FROM d) """
+ORACLES["corpus_stats"] = _DOC_STATS + """SELECT c AS num_records, round(m, 6) AS mean_tokens,
+ round(sd, 6) AS sd_tokens, (SELECT min(doc_id) FROM d) * 1.0 AS min_epoch, (SELECT max(doc_id) FROM d) * 1.0 AS max_epoch FROM s"""
+ORACLES["truncate_long"] = _DOC_STATS + """SELECT doc_id, CASE WHEN n > floor(m + 2 * sd)
+ THEN substring(text, 1, CAST(floor(m + 2 * sd) AS INT)) ELSE text END AS truncated_log,
+ round((n - m) / sd, 6) AS z_score FROM d, s"""
+ORACLES["truncation_count"] = _DOC_STATS + "SELECT count(*) AS num_truncated FROM d, s WHERE (n - m) / sd > 2"
+WITH_BUILT = WITH_RECORDS + """, kept AS (SELECT * FROM recs WHERE digit_count / char_count < 0.65),
+ built AS (SELECT file_name, line_seq, epoch_us, ts_text, text, token_count, 0 AS section FROM kept
+  UNION ALL SELECT file_name, line_seq, m, strftime(make_timestamp(m), '%Y-%m-%d %H:%M:%S'), text, token_count, 2
+  FROM docs, (SELECT max(epoch_us) AS m FROM kept)),
+ bound AS (SELECT CAST(floor(avg(token_count) + 2 * stddev_samp(token_count)) AS INT) AS b FROM built)
+"""
+ORACLES["build_records"] = WITH_BUILT + """SELECT file_name, line_seq, epoch_us, ts_text,
+ CASE WHEN token_count > b THEN substring(text, 1, b) ELSE text END AS truncated_log FROM built, bound"""
+
+# --- templates ----------------------------------------------------------------------------
+
+ORACLES["mask_variables"] = WITH_LINES + f"""SELECT file_name, line_seq, {mask(fold('value'))} AS masked FROM
+ (SELECT file_name, line_seq, value FROM event_lines UNION ALL SELECT file_name, line_seq, value FROM document_lines)"""
+ORACLES["exact_templates"] = WITH_LINES + rf"""SELECT trim(regexp_replace({mask(fold('value'))}, '[_\s]+', ' ', 'g')) AS template,
+ count(*) AS occurrences FROM document_lines GROUP BY 1"""
+ORACLES["extract_variables"] = WITH_LABELLED + """SELECT event_id, CASE WHEN template_id % 2 = 0
+ THEN w[1] || '|' || w[2] || '|' || array_to_string(w[4:], ' ') ELSE CAST(user_id AS VARCHAR) END AS variables,
+ CASE WHEN template_id % 2 = 0 THEN 3 ELSE 1 END AS var_count
+ FROM (SELECT *, string_split(text, ' ') AS w FROM lab)"""
+_STAMP = "<:NUM:><:NUM:><:NUM:> <:NUM:>:<:NUM:>:<:NUM:>.<:NUM:>"
+_TAIL = 'value=<:NUM:>.<:NUM:> props {"k": <:NUM:>}'
+# In the event logs two pairs of event types share a token count and enough of
+# their tokens to fall together.
+WITH_MINED = WITH_BUILT + f""", mined AS (SELECT built.*, ev.event_type, ev.event_id, CASE
+  WHEN event_type IN ('click', 'purchase') THEN '{_STAMP} ' || CASE WHEN both_a THEN '<*> app[<:NUM:>]: <*> <*> <*> <*>'
+    ELSE '[' || event_type || '] app[<:NUM:>]: ' || {MESSAGE} END || ' {_TAIL}'
+  WHEN event_type IN ('view', 'signup') THEN '{_STAMP} ' || CASE WHEN both_b THEN '<*> app[<:NUM:>]: <*> <*> <*> <*> <*>'
+    ELSE '[' || event_type || '] app[<:NUM:>]: ' || {MESSAGE} END || ' {_TAIL}'
+  ELSE '{_STAMP} [error] app[<:NUM:>]: connection failed with exception {_TAIL} at frame <:NUM:> caused by code <:NUM:>'
+  END AS template FROM (SELECT * FROM built WHERE section = 0) built JOIN ev ON ev.event_id = built.line_seq // 4,
+  (SELECT count(DISTINCT event_type) FILTER (WHERE event_type IN ('click', 'purchase')) = 2 AS both_a,
+          count(DISTINCT event_type) FILTER (WHERE event_type IN ('view', 'signup')) = 2 AS both_b FROM events)),
+ tmpl AS (SELECT template, count(*) AS occurrences, row_number() OVER (ORDER BY min((file_name, line_seq))) AS template_id
+  FROM mined GROUP BY template)
+"""
+ORACLES["event_templates"] = WITH_MINED + "SELECT template_id, template, occurrences FROM tmpl"
+ORACLES["event_template_rows"] = WITH_MINED + """SELECT file_name, line_seq, template_id, template,
+ CASE WHEN template LIKE '%> <*> app%' THEN to_json([
+   split_part(text, ' ', 3), split_part(text, ' ', 5), split_part(text, ' ', 6), split_part(text, ' ', 7), split_part(text, ' ', 8)]
+   || CASE WHEN event_type IN ('view', 'signup') THEN [split_part(text, ' ', 9)] ELSE [] END)
+ ELSE '[]' END AS variables FROM mined JOIN tmpl USING (template)"""
+ORACLES["template_summary"] = WITH_MINED + f""", s AS (SELECT template_id, file_name,
+  first(text ORDER BY line_seq) AS text, first({SIGNAL} ORDER BY line_seq) AS golden_signal, count(*) AS d_tid_count
+  FROM mined JOIN tmpl USING (template) GROUP BY 1, 2)
+ SELECT template_id, file_name, replace(text, chr(10), '</br>') AS text, golden_signal, d_tid_count,
+ round(d_tid_count / (SELECT count(*) FROM mined) * 100, 4) AS coverage FROM s"""
+
+# --- tags and labels --------------------------------------------------------------------------
+
+_TAG = """CASE WHEN pos = 0 AND event_type = 'error' THEN 'Error' WHEN pos = 0 AND event_type = 'signup' THEN 'Storage'
+ WHEN pos = 0 AND event_type IN ('click', 'view') THEN 'Web' ELSE 'Other' END"""
+ORACLES["match_tag"] = WITH_LINES + f"SELECT line_seq, {_TAG} AS tag FROM event_lines"
+ORACLES["component_tags"] = WITH_LINES + f"""SELECT line_seq, length(value) % 50 AS template_id,
+ first({_TAG}) OVER (PARTITION BY length(value) % 50 ORDER BY file_name, line_seq) AS component FROM event_lines"""
+WITH_REPS = WITH_LABELLED + """, reps AS (SELECT template_id, file_name, count(*) AS n, arg_min(text, event_id) AS text,
+  arg_min(ts_text, event_id) AS ts_text, arg_min(clean_text, event_id) AS rep_text, any_value(golden_signal) AS golden_signal,
+  any_value(faults) AS faults, any_value(fault) AS fault FROM lab GROUP BY 1, 2)
+"""
+ORACLES["representatives"] = WITH_REPS + "SELECT template_id, file_name, n, text, ts_text, rep_text FROM reps"
+_label, _score = scores("t", SIGNAL_WORDS)
+ORACLES["classify_rules"] = WITH_LINES + f"""SELECT file_name, line_seq, {_label} AS label, round({_score}, 6) AS score
+ FROM (SELECT *, lower({fold('value')}) AS t FROM document_lines)"""
+ORACLES["classify_callable"] = WITH_REPS + """SELECT template_id, file_name,
+ CASE WHEN length(rep_text) % 2 = 1 THEN 'latency' ELSE 'error' END AS label,
+ CASE WHEN length(rep_text) % 2 = 1 THEN 0.75 ELSE 0.625 END AS score FROM reps"""
+ORACLES["fault_categories"] = WITH_REPS + "SELECT template_id, file_name, golden_signal, 1.0 AS score, faults FROM reps"
+ORACLES["signal_spread"] = WITH_LABELLED + """SELECT event_id,
+ CASE WHEN template_id % 3 <> 0 THEN golden_signal ELSE 'info' END AS golden_signal,
+ CASE WHEN template_id % 3 <> 0 AND golden_signal <> 'information' THEN template_id END AS error_tid,
+ CASE WHEN template_id % 3 <> 0 THEN faults ELSE 'other' END AS faults FROM lab"""
+ORACLES["non_info"] = WITH_LABELLED + "SELECT event_id, golden_signal FROM lab WHERE golden_signal <> 'information'"
+ORACLES["weighted_vote"] = """SELECT template_id, label, round(m, 6) AS mean_score, votes FROM
+ (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY m DESC, votes DESC, label) AS r FROM
+ (SELECT user_id % 40 AS template_id, event_type AS label, avg(floor(value)) AS m, count(*) AS votes
+  FROM events GROUP BY 1, 2)) WHERE r = 1"""
+ORACLES["template_signal_vote"] = WITH_REPS + """, v AS (SELECT template_id % 5 AS template_id, golden_signal,
+  count(*) AS votes, min(file_name) AS since, any_value(fault) AS fault FROM reps
+  WHERE template_id % 7 <> template_id // 1000 GROUP BY 1, 2)
+ SELECT template_id, first(golden_signal ORDER BY votes DESC, since, golden_signal) AS golden_signal,
+ first(fault ORDER BY since, golden_signal) AS fault_category FROM v GROUP BY 1"""
+ORACLES["signal_distribution"] = WITH_LABELLED + "SELECT golden_signal, count(*) AS occurrences FROM lab GROUP BY 1"
+
+# --- windows --------------------------------------------------------------------------------------
+
+
+def _with_windows(seconds: int) -> str:
+    return WITH_LABELLED + f""", items AS (SELECT *, CAST(floor(epoch / {seconds}) AS BIGINT) AS win FROM lab),
+ w AS (SELECT win, first(epoch ORDER BY file_name, event_id) AS epoch, count(*) AS n,
+  bool_and(golden_signal = 'information') AS all_info, list_sort(list(DISTINCT template_id)) AS tids,
+  list_sort(coalesce(list(DISTINCT template_id) FILTER (WHERE golden_signal <> 'information'), [])) AS error_tids
+  FROM items GROUP BY win),
+ sets AS (SELECT error_tids, min(win) AS since FROM w WHERE NOT all_info GROUP BY 1),
+ roots AS (SELECT a.error_tids, first(b.since ORDER BY len(b.error_tids) DESC, b.since) AS root_id,
+  first(b.error_tids ORDER BY len(b.error_tids) DESC, b.since) AS root_tids
+  FROM sets a JOIN sets b ON list_has_all(b.error_tids, a.error_tids) GROUP BY 1),
+ merged AS (SELECT root_id, min(epoch) AS start_epoch, max(epoch) + {seconds} AS end_epoch, count(*) AS num_windows,
+  CAST(sum(n) AS BIGINT) AS n, any_value(root_tids) AS error_tids
+  FROM w JOIN roots USING (error_tids) WHERE NOT all_info GROUP BY 1)
+"""
+
+
+_W = _with_windows(1800)
+ORACLES["tumbling_windows"] = _W + f"""SELECT win, {us('epoch')} AS epoch_us, n, all_info,
+ array_to_string(tids, ' ') AS tids, array_to_string(error_tids, ' ') AS error_tids FROM w"""
+ORACLES["normal_windows"] = _W + f"""SELECT win, {utc('epoch')} AS start_ts, {utc('epoch + 1800')} AS end_ts, n,
+ array_to_string(tids, ' ') AS tids FROM w WHERE all_info"""
+ORACLES["window_counts"] = _W + """SELECT count(*) FILTER (WHERE all_info) AS normal_windows,
+ count(*) FILTER (WHERE NOT all_info) AS anomalous_windows FROM w"""
+ORACLES["merge_windows"] = _W + "SELECT win, root_id FROM w JOIN roots USING (error_tids) WHERE NOT all_info"
+ORACLES["anomalies"] = _W + f"""SELECT root_id, {utc('start_epoch')} AS start_ts, {utc('end_epoch')} AS end_ts,
+ num_windows, n, array_to_string(error_tids, ' ') AS error_tids, 'Anomaly' AS list_result FROM merged"""
+_ITEMS = _with_windows(30) + """, placed AS (SELECT i.*, r.root_id, m.start_epoch, m.end_epoch,
+  i.text || ' => Fault-Categories: ' || i.fault || ' => Golden-Signal: ' || i.golden_signal AS text_output
+  FROM items i JOIN w USING (win) JOIN roots r ON r.error_tids = w.error_tids JOIN merged m USING (root_id)
+  WHERE NOT w.all_info)
+"""
+ORACLES["anomaly_items"] = _ITEMS + f"""SELECT event_id, win, root_id, text_output, {us('start_epoch')} AS start_us,
+ {us('end_epoch')} AS end_us FROM placed"""
+ORACLES["anomaly_documents"] = _ITEMS + f"""SELECT root_id, {utc('start_epoch')} || ' -- ' || {utc('end_epoch')} AS duration,
+ text_output AS logs, file_name AS files, golden_signal AS gs, template_id AS "templateIds" FROM placed"""
+
+
+def _preview(unique: bool, coloured: bool, count: int | None) -> str:
+    sql = WITH_LABELLED + """, items AS (SELECT *, CAST(floor(epoch / 21600) AS BIGINT) AS win,
+  golden_signal IN ('latency', 'error', 'availability', 'saturation', 'traffic') AS c FROM lab),
+ shown AS (SELECT *, row_number() OVER (PARTITION BY win, template_id, c ORDER BY file_name, event_id) AS turn FROM items),
+ chosen AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY file_name, event_id) AS place FROM shown WHERE true"""
+    # In this data a template has one signal, so uncoloured ones never use up.
+    sql += " AND c" if coloured else ""
+    sql += " AND (turn = 1 OR NOT c)" if unique else ""
+    limit = f" WHERE place <= {count}" if count else ""
+    return sql + f") SELECT win, event_id, template_id, text FROM chosen{limit}"
+
+
+ORACLES["window_preview"] = _preview(True, True, 5)
+ORACLES["window_preview_signals"] = _preview(False, True, 5)
+ORACLES["window_preview_unique"] = _preview(True, False, 5)
+ORACLES["window_preview_all"] = _preview(True, True, None)
+
+# --- summary, timeline ----------------------------------------------------------------------------
+
+WITH_SUMMARY = WITH_REPS + """, summ AS (SELECT template_id, file_name, text, golden_signal AS gs, n AS d_tid_count,
+  round(n / (SELECT count(*) FROM lab) * 100, 4) AS coverage FROM reps)
+"""
+ORACLES["summary_table"] = WITH_SUMMARY + "SELECT * FROM summ"
+ORACLES["summary_filter"] = WITH_SUMMARY + "SELECT * FROM summ WHERE gs = 'latency' AND file_name = 'app-3.log'"
+ORACLES["stat_cards"] = WITH_SUMMARY + """SELECT count(*) AS total, count(*) FILTER (WHERE gs = 'error') AS errors,
+ count(*) FILTER (WHERE gs = 'latency') AS latency, count(*) FILTER (WHERE gs = 'information') AS information FROM summ"""
+ORACLES["file_choices"] = WITH_LABELLED + "SELECT DISTINCT file_name, file_name AS base FROM lab"
+ORACLES["analysis_result"] = WITH_REPS + """SELECT template_id, text AS log_line,
+ CASE WHEN template_id % 4 <> 0 THEN golden_signal ELSE 'info' END AS golden_signal,
+ CASE WHEN template_id % 4 <> 0 THEN fault ELSE 'other' END AS fault_category, n AS occurrences, file_name FROM reps"""
+ORACLES["analysis_totals"] = WITH_LABELLED + """SELECT count(*) AS total_log_lines,
+ count(DISTINCT template_id) AS templates_found, count(DISTINCT file_name) AS files FROM lab"""
+_BIN = "CASE WHEN span <= 3000 THEN 30 " + " ".join(
+    f"WHEN ceil(span / {c}) <= 100 THEN {c}" for c in (60, 300, 900, 1800, 3600, 21600, 86400)
+) + " ELSE CAST(ceil(span / 100 / 3600) * 3600 AS BIGINT) END"
+_BIN_NAME = "CASE b " + " ".join(
+    f"WHEN {k} THEN '{v}'" for k, v in {
+        30: "30 sec", 60: "1 min", 300: "5 min", 900: "15 min", 1800: "30 min", 3600: "1 hour", 21600: "6 hours", 86400: "1 day",
+    }.items()
+) + " ELSE (b // 3600) || ' hours' END"
+WITH_TIMELINE = WITH_LABELLED + f""", f AS (SELECT file_name, m, {_BIN} AS b, span, sigs FROM
+  (SELECT file_name, min(epoch) AS m, max(epoch) - min(epoch) AS span, list(DISTINCT golden_signal) AS sigs FROM lab GROUP BY 1)),
+ grid AS (SELECT file_name, m, b, bin_idx, unnest(sigs) AS signal FROM
+  (SELECT *, unnest(range(0, CAST(floor(span / b) AS BIGINT) + 1)) AS bin_idx FROM f)),
+ cnt AS (SELECT file_name, CAST(floor((epoch - m) / b) AS BIGINT) AS bin_idx, golden_signal AS signal, count(*) AS c
+  FROM lab JOIN f USING (file_name) GROUP BY 1, 2, 3),
+ tl AS (SELECT file_name, b AS bin_seconds, {_BIN_NAME} AS bin_name, bin_idx, m + bin_idx * b AS start, signal, coalesce(c, 0) AS count
+  FROM grid LEFT JOIN cnt USING (file_name, bin_idx, signal))
+"""
+ORACLES["signal_timeline"] = WITH_TIMELINE + f"""SELECT file_name, bin_seconds, bin_name, bin_idx, {us('start')} AS bin_start,
+ CASE WHEN bin_seconds >= 86400 THEN strftime(make_timestamp({us('start')}), '%Y-%m-%d')
+  WHEN bin_seconds >= 3600 THEN strftime(make_timestamp({us('start')}), '%Y-%m-%d %H:%M')
+  ELSE strftime(make_timestamp({us('start')}), '%m-%d %H:%M') END AS label, signal, count,
+ round(log10(count + 1), 2) AS scaled FROM tl"""
+ORACLES["timeline_documents"] = WITH_TIMELINE + """SELECT file_name, bin_seconds, count(DISTINCT bin_idx) AS bins,
+ CAST(sum(count) AS BIGINT) AS records FROM tl GROUP BY 1, 2"""
+ORACLES["temporal_evolution"] = WITH_LABELLED + f""", x AS (SELECT * FROM lab WHERE golden_signal <> 'information'),
+ s AS (SELECT min(epoch) AS m, greatest(floor((max(epoch) - min(epoch)) / 30), 1) AS width FROM x),
+ y AS (SELECT golden_signal, CAST(floor((epoch - m) / width) AS BIGINT) AS bin_idx, m, width FROM x, s)
+ SELECT bin_idx, {us('any_value(m) + bin_idx * any_value(width)')} AS start_epoch, """ + ", ".join(
+    f"count(*) FILTER (WHERE golden_signal = '{s}') AS {s}" for s in ("error", "availability", "latency", "saturation", "traffic")
+) + " FROM y GROUP BY bin_idx"
+
+# --- causality --------------------------------------------------------------------------------------
+
+WITH_SERIES = WITH_LABELLED + """, x AS (SELECT template_id, epoch FROM lab WHERE golden_signal <> 'information'),
+ s0 AS (SELECT min(epoch) AS mn, max(epoch) AS mx, (max(epoch) - min(epoch)) / 1000 AS step FROM x),
+ s AS (SELECT *, greatest(floor(step), 1) AS stride, step * 5 AS width,
+  CAST(floor((mx - mn - step * 5) / greatest(floor(step), 1)) AS BIGINT) AS last FROM s0),
+ r AS (SELECT template_id, last, greatest(CAST(floor((epoch - mn - width) / stride) AS BIGINT) + 1, 0) AS low,
+  least(CAST(floor((epoch - mn) / stride) AS BIGINT), last) AS high FROM x, s),
+ c AS (SELECT template_id, last, k, count(*) AS c FROM
+  (SELECT template_id, last, unnest(range(low, high + 1)) AS k FROM r WHERE low <= high) GROUP BY 1, 2, 3),
+ kept AS (SELECT template_id, any_value(last) AS last FROM c GROUP BY 1
+  HAVING count(DISTINCT c) + CASE WHEN count(*) < any_value(last) + 1 THEN 1 ELSE 0 END > 3)
+"""
+ORACLES["template_series"] = WITH_SERIES + "SELECT template_id, k, c AS count FROM c JOIN kept USING (template_id)"
+ORACLES["series_diff"] = WITH_SERIES + """, grid AS (SELECT template_id, unnest(range(0, last + 1)) AS k FROM kept),
+ v AS (SELECT grid.template_id, grid.k, coalesce(c.c, 0) AS c FROM grid LEFT JOIN c ON c.template_id = grid.template_id AND c.k = grid.k),
+ d AS (SELECT template_id, k, lead(c) OVER (PARTITION BY template_id ORDER BY k) - c AS diff FROM v)
+ SELECT template_id, k, diff FROM d WHERE diff <> 0"""
+
+# --- store and explorer -------------------------------------------------------------------------------
+
+WITH_STORE = WITH_REPS + """, st AS (SELECT template_id, any_value(template) AS template, 1 AS var_count,
+  any_value(golden_signal) AS golden_signal, any_value(fault) AS fault_category, count(*) AS occurrence_count,
+  'Web' AS component, first(text ORDER BY file_name, event_id) AS rep_log, count(DISTINCT file_name) AS file_count FROM lab GROUP BY 1)
+"""
+ORACLES["log_store_templates"] = WITH_STORE + """SELECT st.*, CASE WHEN file_count <= 4 THEN f.m END AS file_sources FROM st JOIN
+ (SELECT template_id, string_agg(file_name || '=' || n, ',' ORDER BY file_name) AS m FROM reps GROUP BY 1) f USING (template_id)"""
+ORACLES["template_files"] = WITH_REPS + "SELECT template_id, file_name AS file_source, n FROM reps"
+ORACLES["log_store_entries"] = WITH_LABELLED + """SELECT template_id, CAST(floor(epoch) AS BIGINT) AS timestamp,
+ '["' || user_id || '"]' AS variables, file_name AS file_source, text AS original_text,
+ row_number() OVER (ORDER BY file_name, event_id) - 1 AS entry_id FROM lab"""
+ORACLES["log_store_day"] = WITH_LABELLED + """SELECT template_id, count(*) AS n, CAST(floor(max(epoch)) AS BIGINT) AS latest
+ FROM lab WHERE ts_text LIKE '2024-01-10%' GROUP BY 1"""
+ORACLES["store_totals"] = WITH_LABELLED + "SELECT count(DISTINCT template_id) AS total_templates, count(*) AS total_entries FROM lab"
+ORACLES["explore_facets"] = WITH_LABELLED + """SELECT 'golden_signal' AS facet, golden_signal AS value, count(*) AS n FROM lab GROUP BY 2
+ UNION ALL SELECT 'file_source', file_name, count(*) FROM lab GROUP BY 2
+ UNION ALL SELECT 'fault_category', fault, count(*) FROM lab GROUP BY 2"""
+_ENTRY = "template_id, CAST(floor(epoch) AS BIGINT) AS timestamp, file_name AS file_source, text AS original_text"
+ORACLES["explore_search"] = WITH_LABELLED + f"""SELECT {_ENTRY} FROM lab WHERE text LIKE '%latency%'
+ AND golden_signal = 'latency' AND file_name IN ('app-1.log', 'app-2.log')"""
+ORACLES["explore_variable"] = WITH_LABELLED + f"SELECT {_ENTRY} FROM lab WHERE template_id = 2017 AND user_id = 17"
+ORACLES["explore_templates"] = WITH_STORE + """SELECT template_id, template, occurrence_count FROM st
+ WHERE template LIKE '%disk%' AND golden_signal = 'saturation'"""
+ORACLES["explore_page"] = WITH_LABELLED + f"""SELECT event_id AS entry_id, {_ENTRY} FROM lab
+ WHERE floor(epoch) <= epoch(TIMESTAMP '2024-01-20') ORDER BY floor(epoch) DESC, file_name, event_id LIMIT 100"""
+ORACLES["matched_interval"] = WITH_LABELLED + """SELECT event_id AS row_id, test_ids, train_ids, text AS truncated_text,
+ '%Y-%m-%d %H:%M:%S' AS format FROM lab JOIN (SELECT text, min(event_id) AS test_ids FROM lab GROUP BY 1) USING (text)
+ JOIN (SELECT text, max(event_id) AS train_ids FROM lab WHERE event_id % 2 = 0 GROUP BY 1) USING (text)
+ WHERE epoch BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-15')"""
+ORACLES["matcher_files"] = WITH_LABELLED + """SELECT text AS truncated_text, min(template_id) AS test_ids FROM lab GROUP BY 1"""
+ORACLES["chunk_by_bytes"] = WITH_LINES + "SELECT count(*) AS rows, true AS bounded FROM document_lines"
+ORACLES["report_size"] = WITH_LINES + "SELECT count(*) AS no_of_windows FROM document_lines"
+ORACLES["run_metrics"] = WITH_LINES + r"""SELECT 'num_log_lines_total' AS name, count(*) * 1.0 AS value FROM document_lines
+ UNION ALL SELECT 'num_log_lines_whitespaces', count(*) FILTER (WHERE regexp_replace(value, '\s+', '', 'g') = '') * 1.0 FROM document_lines
+ UNION ALL SELECT 'num_log_lines_processed', count(*) * 2.0 FROM events"""

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logtide.plans.common import join_by_key
 
 
 def read_unquoted_csv(
-    spark: SparkSession, path: str, schema: str, columns: list[str] | None = None
+    spark: SparkSession, path: str, schema: str, columns: list[str] | None = None,
+    header: bool = False,
 ) -> DataFrame:
-    """CSV written without quotes, special characters escaped by a backslash."""
-    df = (
-        spark.read.schema(schema).option("header", "true").option("quote", "")
-        .option("escape", "\\").csv(path)
+    """CSV without quotes, one record per line, special characters escaped by a
+    backslash (``\\n`` for a newline). The CSV reader takes escapes inside quotes
+    only, so the fields are cut here."""
+    fields = T.StructType.fromDDL(schema).fields
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.where(F.col("value") != ",".join(f.name for f in fields))
+    cut = F.regexp_extract_all(
+        F.concat("value", F.lit(",")), F.lit(r"((?:[^\\,]|\\.)*+),"), F.lit(1)
     )
+
+    def plain(field):
+        for pattern, to in ((r"\\\\", "\x01"), (r"\\n", "\n"), (r"\\r", "\r"), (r"\\(.)", "$1"), ("\x01", r"\\")):
+            field = F.regexp_replace(field, pattern, to)
+        return field
+
+    df = lines.withColumn("f", cut).select(*[
+        plain(F.get("f", F.lit(i))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)
+    ])
     return df.select(*columns) if columns else df
 
 

@@ -31,10 +31,13 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_unquoted_csv(df: DataFrame, path: str) -> None:
-    """CSV without quotes; backslash, comma and newline are escaped."""
+    """CSV without quotes, one record per line: backslash, comma and line ends
+    are escaped by a backslash."""
     def escaped(name: str):
-        text = F.col(name).cast("string")
-        return F.regexp_replace(text, r"([\\,\n\r])", r"\\$1").alias(name)
+        text = F.regexp_replace(F.col(name), r"([\\,])", r"\\$1")
+        for char, letter in (("\n", "n"), ("\r", "r")):
+            text = F.regexp_replace(text, char, rf"\\{letter}")
+        return text
 
     columns = [escaped(c) if t == "string" else F.col(c).cast("string") for c, t in df.dtypes]
     lines = df.select(F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in columns]).alias("value"))
@@ -44,8 +47,8 @@ def write_unquoted_csv(df: DataFrame, path: str) -> None:
 def write_debug(
     path: str, untimed: DataFrame, discarded: DataFrame, records: DataFrame, templated: DataFrame
 ) -> None:
-    """Lines without time, refused JSON, processed rows, and lines per template
-    as one row per line in a folder per template."""
+    """Lines without time, refused JSON, processed rows, and the lines of each
+    template as rows, so that no template's lines have to fit one value."""
     untimed.select("text").write.mode("overwrite").text(f"{path}/none_logs")
     discarded.select("value").write.mode("overwrite").text(f"{path}/json_discarded")
     write_unquoted_csv(records.drop("record_id"), f"{path}/processed_logs")
@@ -72,7 +75,8 @@ def chunk_by_bytes(df: DataFrame, order: list[str], limit: int = CHUNK_BYTES) ->
 
 def chunk_sizes(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("part", "chunk").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("bytes")
+        F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("bytes"),
+        F.max("row_bytes").alias("largest_row"),
     )
 
 
