@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from logtide.functions.bind import bind
 from logtide.plans.common import join_by_key
 
 # The labels, in the classifier's order, and how they are used.
@@ -46,20 +47,25 @@ def is_info(signal: Column) -> Column:
 
 def rule_scores(text: Column, words: dict[str, list[str]]) -> Column:
     """Scored labels, best first: share of all word hits; no hit gives the first label."""
-    def hits(terms: list[str]) -> Column:
-        return sum((F.contains(text, F.lit(t)).cast("int") for t in terms), F.lit(0))
-
-    counted = [F.struct(hits(terms).alias("n"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
-               for i, (label, terms) in enumerate(words.items())]
-    ranked = F.sort_array(F.array(*counted), asc=False)
-    total = F.aggregate(ranked, F.lit(0), lambda acc, x: acc + x["n"])
-    return F.transform(
-        ranked,
-        lambda x: F.struct(
-            x["label"].alias("label"),
-            F.when(total > 0, x["n"] / F.greatest(total, F.lit(1))).otherwise(F.lit(0.0)).alias("score"),
-        ),
-    )
+    def counted(t: Column) -> Column:
+        return F.sort_array(F.array(*[
+            F.struct(
+                F.size(F.filter(F.array(*map(F.lit, terms)), lambda w: F.contains(t, w))).alias("n"),
+                F.lit(-i).alias("rank"), F.lit(label).alias("label"),
+            )
+            for i, (label, terms) in enumerate(words.items())
+        ]), asc=False)
+
+    def scored(ranked: Column) -> Column:
+        total = F.aggregate(ranked, F.lit(0), lambda acc, x: acc + x["n"])
+        return bind(total, lambda n: F.transform(
+            ranked,
+            lambda x: F.struct(
+                x["label"].alias("label"), (x["n"] / F.greatest(n, F.lit(1))).alias("score")
+            ),
+        ))
+
+    return bind(text, lambda t: bind(counted(t), scored))
 
 
 def classify_rules(
