@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logtide.functions.masking import var_count
 from logtide.operators.classify import vote_signal
-from logtide.plans.common import dense_id
+from logtide.plans.common import dense_id, materialize
 
 REQUIRED = {"template_id", "template", "variables", "epoch", "file_name"}
 MAX_FILE_MAP = 1000  # files a template's embedded count map may name
@@ -29,28 +29,35 @@ def template_table(
     records: DataFrame, labelled_reps: DataFrame, max_file_map: int = MAX_FILE_MAP
 ) -> DataFrame:
     """One row per template. ``file_sources`` is embedded for templates of up to
-    ``max_file_map`` files and null beyond; ``template_files`` has all counts."""
+    ``max_file_map`` files and null beyond; ``template_files`` has all counts.
+
+    Records are read once, reduced to one row per template and file.
+    """
     check_columns(records)
     has_component = "component" in records.columns
-    stats = records.groupBy("template_id").agg(
-        F.min_by("template", "record_id").alias("template"),
-        F.count(F.lit(1)).alias("occurrence_count"),
-        (F.min_by("component", "record_id") if has_component else F.lit(None).cast("string")).alias("component"),
-        F.min(F.when(F.col("text") != "", F.struct("record_id", "text"))).alias("rep"),
+    component = F.col("component") if has_component else F.lit(None).cast("string")
+    per_file = materialize(
+        records.groupBy("template_id", "file_name").agg(
+            F.min(F.struct("record_id", "template", component.alias("component"))).alias("first"),
+            F.min(F.when(F.col("text") != "", F.struct("record_id", "text"))).alias("rep"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "template-files",
+    )
+    stats = per_file.groupBy("template_id").agg(
+        F.min("first").alias("first"), F.min("rep").alias("rep"),
+        F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"),
     )
-    files = template_files(records)
-    breadth = files.groupBy("template_id").agg(F.count(F.lit(1)).alias("file_count"))
-    narrow = breadth.where(F.col("file_count") <= max_file_map).select("template_id")
-    maps = files.join(narrow, "template_id").groupBy("template_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_source", "n")))).alias("file_sources")
+    narrow = stats.where(F.col("file_count") <= max_file_map).select("template_id")
+    maps = per_file.join(narrow, "template_id").groupBy("template_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_name", "n")))).alias("file_sources")
     )
     return (
-        stats.join(breadth, "template_id")
-        .join(maps, "template_id", "left")
+        stats.join(maps, "template_id", "left")
         .join(vote_signal(labelled_reps), "template_id", "left")
         .select(
-            "template_id", "template", var_count(F.col("template")).alias("var_count"),
-            "golden_signal", "fault_category", "occurrence_count", "component",
+            "template_id", "first.template", var_count(F.col("first.template")).alias("var_count"),
+            "golden_signal", "fault_category", "occurrence_count", "first.component",
             F.coalesce("rep.text", F.lit("")).alias("rep_log"), "file_count", "file_sources",
         )
     )

@@ -12,18 +12,25 @@ from logtide.operators.classify import (
 
 def template_summary(labelled: DataFrame) -> DataFrame:
     """Per template and file: first text, first signal, records, share of all."""
-    grouped = labelled.groupBy("template_id", "file_name").agg(
-        F.min_by(F.struct("text", "golden_signal"), "record_id").alias("f"),
-        F.count(F.lit(1)).alias("d_tid_count"),
+    return summary_of_representatives(
+        labelled.groupBy("template_id", "file_name").agg(
+            F.min_by("text", "record_id").alias("text"),
+            F.min_by("golden_signal", "record_id").alias("golden_signal"),
+            F.count(F.lit(1)).alias("n"),
+        )
     )
-    total = grouped.agg(F.sum("d_tid_count").alias("_total"))
+
+
+def summary_of_representatives(labelled_reps: DataFrame) -> DataFrame:
+    """The same from labelled representatives, without reading the records again."""
+    total = labelled_reps.agg(F.sum("n").alias("_total"))
     return (
-        grouped.crossJoin(F.broadcast(total))
+        labelled_reps.crossJoin(F.broadcast(total))
         .select(
             "template_id", "file_name",
-            escape_tags(newline_breaks(F.col("f.text"))).alias("text"),
-            F.col("f.golden_signal").alias("gs"), "d_tid_count",
-            F.round(F.col("d_tid_count") / F.col("_total") * 100, 4).alias("coverage"),
+            escape_tags(newline_breaks(F.col("text"))).alias("text"),
+            F.col("golden_signal").alias("gs"), F.col("n").alias("d_tid_count"),
+            F.round(F.col("n") / F.col("_total") * 100, 4).alias("coverage"),
         )
         .orderBy(is_info(F.col("gs")), "d_tid_count", "template_id", "file_name")
     )

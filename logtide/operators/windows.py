@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from logtide.functions.text import annotated_line, duration_label, preview, strip_tags
 from logtide.functions.timestamps import epoch_to_utc_string
-from logtide.operators.classify import INFO_LABELS, first_fault, is_info
+from logtide.operators.classify import first_fault, is_info
 from logtide.plans.common import join_by_key
 
 # Window length, and the signals a viewer shows in colour.
@@ -24,29 +24,35 @@ def window_items(labelled: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFram
     return labelled.withColumn("win", F.floor(F.col("epoch") / seconds))
 
 
-def tumbling_windows(labelled: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Per window: first epoch, records, all_info, distinct error templates.
-
-    Records are first reduced to one row per window, template and signal.
-    """
-    per_template = (
-        window_items(labelled, seconds)
-        .groupBy("win", "template_id", is_info(F.col("golden_signal")).alias("info"))
+def window_templates(records: DataFrame, *keys: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Records reduced to one row per window, template and further keys."""
+    return (
+        window_items(records, seconds).groupBy("win", "template_id", *keys)
         .agg(
             F.min_by(F.struct("record_id", "epoch"), "record_id").alias("first"),
             F.count(F.lit(1)).alias("n"),
         )
     )
-    error = F.when(~F.col("info"), F.col("template_id"))
-    return per_template.groupBy("win").agg(
+
+
+def windows_of_templates(reduced: DataFrame) -> DataFrame:
+    """Windows from labelled rows of ``window_templates``."""
+    info = is_info(F.col("golden_signal"))
+    error = F.when(~info, F.col("template_id"))
+    return reduced.groupBy("win").agg(
         F.min("first").alias("first"),
         F.sum("n").alias("n"),
-        F.every("info").alias("all_info"),
+        F.every(info).alias("all_info"),
         F.sort_array(F.collect_set("template_id")).alias("tids"),
         F.sort_array(F.collect_set(error)).alias("error_tids"),
     ).select("win", F.col("first.epoch").alias("epoch"), "n", "all_info", "tids", "error_tids")
 
 
+def tumbling_windows(labelled: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Per window: first epoch, records, all_info, distinct error templates."""
+    return windows_of_templates(window_templates(labelled, "golden_signal", seconds=seconds))
+
+
 def normal_windows(windows: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Windows with information only, times as text."""
     return windows.where("all_info").select(

@@ -36,14 +36,17 @@ class Analysis:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return classify.spread_signals(self.templated, self.signals)
+        return classify.spread_signals(self.templated, self.signals, written=True)
 
     @cached_property
     def windows(self) -> DataFrame:
-        return materialize(windows.tumbling_windows(self.labelled), "windows")
+        # Labels join the reduced rows, not the records.
+        reduced = windows.window_templates(self.templated, "file_name")
+        labelled = classify.spread_signals(reduced, self.signals, "first", written=True)
+        return materialize(windows.windows_of_templates(labelled), "windows")
 
     def summary(self) -> DataFrame:
-        return summary.template_summary(self.labelled)
+        return summary.summary_of_representatives(self.signals)
 
     def result(self) -> DataFrame:
         return summary.analysis_result(self.representatives, self.signals)
@@ -55,6 +58,10 @@ class Analysis:
         merged, _ = windows.merge_windows(self.windows)
         return windows.anomalies(merged)
 
+    def anomaly_items(self) -> DataFrame:
+        merged, placed = windows.merge_windows(self.windows)
+        return windows.anomaly_items(self.labelled, placed, merged)
+
     def template_table(self) -> DataFrame:
         return store.template_table(self.templated, self.signals)
 

@@ -44,6 +44,7 @@ def join_by_key(
     weight: str,
     spread: Column,
     how: str = "left",
+    written: bool = False,
 ) -> DataFrame:
     """Join row-sized data with a table that has one row per key.
 
@@ -51,8 +52,11 @@ def join_by_key(
     the total are joined by broadcast (at most HOT_SHARE of them); all others
     by a plain equi join whose strategy the planner picks from sizes. Rows of
     hot keys get a scattered join key in that second join, so no task receives
-    them together.
+    them together. The table is read three times, so it is written first unless
+    it already comes from a written table.
     """
+    if not written:
+        table = materialize(table, "keyed")
     values = [c for c in table.columns if c not in keys and c != weight]
     total = table.agg(F.sum(weight).alias("_total"))
     sized = table.crossJoin(F.broadcast(total))

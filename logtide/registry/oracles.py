@@ -275,6 +275,13 @@ ORACLES["template_summary"] = WITH_MINED + f""", s AS (SELECT template_id, file_
  SELECT template_id, file_name, replace(text, chr(10), '</br>') AS text, golden_signal, d_tid_count,
  round(d_tid_count / (SELECT count(*) FROM mined) * 100, 4) AS coverage FROM s"""
 
+ORACLES["event_windows"] = WITH_MINED + f""", x AS (SELECT *, epoch_us // 30000000 AS win,
+  first({SIGNAL} = 'information') OVER (PARTITION BY template_id, file_name ORDER BY line_seq) AS info
+  FROM mined JOIN tmpl USING (template))
+ SELECT win, first(epoch_us ORDER BY file_name, line_seq) AS epoch_us, count(*) AS n, bool_and(info) AS all_info,
+ coalesce(array_to_string(list_sort(list(DISTINCT template_id) FILTER (WHERE NOT info)), ' '), '') AS error_tids
+ FROM x GROUP BY win"""
+
 # --- tags and labels --------------------------------------------------------------------------
 
 _TAG = """CASE WHEN pos = 0 AND event_type = 'error' THEN 'Error' WHEN pos = 0 AND event_type = 'signup' THEN 'Storage'

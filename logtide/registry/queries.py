@@ -647,6 +647,14 @@ def normal_windows(spark, sf_dir):
     return windows.normal_windows(_windows(spark, sf_dir), SECONDS).withColumn("tids", _ids("tids"))
 
 
+@query
+def event_windows(spark, sf_dir):
+    found = event_analysis(spark, sf_dir).windows
+    return found.select(
+        "win", micros(F.col("epoch")).alias("epoch_us"), "n", "all_info", _ids("error_tids").alias("error_tids")
+    )
+
+
 @query
 def window_counts(spark, sf_dir):
     return windows.window_counts(_windows(spark, sf_dir))
