@@ -16,7 +16,9 @@ PROCESS = r"(\b[a-zA-Z][\w._-]+)\[\d+\]"
 
 def bracket_tokens(text: Column) -> Column:
     """Lower-case names in brackets, then new process names before ``[pid]``."""
-    inside = F.transform(F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(1)), F.trim)
+    inside = F.transform(
+        F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(1)), lambda t: F.trim(t)
+    )
     named = F.filter(
         inside, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^\d+$") & ~t.rlike(DATE_LIKE)
     )

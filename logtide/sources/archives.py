@@ -117,11 +117,11 @@ def read_archives(
     work = wanted.select("archive", "member", "direct", unit.alias("unit")).repartition("archive", "unit")
 
     def batches_of(archive, member, inner, source) -> Iterator[pd.DataFrame]:
-        text = io.TextIOWrapper(source, encoding="utf-8", errors="ignore")
         lines, first = [], 0
-        for line in text:
-            lines.append(line.rstrip("\r\n"))
-            if len(lines) == BATCH_LINES:
+        for raw in source:
+            line = raw.decode("utf-8", "ignore").removesuffix("\n").removesuffix("\r")
+            lines += line.split("\r")
+            if len(lines) >= BATCH_LINES:
                 yield _frame(archive, member, inner, first, lines)
                 first, lines = first + len(lines), []
         if lines:

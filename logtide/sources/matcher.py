@@ -37,7 +37,7 @@ def read_matcher_files(
     spark: SparkSession, path: str, id_name: str, glob: str = "*.json"
 ) -> DataFrame:
     """Distinct (truncated_text, id) pairs of JSON files that map a line to an id."""
-    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path)
+    whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     pairs = F.explode(F.from_json("value", "map<string,bigint>"))
     return whole.select(pairs.alias("truncated_text", id_name)).dropDuplicates()
 
