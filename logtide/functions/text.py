@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, functions as F
 
 # Blanks other than newline, as the line cleaner sees them.
@@ -28,7 +30,7 @@ def clean_for_classifier(text: Column) -> Column:
     steps = [
         (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "IPADDRESS"),
         (r"https?://\S+|www\.\S+", "URL"),
-        (r"[^a-zA-Z0-9]", " "),
+        (r"[^a-zA-Z0-9]+", " "),
         (r"\d+", ""),
         (r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " "),
         (r" +", " "),
@@ -43,12 +45,16 @@ def without(text: Column, part: Column) -> Column:
     return F.when(part.isNull(), text).otherwise(F.replace(text, part, F.lit("")))
 
 
+def _count_of(text: Column, chars: str) -> Column:
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+
+
 def digit_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^0-9]", "")).cast("long")
+    return _count_of(text, string.digits)
 
 
 def letter_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^a-zA-Z]", "")).cast("long")
+    return _count_of(text, string.ascii_letters)
 
 
 def token_count(text: Column) -> Column:

@@ -14,7 +14,7 @@ from logtide.functions.text import (
     ascii_fold, clean_for_classifier, collapse_spaces, digit_count, letter_count, token_count, without,
 )
 from logtide.functions.timestamps import extract_timestamp, json_time_epoch
-from logtide.plans.common import join_by_key, materialize
+from logtide.plans.common import materialize
 
 # Seconds covered by the named time ranges.
 DAY = 24 * 60 * 60
@@ -311,10 +311,13 @@ def corpus_stats(records: DataFrame) -> DataFrame:
     )
 
 
-def truncate_long(records: DataFrame, z_limit: float = Z_LIMIT, unit: str = "character") -> DataFrame:
+def truncate_long(
+    records: DataFrame, z_limit: float = Z_LIMIT, unit: str = "character", stats: DataFrame | None = None
+) -> DataFrame:
     """Add z_score and truncated_log: texts with more than int(mean + z sd) tokens
-    keep that many characters (``unit='token'``: tokens)."""
-    stats = corpus_stats(records).select(
+    keep that many characters (``unit='token'``: tokens). ``stats`` is the row of
+    ``corpus_stats``, if there already."""
+    stats = (stats if stats is not None else corpus_stats(records)).select(
         F.col("mean_tokens").alias("_mean"),
         F.when(F.col("sd_tokens") > 0, F.col("sd_tokens")).alias("_sd"),
     )
@@ -358,26 +361,22 @@ def build_records(
     Lines of files without timestamps get the latest epoch found, or ``as_of``.
     """
     records = timed if json_lines is None else timed.unionByName(as_json_section(json_lines))
-    records = numeric_ratio_filter(records)
-    fallback = as_of.timestamp() if as_of else None
-    latest = records.agg(F.coalesce(F.max("epoch"), F.lit(fallback).cast("double")).alias("_latest"))
-    dated = (
-        untimed.drop("epoch", "ts_text").crossJoin(F.broadcast(latest))
-        .withColumn("epoch", F.col("_latest"))
-        .withColumn(
-            "ts_text",
-            F.date_format(F.timestamp_seconds(F.floor("_latest")), "yyyy-MM-dd HH:mm:ss"),
-        )
-        .drop("_latest")
+    records = numeric_ratio_filter(records).withColumn("_dated", F.lit(True)).unionByName(
+        untimed.withColumn("_dated", F.lit(False))
     )
-    records = time_range_filter(records.unionByName(dated), time_range)
-    return drop_incomplete(truncate_long(records)).select(
+    # One small row; over the whole data its token figures are the corpus's too.
+    stats = corpus_stats(records)
+    fallback = F.lit(as_of.timestamp() if as_of else None).cast("double")
+    latest = stats.select(F.coalesce("max_epoch", fallback).alias("_latest"))
+    shown = F.date_format(F.timestamp_seconds(F.floor("_latest")), "yyyy-MM-dd HH:mm:ss")
+    records = (
+        records.crossJoin(F.broadcast(latest))
+        .withColumn("epoch", F.when(F.col("_dated"), F.col("epoch")).otherwise(F.col("_latest")))
+        .withColumn("ts_text", F.when(F.col("_dated"), F.col("ts_text")).otherwise(shown))
+        .drop("_latest", "_dated")
+    )
+    if time_range != "all-data":
+        records, stats = time_range_filter(records, time_range), None
+    return drop_incomplete(truncate_long(records, stats=stats)).select(
         "record_id", "file_name", "epoch", "ts_text", "text", "clean_text", "truncated_log"
     )
-
-
-def spread_to_records(
-    records: DataFrame, table: DataFrame, keys: list[str], weight: str
-) -> DataFrame:
-    """Values of a keyed table on every record, hot keys included."""
-    return join_by_key(records, table, keys, weight, F.struct("record_id"))

@@ -66,7 +66,7 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify.rule_scores(F.col("message"), classify.SIGNAL_WORDS)
     faults = classify.fault_labels(classify.rule_scores(F.col("message"), classify.FAULT_WORDS))
     signal = classify.top_label(scored)
-    rows = tables.table(spark, sf_dir, "events").withColumn("message", tables._message())
+    rows = tables.spread_table(spark, sf_dir, "events").withColumn("message", tables._message())
     file_name = F.concat(F.lit("app-"), (F.col("user_id") % 8).cast("string"), F.lit(".log"))
     return rows.select(
         F.struct(
@@ -316,14 +316,14 @@ def text_preview(spark, sf_dir):
 
 @query
 def escape_tags(spark, sf_dir):
-    return tables.table(spark, sf_dir, "pages").select(
+    return tables.spread_table(spark, sf_dir, "pages").select(
         "page_id", tx.escape_tags(F.col("html")).alias("escaped")
     )
 
 
 @query
 def strip_tags(spark, sf_dir):
-    return tables.table(spark, sf_dir, "pages").select(
+    return tables.spread_table(spark, sf_dir, "pages").select(
         "page_id", tx.strip_tags(F.col("html")).alias("stripped")
     )
 

@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to render or read: one that comes in fewer
+    splits than there are cores is spread over them, larger ones stay as read."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _message() -> Column:
     names = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
     return F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("event"))
@@ -53,21 +61,21 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     ).otherwise(F.array(_event_text()))
     file_name = F.concat(F.lit("app-"), (F.col("user_id") % 8).cast("string"), F.lit(".log"))
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         file_name.alias("file_name"), "event_id", F.posexplode(more).alias("pos", "value")
     ).select(*_place(F.col("file_name"), F.col("event_id") * 4 + F.col("pos")), "value")
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the documents, one file per source; no timestamps."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit(".txt")).alias("file_name"), "doc_id",
         F.posexplode(F.split("text", "\n", -1)).alias("pos", "value"),
     ).select(*_place(F.col("file_name"), F.col("doc_id") * 100000 + F.col("pos")), "value")
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread_table(spark, sf_dir, "pages").select(
         *_place(F.lit("pages.html"), F.col("page_id")), F.col("html").alias("value")
     )
 
@@ -89,7 +97,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.when(F.col("user_id") % 2 == 0, F.lit("{}")).otherwise(F.lit("[1, 2]")))
         .otherwise(F.concat(moment, F.lit(" "), text))
     )
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         *_place(F.lit("events.json.log"), F.col("event_id")), value.alias("value")
     )
 
@@ -97,7 +105,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_lines(spark: SparkSession, sf_dir: str, rendered: str) -> DataFrame:
     """One line per order. ``rendered`` is the SQL text of its date, given ``t``,
     the order's date plus its key as seconds of the day."""
-    orders = table(spark, sf_dir, "orders").withColumn(
+    orders = spread_table(spark, sf_dir, "orders").withColumn(
         "t", F.expr("CAST(o_orderdate AS timestamp) + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
     )
     return orders.select(
