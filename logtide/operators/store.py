@@ -26,12 +26,14 @@ def template_files(records: DataFrame) -> DataFrame:
 
 
 def template_table(
-    records: DataFrame, labelled_reps: DataFrame, max_file_map: int = MAX_FILE_MAP
+    records: DataFrame, labelled_reps: DataFrame, max_file_map: int = MAX_FILE_MAP,
+    components: DataFrame | None = None,
 ) -> DataFrame:
     """One row per template. ``file_sources`` is embedded for templates of up to
     ``max_file_map`` files and null beyond; ``template_files`` has all counts.
 
-    Records are read once, reduced to one row per template and file.
+    Records are read once, reduced to one row per template and file. The
+    component comes from ``components``, else from the records.
     """
     check_columns(records)
     has_component = "component" in records.columns
@@ -52,12 +54,16 @@ def template_table(
     maps = per_file.join(narrow, "template_id").groupBy("template_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_name", "n")))).alias("file_sources")
     )
+    named = F.col("first.component")
+    if components is not None:
+        named = F.col("component")
+        stats = stats.join(components.select("template_id", "component"), "template_id", "left")
     return (
         stats.join(maps, "template_id", "left")
         .join(vote_signal(labelled_reps), "template_id", "left")
         .select(
             "template_id", "first.template", var_count(F.col("first.template")).alias("var_count"),
-            "golden_signal", "fault_category", "occurrence_count", "first.component",
+            "golden_signal", "fault_category", "occurrence_count", named.alias("component"),
             F.coalesce("rep.text", F.lit("")).alias("rep_log"), "file_count", "file_sources",
         )
     )

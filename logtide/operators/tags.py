@@ -21,11 +21,7 @@ def load_tags(path: str) -> dict:
     return {"tags": tags, "default_tag": config.get("default_tag", "Other")}
 
 
-def template_components(templated: DataFrame, config: dict) -> DataFrame:
-    """Component per template, read off the template's first record."""
-    first = templated.groupBy("template_id").agg(
-        F.min_by("text", "record_id").alias("text"), F.count(F.lit(1)).alias("n")
-    )
+def _component(first: DataFrame, config: dict) -> DataFrame:
     tokens = first.withColumn("tokens", bracket_tokens(F.col("text")))
     tag = match_tag(
         F.col("tokens"), F.col("text"), config.get("tags", []), config.get("default_tag", "Other")
@@ -33,9 +29,32 @@ def template_components(templated: DataFrame, config: dict) -> DataFrame:
     return tokens.select("template_id", "n", tag.alias("component"))
 
 
-def tag_components(templated: DataFrame, config: dict) -> DataFrame:
+def template_components(templated: DataFrame, config: dict) -> DataFrame:
+    """Component per template, read off the template's first record."""
+    return _component(
+        templated.groupBy("template_id").agg(
+            F.min_by("text", "record_id").alias("text"), F.count(F.lit(1)).alias("n")
+        ),
+        config,
+    )
+
+
+def components_of_representatives(reps: DataFrame, config: dict) -> DataFrame:
+    """The same from representatives, without reading the records again."""
+    return _component(
+        reps.groupBy("template_id").agg(
+            F.min_by("text", "record_id").alias("text"), F.sum("n").alias("n")
+        ),
+        config,
+    )
+
+
+def tag_components(
+    templated: DataFrame, config: dict, components: DataFrame | None = None
+) -> DataFrame:
     """Records with the component of their template."""
-    components = template_components(templated, config)
+    if components is None:
+        components = template_components(templated, config)
     return join_by_key(templated, components, ["template_id"], "n", F.struct("record_id"))
 
 

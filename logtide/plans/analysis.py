@@ -20,6 +20,7 @@ class Analysis:
     templated: DataFrame
     templates: DataFrame
     discarded: DataFrame
+    tag_config: dict | None = None
     signal_classifier: Callable[[DataFrame], DataFrame] | None = None
     fault_classifier: Callable[[DataFrame], DataFrame] | None = None
 
@@ -27,6 +28,16 @@ class Analysis:
     def representatives(self) -> DataFrame:
         return materialize(classify.representatives(self.templated), "representatives")
 
+    @cached_property
+    def components(self) -> DataFrame | None:
+        if not self.tag_config:
+            return None
+        return tags.components_of_representatives(self.representatives, self.tag_config)
+
+    def tagged(self) -> DataFrame:
+        """Records with their component."""
+        return tags.tag_components(self.templated, self.tag_config or {}, self.components)
+
     @cached_property
     def signals(self) -> DataFrame:
         labelled = classify.label_representatives(
@@ -63,7 +74,7 @@ class Analysis:
         return windows.anomaly_items(self.labelled, placed, merged)
 
     def template_table(self) -> DataFrame:
-        return store.template_table(self.templated, self.signals)
+        return store.template_table(self.templated, self.signals, components=self.components)
 
     def entries(self, dense: bool = False) -> DataFrame:
         return store.log_entries(self.templated, dense)
@@ -98,11 +109,10 @@ def analyze(
     fault_classifier: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> Analysis:
-    """Preprocess, mine templates, tag components; labels follow on use."""
+    """Preprocess and mine templates; tags and labels follow on use."""
     built, discarded = preprocess(lines, as_of, **options)
     templated, mined = templates.mine_templates(materialize(built, "records"))
-    if tag_config:
-        templated = tags.tag_components(materialize(templated, "mined"), tag_config)
     return Analysis(
-        materialize(templated, "templated"), mined, discarded, signal_classifier, fault_classifier
+        materialize(templated, "templated"), mined, discarded, tag_config,
+        signal_classifier, fault_classifier,
     )

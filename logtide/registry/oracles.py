@@ -247,6 +247,7 @@ ORACLES["extract_variables"] = WITH_LABELLED + """SELECT event_id, CASE WHEN tem
  THEN w[1] || '|' || w[2] || '|' || array_to_string(w[4:], ' ') ELSE CAST(user_id AS VARCHAR) END AS variables,
  CASE WHEN template_id % 2 = 0 THEN 3 ELSE 1 END AS var_count
  FROM (SELECT *, string_split(text, ' ') AS w FROM lab)"""
+ORACLES["match_templates"] = f"SELECT event_id, {MESSAGE} || ' by <:NUM:>' AS template FROM events"
 _STAMP = "<:NUM:><:NUM:><:NUM:> <:NUM:>:<:NUM:>:<:NUM:>.<:NUM:>"
 _TAIL = 'value=<:NUM:>.<:NUM:> props {"k": <:NUM:>}'
 # In the event logs two pairs of event types share a token count and enough of
@@ -264,6 +265,16 @@ WITH_MINED = WITH_BUILT + f""", mined AS (SELECT built.*, ev.event_type, ev.even
   FROM mined GROUP BY template)
 """
 ORACLES["event_templates"] = WITH_MINED + "SELECT template_id, template, occurrences FROM tmpl"
+# Signals are voted over the files of a template: most files, then the first file.
+ORACLES["event_store"] = WITH_MINED + f""", r AS (SELECT template_id, file_name,
+  first({SIGNAL} ORDER BY line_seq) AS sig FROM mined JOIN tmpl USING (template) GROUP BY 1, 2),
+ v AS (SELECT template_id, first(sig ORDER BY votes DESC, since, sig) AS golden_signal FROM
+  (SELECT template_id, sig, count(*) AS votes, min(file_name) AS since FROM r GROUP BY 1, 2) GROUP BY 1),
+ f AS (SELECT template_id, first(text ORDER BY file_name, line_seq) AS rep_log,
+  first(event_type ORDER BY file_name, line_seq) AS kind FROM mined JOIN tmpl USING (template) GROUP BY 1)
+ SELECT template_id, template, len(string_split(template, '<*>')) - 1 AS var_count, golden_signal, occurrences AS occurrence_count,
+ CASE kind WHEN 'error' THEN 'Error' WHEN 'signup' THEN 'Storage' WHEN 'click' THEN 'Web' WHEN 'view' THEN 'Web' ELSE 'Other' END AS component,
+ rep_log FROM tmpl JOIN v USING (template_id) JOIN f USING (template_id)"""
 ORACLES["event_template_rows"] = WITH_MINED + """SELECT file_name, line_seq, template_id, template,
  CASE WHEN template LIKE '%> <*> app%' THEN to_json([
    split_part(text, ' ', 3), split_part(text, ' ', 5), split_part(text, ' ', 6), split_part(text, ' ', 7), split_part(text, ' ', 8)]

@@ -468,6 +468,14 @@ def event_templates(spark, sf_dir):
     return templates.extract_templates(mined)
 
 
+@query
+def event_store(spark, sf_dir):
+    found = event_analysis(spark, sf_dir).template_table()
+    return found.select(
+        "template_id", "template", "var_count", "golden_signal", "occurrence_count", "component", "rep_log"
+    )
+
+
 @query
 def event_template_rows(spark, sf_dir):
     return event_analysis(spark, sf_dir).templated.select(
