@@ -209,15 +209,17 @@ def _joined(column: str, order: Column) -> Column:
     return F.array_join(pairs["v"], "\n").alias(column)
 
 
-def stitch(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+def stitch(folded: DataFrame, cut: bool = True) -> tuple[DataFrame, DataFrame]:
     """(records of files with timestamps, lines of files without any).
 
     Only the rows at chunk borders move: each chunk's leading lines to the
-    record they continue, and that record to them.
+    record they continue, and that record to them. ``cut`` writes the small
+    table of chunks, which several branches ask.
     """
-    orphans = folded.where("head IS NULL").join(
-        _chunk_heads(folded), ["file_name", "block_start", "chunk"]
-    )
+    heads = _chunk_heads(folded)
+    if cut:
+        heads = materialize(heads, "chunks")
+    orphans = folded.where("head IS NULL").join(heads, ["file_name", "block_start", "chunk"])
     order = F.struct("block_start", "chunk")
     texts = [_joined("text", order), _joined("clean_text", order)]
     counts = [F.sum(c).alias(c) for c in ("digit_count", "char_count", "token_count")]
@@ -265,7 +267,7 @@ def segment_records(
     """Fold and stitch. ``cut`` writes the folded chunks once, so that parsing
     is not repeated by the consumers that follow."""
     folded = fold_chunks(parsed, chunk_bits)
-    return stitch(materialize(folded, "folded") if cut else folded)
+    return stitch(materialize(folded, "folded") if cut else folded, cut)
 
 
 def as_json_section(parsed: DataFrame) -> DataFrame:

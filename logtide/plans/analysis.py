@@ -111,7 +111,9 @@ def analyze(
 ) -> Analysis:
     """Preprocess and mine templates; tags and labels follow on use."""
     built, discarded = preprocess(lines, as_of, **options)
-    templated, mined = templates.mine_templates(materialize(built, "records"))
+    templated, mined = templates.mine_templates(
+        materialize(templates.with_shape_key(built), "records")
+    )
     return Analysis(
         materialize(templated, "templated"), mined, discarded, tag_config,
         signal_classifier, fault_classifier,

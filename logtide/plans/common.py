@@ -64,7 +64,10 @@ def join_by_key(
     hot = sized.where(F.col(weight) * HOT_SHARE > F.col("_total")).select(
         *keys, value.alias("_hot")
     )
-    rest = table.select(*keys, F.lit(0).cast("long").alias("_spread"), value.alias("_cold"))
+    # Zero for every key, but not a literal: the planner would replace the join key
+    # by a filter, and hot rows would meet in one task after all.
+    zero = F.when(F.col(weight) < 0, 1).otherwise(0).cast("long")
+    rest = table.select(*keys, zero.alias("_spread"), value.alias("_cold"))
     out = (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn(

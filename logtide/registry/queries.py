@@ -444,7 +444,8 @@ def exact_templates(spark, sf_dir):
 
 def _mined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     timed, untimed = document_records(spark, sf_dir)
-    built = materialize(records.build_records(timed, untimed, as_of=AS_OF), "records")
+    built = records.build_records(timed, untimed, as_of=AS_OF)
+    built = materialize(templates.with_shape_key(built), "records")
     return templates.mine_templates(built)
 
 
