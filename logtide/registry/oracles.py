@@ -99,6 +99,10 @@ WITH_LABELLED = f"""WITH lab AS (SELECT event_id, {FILE} AS file_name, epoch_us(
 # --- sources ------------------------------------------------------------------------
 
 ORACLES["line_scan"] = WITH_LINES + "SELECT file_name, value FROM event_lines"
+ORACLES["archive_lines"] = """SELECT doc_id, i - 1 AS line_seq, parts[i] AS value
+ FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+       FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+ WHERE i < len(parts) OR parts[i] <> ''"""
 ORACLES["file_stats"] = WITH_LINES + r"""SELECT file_name, count(*) AS num_lines,
  count(*) FILTER (WHERE regexp_replace(value, '\s+', '', 'g') = '') AS num_blank FROM document_lines GROUP BY 1"""
 ORACLES["input_stats"] = WITH_LINES + """SELECT sum(strlen(value) + 1) AS total_size_bytes,

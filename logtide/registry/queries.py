@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import wraps
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtide.functions import masking, text as tx, timestamps as tm, tokens as tk
@@ -15,7 +19,7 @@ from logtide.operators import (
 from logtide.plans.analysis import Analysis, analyze
 from logtide.plans.common import materialize, shared_dir
 from logtide.plans.session import tune
-from logtide.sources import lines as ln, matcher, sinks, tables
+from logtide.sources import archives, lines as ln, matcher, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,7 +99,7 @@ def event_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
     """The event lines as a folder of text files."""
-    path = f"{shared_dir(spark)}/event-lines-{abs(hash((sf_dir, id(spark))))}"
+    path = f"{shared_dir(spark)}/event-lines-{uuid.uuid4().hex}"
     lines = tables.event_lines(spark, sf_dir).select(F.col("file_name").alias("file"), "line_seq", "value")
     (
         lines.repartition("file").sortWithinPartitions("file", "line_seq").select("file", "value")
@@ -114,6 +118,38 @@ def line_scan(spark, sf_dir):
     return lines.select(_file_of_path(F.col("file_name")).alias("file_name"), "value")
 
 
+def _write_archives(documents: DataFrame, folder: str) -> None:
+    """One zip per batch of documents, a member per document. Names depend on the
+    rows only, so a repeated task replaces its own files."""
+
+    def write(batches):
+        filesystem, path = pafs.FileSystem.from_uri(folder)
+        filesystem.create_dir(path, recursive=True)
+        for pdf in batches:
+            content = io.BytesIO()
+            with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                    archive.writestr(f"docs/{doc_id}.log", text)
+            with filesystem.open_output_stream(f"{path}/docs-{pdf['doc_id'].min()}.zip") as out:
+                out.write(content.getvalue())
+            yield pdf[["doc_id"]]
+
+    documents.select("doc_id", "text").mapInPandas(write, "doc_id long").write.format(
+        "noop"
+    ).mode("overwrite").save()
+
+
+@query
+def archive_lines(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    _write_archives(tables.spread_table(spark, sf_dir, "documents"), folder)
+    found = archives.read_archives(spark, [folder])
+    return found.select(
+        F.regexp_extract("file_name", r"/docs/(\d+)\.log$", 1).cast("long").alias("doc_id"),
+        "line_seq", "value",
+    )
+
+
 @query
 def file_stats(spark, sf_dir):
     return ln.file_stats(tables.document_lines(spark, sf_dir))
@@ -166,7 +202,7 @@ def json_discarded(spark, sf_dir):
 
 @query
 def unquoted_csv(spark, sf_dir):
-    path = f"{shared_dir(spark)}/processed-{abs(hash((sf_dir, id(spark))))}"
+    path = f"{shared_dir(spark)}/processed-{uuid.uuid4().hex}"
     rows = labelled_events(spark, sf_dir).select(
         "template_id", "file_name", F.concat("text", F.lit("\n\\end")).alias("text"), "epoch"
     )
@@ -869,7 +905,7 @@ def log_store_entries(spark, sf_dir):
 
 @query
 def log_store_day(spark, sf_dir):
-    path = f"{shared_dir(spark)}/store-{abs(hash((sf_dir, id(spark))))}"
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     rows = labelled_events(spark, sf_dir)
     reps = _labelled_reps(spark, sf_dir)
     sinks.write_store(
@@ -951,7 +987,7 @@ def matched_interval(spark, sf_dir):
 
 @query
 def matcher_files(spark, sf_dir):
-    path = f"{shared_dir(spark)}/matcher-{abs(hash((sf_dir, id(spark))))}"
+    path = f"{shared_dir(spark)}/matcher-{uuid.uuid4().hex}"
     pairs = labelled_events(spark, sf_dir).groupBy("text").agg(F.min("template_id").alias("id"))
     # Files of one JSON object each, of about a hundred lines.
     size = pairs.agg(F.ceil(F.count(F.lit(1)) / 100).alias("files"))
