@@ -132,6 +132,7 @@ def train(rows: list[tuple], labels: list[int], epochs: int = EPOCHS, rate: floa
         np.zeros(len(STRUCTURE) + len(METADATA), np.float32), np.ones(len(STRUCTURE) + len(METADATA), np.float32),
     )
     if not rows:
+        model.factors[:] = 0
         return model
     dense = np.stack([r[2] for r in rows])
     model.mean, model.scale = dense.mean(0), np.maximum(dense.std(0), 1e-3)

@@ -120,8 +120,8 @@ def removals(docs: DataFrame, repeated: DataFrame, min_lines: int = MIN_LINES) -
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with the text that is left, and the struct _cut (n_chunks, n_removed, n_lines_removed)."""
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, report: bool = False) -> DataFrame:
+    """docs with the text that is left; ``report`` adds n_chunks, n_removed and n_lines_removed."""
     repeated = materialize(repeated_chunks(docs, min_lines), "repeated-chunks")
     lost = materialize(removals(docs, repeated, min_lines), "removals")
     keyed = lost.select(F.col("doc_id").alias("_lost_id"), "digests")
@@ -153,4 +153,5 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
 
     cut = joined.withColumn("_cut", left("_doc.text", "digests"))
     others = [F.col("_cut.text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns]
-    return cut.select(*others, F.col("_cut").dropFields("text").alias("_cut"))
+    counts = [F.col("_cut")[c].alias(c) for c in ("n_chunks", "n_removed", "n_lines_removed")]
+    return cut.select(*others, *(counts if report else []))

@@ -285,8 +285,10 @@ class Pseudonymiser:
         return "".join([*parts, text[at:]]) if parts else text, counts
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """docs with rewritten texts, and the struct _pii: how many values of each kind were replaced."""
+def pseudonymised(
+    docs: DataFrame, key: bytes = DEMO_KEY, kinds: tuple[str, ...] = KINDS, report: bool = False
+) -> DataFrame:
+    """docs with rewritten texts; ``report`` adds n_<kind>, how many values of a kind were replaced."""
 
     @F.pandas_udf("text string, " + ", ".join(f"{k} long" for k in kinds))
     def rewritten(texts):
@@ -301,4 +303,5 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, kinds: tuple[str, ...]
 
     named = docs.select(F.struct(F.col("*")).alias("_doc")).withColumn("_pii", rewritten("_doc.text"))
     others = [F.col("_pii.text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns]
-    return named.select(*others, F.col("_pii").dropFields("text").alias("_pii"))
+    counts = [F.col("_pii")[k].alias(f"n_{k}") for k in kinds]
+    return named.select(*others, *(counts if report else []))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from logtide.llm import (
     credentials, exact_dedup, factor_model, line_chunks, line_frequency, packing, pseudonyms, simhash, token_files,
@@ -33,10 +33,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rewritten = pseudonyms.pseudonymised(documents(spark, sf_dir))
-    return rewritten.select(
-        "doc_id", "text", *[F.col("_pii")[k].alias(f"n_{k}") for k in pseudonyms.KINDS]
-    )
+    return pseudonyms.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), report=True)
 
 
 @query
@@ -63,7 +60,7 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.drop_repeated_lines(documents(spark, sf_dir)).select("doc_id", "text", "_cut.*")
+    return line_chunks.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), report=True)
 
 
 @query
