@@ -268,7 +268,7 @@ def plain_quality(rows, min_docs, max_share):
 def boilerplate(make):
     rng = random.Random(6)
     words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    rows = []
+    rows, common = [], words(45)
     for i in range(60):
         source = None if i % 4 == 0 else "host"
         lines = [words(30), words(30), "Menu   of the\tSite", words(5)]
@@ -278,6 +278,8 @@ def boilerplate(make):
             lines = [words(25), *["Menu of the site"] * 9]
         if i % 10 == 1:
             lines += [lines[0]] * 3
+        if i % 5 == 2:
+            lines = [common, words(20)]
         rows.append((i, "\n".join(lines), source))
     return make(rows + rows[:7] + [(70, "", "host"), (71, None, "host"), (72, "a b a b a b a", None)], clash=True)
 
