@@ -27,6 +27,7 @@ from logtide.llm.texts import TOKENIZER_FOLDER, TextEncoder, blocks, id_and_text
 from logtide.plans.common import materialize
 
 GROUP = 65_536  # pieces packed together
+SMALL = 8  # pieces of at most 1/SMALL of a sequence come last
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = f"{PIECES}, sequence_id long, offset long"
 
@@ -94,16 +95,17 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[i
 def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to written pieces; ``length`` is at most ``capacity``."""
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn(
-        "_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
-    )
+    # Large pieces in falling size, then the small ones in no order of size, which fill what is left.
+    dealt = pieces.withColumns({
+        "_group": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"),
+        "_size": F.greatest("length", F.lit(capacity // SMALL)), "_turn": F.xxhash64("doc_id", "piece"),
+    })
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
-        # Long pieces first: the short ones then fill what is left.
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("_size", "descending"), ("_turn", "ascending"), ("ids_crc32", "ascending")])
         chosen, places = sum_of_squares(rows["length"].to_pylist(), capacity)
         base = key[0].as_py() << 32
-        return rows.drop_columns(["_group"]).append_column(
+        return rows.drop_columns(["_group", "_size", "_turn"]).append_column(
             "sequence_id", pa.array([base + s for s in chosen], pa.int64())
         ).append_column("offset", pa.array(places, pa.int64()))
 

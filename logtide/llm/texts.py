@@ -42,7 +42,8 @@ class TextEncoder:
     """
 
     def __init__(self, path: str, keeps_space: bool):
-        """keeps_space: the vocabulary's tokens begin with the space in front of a word."""
+        """keeps_space: tokens begin with the space in front of a word, and letters keep their case;
+        otherwise spaces are dropped and letters are lowered."""
         import os
         import re
 
@@ -55,12 +56,22 @@ class TextEncoder:
         self.tokenizer.no_padding()
         self.keeps_space = keeps_space
         self.wide = re.compile(r"\s (?!\S)")
+        self.marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
+        self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")  # letters that both sides lower alike
         self.cache: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _atoms(self, piece: str) -> list[str]:
+        """A word and the marks behind it never share a token; their ids are kept apart, and in lower case if they may."""
+        found = self.marked.fullmatch(piece)
+        atoms = list(found.groups()) if found else [piece]
+        if not self.keeps_space and self.latin.fullmatch(atoms[0]):
+            atoms[0] = atoms[0].lower()
+        return atoms
+
     def _whole(self, text: str) -> bool:
         return any(s in text for s in self.special) or (
             self.keeps_space and ("\0" in text or self.wide.search(text) is not None)
@@ -77,11 +88,13 @@ class TextEncoder:
         for p, w in zip(pieces, whole):
             if not w:
                 wanted.update(p)
-        new = list(wanted.difference(self.cache))
         known = self.cache
+        new = {p: self._atoms(p) for p in wanted.difference(known)}
         if len(known) + len(new) > CACHED_PIECES:
-            known = {p: known[p] for p in wanted if p in known}
-        known.update(zip(new, self._encoded(new)))
+            known = self.cache = {p: known[p] for p in wanted if p in known}
+        atoms = list({a for parts in new.values() for a in parts if a not in known})
+        known.update(zip(atoms, self._encoded(atoms)))
+        known.update((p, b"".join([known[a] for a in parts])) for p, parts in new.items() if p not in known)
         spelled = iter(self._encoded([t for t, w in zip(texts, whole) if w]))
         get = known.__getitem__
         return [next(spelled) if w else b"".join(map(get, p)) for p, w in zip(pieces, whole)]

@@ -166,7 +166,7 @@ def test_sum_of_squares_places_by_squares():
 
 def test_packing_in_groups_stays_close(spark):
     pieces = spark.range(3000).selectExpr(
-        "id as doc_id", "0 as piece", "0L as start", "1 + pmod(xxhash64(id), 100) as length", "0L as ids_crc32")
+        "id as doc_id", "0 as piece", "0L as start", "cast(1 + 99 * pow(pmod(xxhash64(id), 1000) / 1000, 3) as long) as length", "0L as ids_crc32")
     from logtide.plans.common import materialize
 
     rows = packing.pack(materialize(pieces, "pieces"), 100, group=500).collect()
