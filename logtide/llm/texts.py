@@ -32,13 +32,22 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             yield batch.slice(start, step)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies spell bytes: printable ones themselves, others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letters = {chr(b): b for b in plain}
+    letters |= {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return letters
+
+
 class TextEncoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
-    Texts are cut in front of single spaces, where neither kind of vocabulary file
-    lets a token reach across, and each distinct piece is encoded once for a task. A
-    text with a space between two pieces of white space, or with a special token
-    in it, goes to the library whole.
+    For byte-level vocabulary files. Texts are cut in front of single spaces, where no
+    token reaches across, and each distinct piece is encoded once for a task: a run of
+    Latin letters, which no normaliser changes and no pattern cuts, by the library's
+    merge model alone, anything else by the whole tokenizer. A text with a space between
+    two pieces of white space, or with a special token in it, goes to the library whole.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -56,20 +65,34 @@ class TextEncoder:
         self.tokenizer.no_padding()
         self.keeps_space = keeps_space
         self.wide = re.compile(r"\s (?!\S)")
+        self.lines = re.compile(r" ?\S+(?:\n\S+)+")
         self.marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
-        self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")  # letters that both sides lower alike
+        # Letters that both sides lower alike, then the runs that reach the merges as they are.
+        self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        self.plain = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+" if keeps_space else r"[a-zà-öø-ÿß]+")
+        self.model = self.tokenizer.model
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.cache: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _merged(self, run: str) -> bytes:
+        spelled = run.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def _atoms(self, piece: str) -> list[str]:
-        """A word and the marks behind it never share a token; their ids are kept apart, and in lower case if they may."""
-        found = self.marked.fullmatch(piece)
-        atoms = list(found.groups()) if found else [piece]
-        if not self.keeps_space and self.latin.fullmatch(atoms[0]):
-            atoms[0] = atoms[0].lower()
+        """Parts of a piece that share no token: around single line ends, and before the marks behind a word."""
+        atoms = []
+        for n, part in enumerate(piece.split("\n") if self.lines.fullmatch(piece) else [piece]):
+            if n and self.keeps_space:
+                atoms.append("\n")
+            found = self.marked.fullmatch(part)
+            word, *marks = found.groups() if found else (part,)
+            if not self.keeps_space and self.latin.fullmatch(word):
+                word = word.lower()
+            atoms += [word, *marks]
         return atoms
 
     def _whole(self, text: str) -> bool:
@@ -92,8 +115,11 @@ class TextEncoder:
         new = {p: self._atoms(p) for p in wanted.difference(known)}
         if len(known) + len(new) > CACHED_PIECES:
             known = self.cache = {p: known[p] for p in wanted if p in known}
-        atoms = list({a for parts in new.values() for a in parts if a not in known})
-        known.update(zip(atoms, self._encoded(atoms)))
+        atoms = {a for parts in new.values() for a in parts if a not in known}
+        runs = {a for a in atoms if self.plain.fullmatch(a)}
+        known.update((a, self._merged(a)) for a in runs)
+        rest = list(atoms - runs)
+        known.update(zip(rest, self._encoded(rest)))
         known.update((p, b"".join([known[a] for a in parts])) for p, parts in new.items() if p not in known)
         spelled = iter(self._encoded([t for t, w in zip(texts, whole) if w]))
         get = known.__getitem__

@@ -24,21 +24,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logtide.llm.texts import CACHED_PIECES, TOKENIZER_FOLDER, blocks, id_and_text
+from logtide.llm.texts import CACHED_PIECES, TOKENIZER_FOLDER, blocks, byte_letters, id_and_text
 
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies spell bytes: printable ones themselves, others from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    letters = {chr(b): b for b in plain}
-    letters |= {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    return letters
-
-
 class TrieEncoder:
     """Encodes and decodes with a byte-level vocabulary file."""
 
