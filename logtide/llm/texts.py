@@ -112,15 +112,22 @@ class TextEncoder:
             if not w:
                 wanted.update(p)
         known = self.cache
-        new = {p: self._atoms(p) for p in wanted.difference(known)}
+        new = wanted.difference(known)
         if len(known) + len(new) > CACHED_PIECES:
             known = self.cache = {p: known[p] for p in wanted if p in known}
-        atoms = {a for parts in new.values() for a in parts if a not in known}
-        runs = {a for a in atoms if self.plain.fullmatch(a)}
-        known.update((a, self._merged(a)) for a in runs)
+        plain, merged = self.plain.fullmatch, self._merged
+        parted = {}
+        for piece in new:
+            if plain(piece):
+                known[piece] = merged(piece)
+            else:
+                parted[piece] = self._atoms(piece)
+        atoms = {a for parts in parted.values() for a in parts if a not in known}
+        runs = {a for a in atoms if plain(a)}
+        known.update((a, merged(a)) for a in runs)
         rest = list(atoms - runs)
         known.update(zip(rest, self._encoded(rest)))
-        known.update((p, b"".join([known[a] for a in parts])) for p, parts in new.items() if p not in known)
+        known.update((p, b"".join([known[a] for a in parts])) for p, parts in parted.items() if p not in known)
         spelled = iter(self._encoded([t for t, w in zip(texts, whole) if w]))
         get = known.__getitem__
         return [next(spelled) if w else b"".join(map(get, p)) for p, w in zip(pieces, whole)]
