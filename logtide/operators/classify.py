@@ -157,14 +157,10 @@ def label_representatives(
     return plain.unionByName(asked)
 
 
-def spread_signals(
-    records: DataFrame, labelled: DataFrame, spread: str = "record_id", written: bool = False
-) -> DataFrame:
+def spread_signals(records: DataFrame, labelled: DataFrame) -> DataFrame:
     """Labels of (template, file) on every record, with defaults."""
     table = labelled.select("template_id", "file_name", "n", "golden_signal", "fault_categories")
-    joined = join_by_key(
-        records, table, ["template_id", "file_name"], "n", F.struct(spread), written=written
-    )
+    joined = join_by_key(records, table, ["template_id", "file_name"], "n")
     signal = F.coalesce("golden_signal", F.lit(DEFAULT_SIGNAL))
     return joined.withColumn("golden_signal", signal).withColumn(
         "fault_categories", F.coalesce("fault_categories", F.array(F.lit(DEFAULT_FAULT)))

@@ -12,7 +12,7 @@ def with_templates(entries: DataFrame, templates: DataFrame) -> DataFrame:
     labels = templates.select(
         "template_id", F.col("occurrence_count").alias("n"), "golden_signal", "fault_category", "component"
     )
-    return join_by_key(entries, labels, ["template_id"], "n", F.struct("entry_id"))
+    return join_by_key(entries, labels, ["template_id"], "n")
 
 
 def search_entries(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logtide.functions.masking import var_count
 from logtide.operators.classify import vote_signal
 from logtide.plans.common import dense_id, materialize
 
 REQUIRED = {"template_id", "template", "variables", "epoch", "file_name"}
-MAX_FILE_MAP = 1000  # files a template's embedded count map may name
+FILES_PER_MAP = 1000  # files that one map of counts names; further ones are in further maps
 
 
 def check_columns(records: DataFrame) -> None:
@@ -25,12 +25,19 @@ def template_files(records: DataFrame) -> DataFrame:
     )
 
 
+def template_file_maps(files: DataFrame, per_map: int = FILES_PER_MAP) -> DataFrame:
+    """The counts of ``template_files`` as maps: (template_id, piece, file_sources), pieces in order of file name."""
+    place = F.row_number().over(Window.partitionBy("template_id").orderBy("file_source"))
+    entry = F.struct("file_source", "n")
+    return files.withColumn("piece", F.floor((place - 1) / per_map)).groupBy("template_id", "piece").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("file_sources")
+    )
+
+
 def template_table(
-    records: DataFrame, labelled_reps: DataFrame, max_file_map: int = MAX_FILE_MAP,
-    components: DataFrame | None = None,
+    records: DataFrame, labelled_reps: DataFrame, components: DataFrame | None = None
 ) -> DataFrame:
-    """One row per template. ``file_sources`` is embedded for templates of up to
-    ``max_file_map`` files and null beyond; ``template_files`` has all counts.
+    """One row per template; its counts by file are in ``template_files``.
 
     Records are read once, reduced to one row per template and file. The
     component comes from ``components``, else from the records.
@@ -50,21 +57,16 @@ def template_table(
         F.min("first").alias("first"), F.min("rep").alias("rep"),
         F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"),
     )
-    narrow = stats.where(F.col("file_count") <= max_file_map).select("template_id")
-    maps = per_file.join(narrow, "template_id").groupBy("template_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_name", "n")))).alias("file_sources")
-    )
     named = F.col("first.component")
     if components is not None:
         named = F.col("component")
         stats = stats.join(components.select("template_id", "component"), "template_id", "left")
     return (
-        stats.join(maps, "template_id", "left")
-        .join(vote_signal(labelled_reps), "template_id", "left")
+        stats.join(vote_signal(labelled_reps), "template_id", "left")
         .select(
             "template_id", "first.template", var_count(F.col("first.template")).alias("var_count"),
             "golden_signal", "fault_category", "occurrence_count", named.alias("component"),
-            F.coalesce("rep.text", F.lit("")).alias("rep_log"), "file_count", "file_sources",
+            F.coalesce("rep.text", F.lit("")).alias("rep_log"), "file_count",
         )
     )
 

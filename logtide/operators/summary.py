@@ -89,7 +89,3 @@ def analysis_totals(labelled_reps: DataFrame) -> DataFrame:
         F.countDistinct("template_id").alias("templates_found"),
         F.countDistinct("file_name").alias("files"),
     )
-
-
-def distribution(labelled_reps: DataFrame) -> DataFrame:
-    return signal_distribution(labelled_reps)

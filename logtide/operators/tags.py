@@ -55,7 +55,7 @@ def tag_components(
     """Records with the component of their template."""
     if components is None:
         components = template_components(templated, config)
-    return join_by_key(templated, components, ["template_id"], "n", F.struct("record_id"))
+    return join_by_key(templated, components, ["template_id"], "n")
 
 
 def distinct_tokens(records: DataFrame) -> DataFrame:

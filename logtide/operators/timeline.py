@@ -67,8 +67,7 @@ def signal_timeline(labelled: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("c"))
     bins = file_bins(points)
     placed = join_by_key(
-        points, bins.select("file_name", "n", "min_epoch", "bin_seconds"), ["file_name"], "n",
-        F.struct("epoch"), "inner",
+        points, bins.select("file_name", "n", "min_epoch", "bin_seconds"), ["file_name"], "n", "inner"
     )
     index = F.floor((F.col("epoch") - F.col("min_epoch")) / F.col("bin_seconds"))
     counts = placed.groupBy("file_name", index.alias("bin_idx"), "signal").agg(F.sum("c").alias("count"))

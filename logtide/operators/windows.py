@@ -139,11 +139,9 @@ def anomalies(merged: DataFrame) -> DataFrame:
 
 def anomaly_items(labelled: DataFrame, placed: DataFrame, merged: DataFrame) -> DataFrame:
     """The records of merged anomalies, one row each, with the report line."""
-    items = join_by_key(
-        window_items(labelled), placed, ["win"], "n", F.struct("record_id"), "inner"
-    )
-    spans = merged.select("root_id", "start_epoch", "end_epoch", "n")
-    items = join_by_key(items, spans, ["root_id"], "n", F.struct("record_id"), "inner")
+    # The two small tables meet first, the records once.
+    spans = placed.select("win", "root_id").join(merged.select("root_id", "start_epoch", "end_epoch"), "root_id")
+    items = join_by_key(window_items(labelled), spans, ["win"], how="inner")
     return items.withColumn(
         "text_output",
         annotated_line(F.col("text"), first_fault(F.col("fault_categories")), F.col("golden_signal")),
@@ -201,7 +199,7 @@ def window_preview(
             weights = items.groupBy("win", "template_id").agg(F.count(F.lit(1)).alias("n")).join(
                 once.select("win", "template_id", "since"), ["win", "template_id"]
             )
-            chosen = join_by_key(chosen, weights, ["win", "template_id"], "n", F.struct("record_id"))
+            chosen = join_by_key(chosen, weights, ["win", "template_id"], "n")
             chosen = chosen.where("since IS NULL OR record_id <= since").drop("since")
     if count is not None:
         place = F.row_number().over(Window.partitionBy("win").orderBy("record_id"))

@@ -47,13 +47,13 @@ class Analysis:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return classify.spread_signals(self.templated, self.signals, written=True)
+        return materialize(classify.spread_signals(self.templated, self.signals), "labelled")
 
     @cached_property
     def windows(self) -> DataFrame:
         # Labels join the reduced rows, not the records.
         reduced = windows.window_templates(self.templated, "file_name")
-        labelled = classify.spread_signals(reduced, self.signals, "first", written=True)
+        labelled = classify.spread_signals(reduced, self.signals)
         return materialize(windows.windows_of_templates(labelled), "windows")
 
     def summary(self) -> DataFrame:

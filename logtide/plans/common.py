@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# never more than HOT_SHARE hot keys: the bound of what gets broadcast.
-HOT_SHARE = 1000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the session."""
@@ -38,49 +34,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_by_key(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    weight: str,
-    spread: Column,
-    how: str = "left",
-    written: bool = False,
+    rows: DataFrame, table: DataFrame, keys: list[str], weight: str | None = None, how: str = "left"
 ) -> DataFrame:
     """Join row-sized data with a table that has one row per key.
 
-    ``weight`` is the table's count of rows per key. Keys above 1/HOT_SHARE of
-    the total are joined by broadcast (at most HOT_SHARE of them); all others
-    by a plain equi join whose strategy the planner picks from sizes. Rows of
-    hot keys get a scattered join key in that second join, so no task receives
-    them together. The table is read three times, so it is written first unless
-    it already comes from a written table.
+    A plain equi join: the planner takes a broadcast for a table of a known small
+    size and a sort-merge join otherwise. There, adaptive execution cuts every
+    partition above the skew threshold into parts of the advisory size, however many
+    keys are hot (``plans.session`` sets the factor over the median to nothing), and
+    each part meets the rows of its keys. ``weight``, the table's count of rows
+    per key, stays out of the result.
     """
-    if not written:
-        table = materialize(table, "keyed")
     values = [c for c in table.columns if c not in keys and c != weight]
-    total = table.agg(F.sum(weight).alias("_total"))
-    sized = table.crossJoin(F.broadcast(total))
-    value = F.struct(F.lit(1).alias("_hit"), *[F.col(c) for c in values])
-    hot = sized.where(F.col(weight) * HOT_SHARE > F.col("_total")).select(
-        *keys, value.alias("_hot")
-    )
-    # Zero for every key, but not a literal: the planner would replace the join key
-    # by a filter, and hot rows would meet in one task after all.
-    zero = F.when(F.col(weight) < 0, 1).otherwise(0).cast("long")
-    rest = table.select(*keys, zero.alias("_spread"), value.alias("_cold"))
-    out = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_spread",
-            F.when(F.col("_hot").isNotNull(), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))).otherwise(0),
-        )
-        .join(rest, [*keys, "_spread"], "left")
-    )
-    found = F.coalesce("_hot", "_cold")
-    if how == "inner":
-        out = out.where(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
-    return out.select(
-        *[F.col(c) for c in rows.columns], *[found[c].alias(c) for c in values]
+    return rows.join(table.select(*keys, *values), keys, how).select(
+        *[F.col(c) for c in rows.columns], *[F.col(c) for c in values]
     )
 
 

@@ -9,6 +9,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Size alone makes a partition skewed, so that many equally hot keys are split too.
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 

@@ -460,8 +460,9 @@ WITH_STORE = WITH_REPS + """, st AS (SELECT template_id, any_value(template) AS
   any_value(golden_signal) AS golden_signal, any_value(fault) AS fault_category, count(*) AS occurrence_count,
   'Web' AS component, first(text ORDER BY file_name, event_id) AS rep_log, count(DISTINCT file_name) AS file_count FROM lab GROUP BY 1)
 """
-ORACLES["log_store_templates"] = WITH_STORE + """SELECT st.*, CASE WHEN file_count <= 4 THEN f.m END AS file_sources FROM st JOIN
- (SELECT template_id, string_agg(file_name || '=' || n, ',' ORDER BY file_name) AS m FROM reps GROUP BY 1) f USING (template_id)"""
+ORACLES["log_store_templates"] = WITH_STORE + "SELECT * FROM st"
+ORACLES["template_file_maps"] = WITH_REPS + """SELECT template_id, piece, string_agg(file_name || '=' || n, ',' ORDER BY file_name) AS file_sources
+ FROM (SELECT *, (row_number() OVER (PARTITION BY template_id ORDER BY file_name) - 1) // 3 AS piece FROM reps) GROUP BY 1, 2"""
 ORACLES["template_files"] = WITH_REPS + "SELECT template_id, file_name AS file_source, n FROM reps"
 ORACLES["log_store_entries"] = WITH_LABELLED + """SELECT template_id, CAST(floor(epoch) AS BIGINT) AS timestamp,
  '["' || user_id || '"]' AS variables, file_name AS file_source, text AS original_text,

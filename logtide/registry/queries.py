@@ -885,11 +885,15 @@ def causal_graph(spark, sf_dir):
 @query
 def log_store_templates(spark, sf_dir):
     rows = labelled_events(spark, sf_dir).withColumn("component", F.lit("Web"))
-    found = store.template_table(rows, _labelled_reps(spark, sf_dir), max_file_map=4)
-    files = F.array_join(
-        F.transform(F.map_entries("file_sources"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","
-    )
-    return found.withColumn("file_sources", files)
+    return store.template_table(rows, _labelled_reps(spark, sf_dir))
+
+
+@query
+def template_file_maps(spark, sf_dir):
+    """Three files to a map, so that the templates need several."""
+    maps = store.template_file_maps(store.template_files(labelled_events(spark, sf_dir)), per_map=3)
+    entries = F.transform(F.map_entries("file_sources"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return maps.withColumn("file_sources", F.array_join(entries, ","))
 
 
 @query

@@ -23,7 +23,6 @@ from logtide.sources.lines import name_selected
 ARCHIVE_NAME = r"(?i)\.(zip|tar|tgz|tar\.gz|tbz2|tar\.bz2|txz|tar\.xz)$"
 BUNDLE_MARKS = ("sosreport", "sos_commands")
 BUNDLE_FOLDERS = ("var/log/", "sos_logs/")
-BUNDLE_PROBE = 21
 BATCH_LINES = 5000
 
 MEMBERS = "archive string, member string, inner string, direct boolean"
@@ -74,7 +73,7 @@ def _names(source) -> tuple[list[str], bool]:
 
 def _bundle_names(names: list[str]) -> list[str] | None:
     """Members to keep of a diagnostic bundle, None for other archives."""
-    if not any(mark in n.lower() for n in names[:BUNDLE_PROBE] for mark in BUNDLE_MARKS):
+    if not any(mark in n.lower() for n in names for mark in BUNDLE_MARKS):
         return None
     return [n for n in names if n.split("/", 1)[-1].startswith(BUNDLE_FOLDERS)]
 

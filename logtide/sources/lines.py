@@ -28,7 +28,8 @@ def named_file_selected(name: Column, csv_enabled: bool = False) -> Column:
     Every suffix of the name counts, so ``a.xml.bak`` is refused as well.
     """
     refused = ["xml", "tsv"] + ([] if csv_enabled else ["csv", "xlsx"])
-    suffixes = F.slice(F.split(F.ltrim(name, F.lit(".")), r"\."), 2, 1000)
+    parts = F.split(F.ltrim(name, F.lit(".")), r"\.")
+    suffixes = F.slice(parts, F.lit(2), F.size(parts))
     return ~F.arrays_overlap(suffixes, F.array(*map(F.lit, refused)))
 
 

@@ -60,6 +60,6 @@ def matched_rows(
                 F.max("n").alias("n"), F.sort_array(F.collect_set(name)).alias("_ids")
             )
             processed = join_by_key(
-                processed, keyed, ["truncated_text"], "n", F.col("row_id"), "inner"
+                processed, keyed, ["truncated_text"], "n", "inner"
             ).withColumn(name, F.explode("_ids")).drop("_ids")
     return processed.withColumn("format", F.lit("%Y-%m-%d %H:%M:%S")).na.drop().orderBy("epoch", "row_id")

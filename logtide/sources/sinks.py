@@ -26,10 +26,6 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/log_entries")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def write_unquoted_csv(df: DataFrame, path: str) -> None:
     """CSV without quotes, one record per line: backslash, comma and line ends
     are escaped by a backslash."""

@@ -74,12 +74,6 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*_place(F.col("file_name"), F.col("doc_id") * 100000 + F.col("pos")), "value")
 
 
-def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_table(spark, sf_dir, "pages").select(
-        *_place(F.lit("pages.html"), F.col("page_id")), F.col("html").alias("value")
-    )
-
-
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as flat, nested, broken and empty JSON, and as plain text."""
     kind = F.col("event_id") % 5

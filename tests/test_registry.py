@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from logtide.functions import timestamps as tm
 from logtide.operators import records, windows
-from logtide.plans.common import join_by_key
 from logtide.registry.oracles import ORACLES
 from logtide.registry.queries import AS_OF, QUERIES, labelled_events
 from logtide.sources import tables
@@ -81,18 +80,6 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in plan_of(df)
 
 
-def test_hot_rows_are_scattered(spark):
-    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
-    table = rows.groupBy("k").count().selectExpr("k", "count AS n", "k + 1 AS v")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = join_by_key(rows, table, ["k"], "n", F.col("id"))
-        assert re.search(r"SortMergeJoin \[k#\d+L?, _spread#\d+L?\]", plan_of(df))
-        assert df.where("v IS NULL OR v <> k + 1").count() == 0
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_scan_reads_needed_columns_and_pushes_filters(spark):
     df = tables.table(spark, DATA, "events").where("event_type = 'error'").select("event_id")
     plan = plan_of(df)

@@ -71,15 +71,30 @@ def test_equals_one_by_one_learning(spark):
     assert [r.occurrences for r in listed] == sorted((r.occurrences for r in listed), reverse=True)
 
 
-def test_hot_leaf_is_cut_and_rejoined(spark):
+def test_large_leaf_has_one_rule(spark):
+    """More than 20,000 shapes in one leaf: pairs that belong together, and one template that takes many."""
     rng = random.Random(2)
-    lines = [f"start {a} task {''.join(rng.choice('abcdefgh') for _ in range(6))} done ok" for a in ("red", "blue") for _ in range(450)]
-    lines += [f"w{''.join(rng.choice('abcdefgh') for _ in range(3))} b" for _ in range(100)]
-    templated, table = templates.mine_templates(with_ids(spark, lines), shape_limit=50)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    pairs = [(word(), word(), word()) for _ in range(300)]
+    lines = [f"start {a} {b} {c} {word()} end{word()}" for a, b, c in pairs for _ in (0, 1)]
+    lines += [f"start red task of {word()} {word()}" for _ in range(20_500)]
+    templated, table = templates.mine_templates(with_ids(spark, lines))
+    found = {r.template: r.occurrences for r in table.collect()}
+    assert found == {f"start {a} {b} {c} <*> <*>": 2 for a, b, c in pairs} | {"start red task of <*> <*>": 20_500}
     assert templated.count() == len(lines)
-    assert table.agg(F.sum("occurrences")).first()[0] == len(lines)
-    assert "start <*> task <*> done ok" in {r.template for r in table.collect()}
-    assert templated.where("truncated_log LIKE 'start%'").select("template").distinct().count() == 1
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
+def test_learning_equals_one_by_one_at_any_similarity(similarity):
+    lines = list(dict.fromkeys(sample_lines(800, 7)))
+    wanted = one_by_one(lines, similarity)
+    leaves, chosen = {}, {}
+    for line in lines:
+        words = line.split(" ")
+        lead = words[0] if not any(c.isdigit() for c in words[0]) else "<*>"
+        leaf = leaves.setdefault((len(words) if line else 0, lead), templates.LeafTemplates(similarity))
+        chosen[line] = leaf, leaf.learn(words) if line else 0 if leaf.templates else leaf.add(words)
+    assert {line: " ".join(leaf.templates[i]) for line, (leaf, i) in chosen.items()} == wanted
 
 
 def test_match_templates(spark):
@@ -101,17 +116,45 @@ def test_exact_templates(spark):
     assert got == {"a b <:NUM:>": 2, "c": 1}
 
 
-def test_join_by_key_with_hot_keys(spark):
+def test_join_by_key(spark):
     rows = spark.range(20000).selectExpr("id", "if(id % 3 = 0, 0, id % 5000) AS k")
     table = rows.groupBy("k").count().where("k <> 7").selectExpr("k", "count AS n", "k * 10 AS v")
-    out = join_by_key(rows, table, ["k"], "n", F.col("id"))
-    assert out.count() == 20000
+    out = join_by_key(rows, table, ["k"], "n")
+    assert out.columns == ["id", "k", "v"] and out.count() == 20000
     assert out.where("k <> 7 AND (v IS NULL OR v <> k * 10)").count() == 0
     assert out.where("k = 7 AND v IS NOT NULL").count() == 0
-    inner = join_by_key(rows, table, ["k"], "n", F.col("id"), "inner")
+    inner = join_by_key(rows, table, ["k"], "n", "inner")
     assert inner.count() == rows.where("k <> 7").count()
 
 
+def test_many_equally_hot_keys_are_split(spark, tmp_path):
+    """1,001 keys of the same weight: each is joined in several tasks, without a broadcast."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.shuffle.partitions": "301",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 1_001 * 2000, 1, 16).selectExpr("id % 1001 AS k", "id", "uuid() AS text")
+        table = spark.range(1001).selectExpr("id AS k", "2000L AS n", "id + 1 AS v")
+        out = join_by_key(rows, table, ["k"], "n")
+        out.write.parquet(str(tmp_path / "joined"))  # a file per task
+        written = spark.read.parquet(str(tmp_path / "joined")).groupBy("k").agg(
+            F.countDistinct("_metadata.file_name").alias("tasks"), F.count_if(F.expr("v <> k + 1")).alias("wrong"),
+            F.count("v").alias("n"),
+        )
+        found = written.agg(F.min("tasks").alias("least"), F.sum("wrong").alias("wrong"), F.sum("n").alias("n")).first()
+        assert found.least > 1 and not found.wrong and found.n == 1_001 * 2000
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_dense_id(spark):
     df = spark.range(5000).selectExpr("pmod(hash(id), 100000) AS x", "id")
     got = dense_id(df, [F.col("x"), F.col("id")], "pos").orderBy("x", "id").select("pos").collect()

@@ -137,7 +137,7 @@ def test_summary_and_cards(spark):
     assert cards.total == len(listed) and cards.errors == sum(r.gs == "error" for r in listed)
 
 
-def test_store_limits_embedded_maps(spark):
+def test_store_counts_all_files(spark):
     rows = labelled(spark, random_rows(200, 3, files=4)).withColumn("template", F.lit("a <*> <*>")).withColumn(
         "variables", F.array(F.lit("x"))
     )
@@ -148,9 +148,12 @@ def test_store_limits_embedded_maps(spark):
     files = {}
     for r in store.template_files(rows).collect():
         files.setdefault(r.template_id, {})[r.file_source] = r.n
-    assert {t: r.file_sources for t, r in whole.items()} == files
+    maps, pieces = {}, store.template_file_maps(store.template_files(rows), per_map=2).collect()
+    assert all(len(r.file_sources) <= 2 for r in pieces) and len(pieces) > len(files)
+    for r in pieces:
+        maps.setdefault(r.template_id, {}).update(r.file_sources)
+    assert maps == files and {t: r.file_count for t, r in whole.items()} == {t: len(f) for t, f in files.items()}
     assert all(r.var_count == 2 and r.occurrence_count == sum(files[t].values()) for t, r in whole.items())
-    assert all(r.file_sources is None for r in store.template_table(rows, reps, max_file_map=1).collect() if r.file_count > 1)
     with pytest.raises(ValueError):
         store.template_table(rows.drop("variables"), reps)
 
