@@ -124,7 +124,8 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, report: boo
     """docs with the text that is left; ``report`` adds n_chunks, n_removed and n_lines_removed."""
     repeated = materialize(repeated_chunks(docs, min_lines), "repeated-chunks")
     lost = materialize(removals(docs, repeated, min_lines), "removals")
-    keyed = lost.select(F.col("doc_id").alias("_lost_id"), "digests")
+    # The removals grow with the corpus: one plan at every size, not a broadcast while they are few.
+    keyed = lost.select(F.col("doc_id").alias("_lost_id"), "digests").hint("merge")
     # Columns of docs travel as one struct, so that none of their names meets one used here.
     named = docs.select(F.struct(F.col("*")).alias("_doc"))
     joined = named.join(keyed, F.col("_doc.doc_id").cast("long") == F.col("_lost_id"), "left")
