@@ -166,7 +166,8 @@ def keep_good_documents(docs: DataFrame, min_left: float = MIN_LEFT, **limits) -
     )
     stays = F.array_join(F.filter(
         F.split("_text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x)))), "\n")
-    left = counted.join(gone, ["_host", "_t1", "_t2"], "left").withColumn(
+    # What is removed grows with the corpus: one plan at every size.
+    left = counted.join(gone.hint("merge"), ["_host", "_t1", "_t2"], "left").withColumn(
         "_left", F.when(F.col("_gone").isNotNull(), stays)
     ).where(F.col("_left").isNull() | (F.size(_words(F.col("_left"))) >= min_left * F.col("_c.n_words")))
     text = F.coalesce(F.col("_left"), F.col("_doc.text")).alias("text")

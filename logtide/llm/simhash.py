@@ -190,4 +190,5 @@ def one_of_each_group(
         "_doc", F.coalesce(F.col("_doc.doc_id").cast("long"), last).alias("id"),
         F.xxhash64(F.coalesce("_doc.text", F.lit(""))).alias("key"),
     )
-    return named_docs.join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("_doc.*")
+    # The ids that stay grow with the corpus: one plan at every size.
+    return named_docs.join(chosen.hint("merge"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("_doc.*")
