@@ -96,17 +96,25 @@ def timeline_documents(timeline: DataFrame) -> DataFrame:
 
 
 def temporal_evolution(labelled: DataFrame, rows: int = 30) -> DataFrame:
-    """Counts per non-information signal in equal bins over the whole span."""
+    """Counts per non-information signal in equal bins over the whole span, empty bins included."""
     shown = labelled.where(~is_info(F.col("golden_signal"))).select(
         "epoch", F.lower("golden_signal").alias("signal")
     )
     span = shown.agg(F.min("epoch").alias("_min"), F.max("epoch").alias("_max"))
     width = F.greatest(F.floor((F.col("_max") - F.col("_min")) / rows), F.lit(1))
-    span = span.select("_min", width.alias("_width"))
+    span = span.select("_min", "_max", width.alias("_width"))
     index = F.floor((F.col("epoch") - F.col("_min")) / F.col("_width"))
     names = [s for s in SIGNALS if s != "information"]
-    return (
-        shown.crossJoin(F.broadcast(span))
-        .groupBy(index.alias("bin_idx"), (F.col("_min") + index * F.col("_width")).alias("start_epoch"))
+    counts = (
+        shown.crossJoin(F.broadcast(span)).groupBy(index.alias("bin_idx"))
         .agg(*[F.count_if(F.col("signal") == s).alias(s) for s in names])
     )
+    last = F.floor((F.col("_max") - F.col("_min")) / F.col("_width"))
+    # About as many bins as rows asked for; those without records are there too.
+    bins = span.where("_min IS NOT NULL").select(
+        "_min", "_width", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin_idx")
+    )
+    return bins.join(counts, "bin_idx", "left").select(
+        "bin_idx", (F.col("_min") + F.col("bin_idx") * F.col("_width")).alias("start_epoch"),
+        *[F.coalesce(s, F.lit(0)).alias(s) for s in names],
+    )

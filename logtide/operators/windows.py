@@ -12,6 +12,7 @@ from logtide.functions.text import annotated_line, duration_label, preview, stri
 from logtide.functions.timestamps import epoch_to_utc_string
 from logtide.operators.classify import first_fault, is_info
 from logtide.plans.common import join_by_key
+from logtide.sources.sinks import CHUNK_BYTES, chunk_by_bytes
 
 # Window length, and the signals a viewer shows in colour.
 WINDOW_SECONDS = 30
@@ -148,26 +149,21 @@ def anomaly_items(labelled: DataFrame, placed: DataFrame, merged: DataFrame) ->
     )
 
 
-def anomaly_documents(items: DataFrame, per_document: int = 1000) -> DataFrame:
-    """Report documents: the items of an anomaly in time order, in pieces of at
-    most ``per_document`` so that no array grows with the window."""
+def anomaly_documents(items: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Report documents: the items of an anomaly in time order, in pieces of at most
+    ``limit`` bytes of report lines."""
     order = ["start_epoch", "root_id", "win", "record_id"]
-    ranged = items.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    place = F.row_number().over(Window.partitionBy("part", "root_id").orderBy("win", "record_id"))
+    chunked = chunk_by_bytes(items, order, limit, F.octet_length("text_output"))
     item = F.struct(
         "win", "record_id", strip_tags(F.col("text_output")).alias("log"),
         "file_name", "golden_signal", "template_id",
     )
-    pieces = (
-        ranged.withColumn("piece", F.floor((place - 1) / per_document))
-        .groupBy("root_id", "part", "piece")
-        .agg(
-            F.first("start_epoch").alias("start_epoch"), F.first("end_epoch").alias("end_epoch"),
-            F.sort_array(F.collect_list(item)).alias("items"),
-        )
+    pieces = chunked.groupBy("root_id", "chunk").agg(
+        F.first("start_epoch").alias("start_epoch"), F.first("end_epoch").alias("end_epoch"),
+        F.sort_array(F.collect_list(item)).alias("items"),
     )
     return pieces.select(
-        "root_id", "part", "piece",
+        "root_id", "chunk",
         duration_label(
             epoch_to_utc_string(F.col("start_epoch")), epoch_to_utc_string(F.col("end_epoch"))
         ).alias("duration"),

@@ -51,23 +51,30 @@ def join_by_key(
     )
 
 
-def dense_id(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
-    """Number rows 0..n-1 in the given total order.
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add, for each of ``sums``, its total over the rows before in the given total order.
 
-    Range partitioning spreads the rows, each partition numbers its own, and a
-    table with one row per partition carries the offsets.
+    Range partitioning spreads the rows, each partition sums its own, and a table
+    with one row per partition carries what lies before. Where the ranges are cut
+    changes nothing.
     """
     ranged = materialize(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name
+        df.withColumns(sums).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"
     )
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    offsets = totals.select(
+        "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums]
     )
-    local = Window.partitionBy("_part").orderBy(*order)
+    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.row_number().over(local) - 1 + start)
-        .drop("_part", "_offset")
+        .withColumns({c: F.col(f"_{c}") + F.coalesce(F.sum(c).over(local), F.lit(0)) for c in sums})
+        .drop("_part", *[f"_{c}" for c in sums])
     )
+
+
+def dense_id(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """Number rows from ``start`` on in the given total order."""
+    numbered = running_sums(df, order, {name: F.lit(1).cast("long")})
+    return numbered.withColumn(name, F.col(name) + start)

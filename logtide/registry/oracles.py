@@ -431,9 +431,10 @@ ORACLES["timeline_documents"] = WITH_TIMELINE + """SELECT file_name, bin_seconds
 ORACLES["temporal_evolution"] = WITH_LABELLED + f""", x AS (SELECT * FROM lab WHERE golden_signal <> 'information'),
  s AS (SELECT min(epoch) AS m, greatest(floor((max(epoch) - min(epoch)) / 30), 1) AS width FROM x),
  y AS (SELECT golden_signal, CAST(floor((epoch - m) / width) AS BIGINT) AS bin_idx, m, width FROM x, s)
- SELECT bin_idx, {us('any_value(m) + bin_idx * any_value(width)')} AS start_epoch, """ + ", ".join(
+ SELECT b.bin_idx, {us('any_value(b.m) + b.bin_idx * any_value(b.width)')} AS start_epoch, """ + ", ".join(
     f"count(*) FILTER (WHERE golden_signal = '{s}') AS {s}" for s in ("error", "availability", "latency", "saturation", "traffic")
-) + " FROM y GROUP BY bin_idx"
+) + """ FROM (SELECT unnest(range(0, (SELECT max(bin_idx) + 1 FROM y))) AS bin_idx, m, width FROM s) b
+ LEFT JOIN y ON y.bin_idx = b.bin_idx GROUP BY b.bin_idx"""
 
 # --- causality --------------------------------------------------------------------------------------
 
@@ -486,8 +487,25 @@ ORACLES["matched_interval"] = WITH_LABELLED + """SELECT event_id AS row_id, test
  JOIN (SELECT text, max(event_id) AS train_ids FROM lab WHERE event_id % 2 = 0 GROUP BY 1) USING (text)
  WHERE epoch BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-15')"""
 ORACLES["matcher_files"] = WITH_LABELLED + """SELECT text AS truncated_text, min(template_id) AS test_ids FROM lab GROUP BY 1"""
-ORACLES["chunk_by_bytes"] = WITH_LINES + "SELECT count(*) AS rows, true AS bounded FROM document_lines"
-ORACLES["report_size"] = WITH_LINES + "SELECT count(*) AS no_of_windows FROM document_lines"
+
+
+def _chunks(limit: int) -> str:
+    """Chunks of the document lines: rows above half the limit alone, the others cut at every further half."""
+    half = limit // 2
+    return WITH_LINES + f""", sized AS (SELECT file_name, line_seq, value, strlen(value) + 1 AS row_bytes FROM document_lines),
+ summed AS (SELECT *, row_bytes > {half} AS alone,
+  coalesce(sum(CASE WHEN row_bytes > {half} THEN 1 ELSE 0 END) OVER w, 0) AS after,
+  coalesce(sum(CASE WHEN row_bytes > {half} THEN 0 ELSE row_bytes END) OVER w, 0) AS small
+  FROM sized WINDOW w AS (ORDER BY file_name, line_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ chunked AS (SELECT file_name, line_seq, value, CAST(row_bytes AS BIGINT) AS row_bytes, CAST(after AS BIGINT) AS after, alone,
+  CASE WHEN alone THEN 0 ELSE CAST(small // {half} AS BIGINT) END AS piece FROM summed)
+"""
+
+
+ORACLES["chunk_by_bytes"] = _chunks(1024) + "SELECT file_name, line_seq, after, alone, piece, row_bytes FROM chunked"
+ORACLES["chunk_files"] = _chunks(64 * 1024) + """SELECT after || '-' || CAST(alone AS INT) || '-' || piece AS part, count(*) AS rows,
+ CAST(sum(row_bytes) AS BIGINT) AS bytes, max(sha256(file_name || '|' || line_seq || '|' || value)) AS largest FROM chunked GROUP BY 1"""
+ORACLES["report_size"] = _chunks(64 * 1024) + """SELECT count(DISTINCT (after, alone, piece)) AS no_of_chunks, count(*) AS no_of_windows FROM chunked"""
 ORACLES["run_metrics"] = WITH_LINES + r"""SELECT 'num_log_lines_total' AS name, count(*) * 1.0 AS value FROM document_lines
  UNION ALL SELECT 'num_log_lines_whitespaces', count(*) FILTER (WHERE regexp_replace(value, '\s+', '', 'g') = '') * 1.0 FROM document_lines
  UNION ALL SELECT 'num_log_lines_processed', count(*) * 2.0 FROM events"""

@@ -1007,21 +1007,35 @@ def matcher_files(spark, sf_dir):
     return matcher.read_matcher_files(spark, path, "test_ids", "*.txt")
 
 
+def _chunked_lines(spark, sf_dir, limit: int) -> DataFrame:
+    rows = tables.document_lines(spark, sf_dir).select("file_name", "line_seq", "value")
+    return sinks.chunk_by_bytes(rows, ["file_name", "line_seq"], limit, F.octet_length("value") + 1)
+
+
 @query
 def chunk_by_bytes(spark, sf_dir):
-    rows = tables.document_lines(spark, sf_dir)
-    chunked = sinks.chunk_by_bytes(rows, ["file_name", "line_seq"], 64 * 1024)
-    return sinks.chunk_sizes(chunked).agg(
-        F.sum("rows").alias("rows"),
-        F.every(F.col("bytes") - F.col("largest_row") < 64 * 1024).alias("bounded"),
+    """Chunks small enough that many rows stand alone."""
+    chunked = _chunked_lines(spark, sf_dir, 1024)
+    return chunked.select("file_name", "line_seq", "chunk.*", F.col("row_bytes").cast("long").alias("row_bytes"))
+
+
+@query
+def chunk_files(spark, sf_dir):
+    """The chunks written as JSON files of one folder each, and read back."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunked = _chunked_lines(spark, sf_dir, 64 * 1024)
+    name = F.concat_ws("-", F.col("chunk.after").cast("string"), F.col("chunk.alone").cast("int").cast("string"), F.col("chunk.piece").cast("string"))
+    chunked.select("file_name", "line_seq", "value", name.alias("part")).repartition("part").write.partitionBy("part").json(path)
+    back = spark.read.schema("file_name string, line_seq long, value string, part string").json(path)
+    return back.groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.max(F.sha2(F.concat_ws("|", "file_name", F.col("line_seq").cast("string"), "value"), 256)).alias("largest"),
     )
 
 
 @query
 def report_size(spark, sf_dir):
-    rows = tables.document_lines(spark, sf_dir)
-    chunked = sinks.chunk_by_bytes(rows, ["file_name", "line_seq"])
-    return sinks.report_size(sinks.chunk_sizes(chunked)).select("no_of_windows")
+    return sinks.report_size(sinks.chunk_sizes(_chunked_lines(spark, sf_dir, 64 * 1024)))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from logtide.plans.common import running_sums
 
 CHUNK_BYTES = int(2.5 * 1024 * 1024)  # fixed value: report chunks stay below this
 
@@ -53,27 +55,30 @@ def write_debug(
     )
 
 
-def chunk_by_bytes(df: DataFrame, order: list[str], limit: int = CHUNK_BYTES) -> DataFrame:
-    """Rows with the chunk (part, chunk) they fall in: runs in the given order
-    whose JSON bytes stay below limit, but for a last row that crosses it."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    ranged = df.withColumn("row_bytes", size).repartitionByRange(*order).withColumn(
-        "part", F.spark_partition_id()
-    )
-    before = F.coalesce(
-        F.sum("row_bytes").over(
-            Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    return ranged.withColumn("chunk", F.floor(before / limit))
+def chunk_by_bytes(
+    df: DataFrame, order: list[str], limit: int = CHUNK_BYTES, size: Column | None = None
+) -> DataFrame:
+    """Rows with their ``row_bytes`` and the ``chunk`` they fall in: runs in the given total
+    order whose bytes never exceed limit.
+
+    Rows above half the limit are chunks of their own; the others are cut each time the
+    bytes of such rows pass another half. ``chunk`` is (rows above half before, alone, piece) and
+    sorts like the rows. A row above the limit is a chunk above it. ``size`` is the
+    bytes of a row, by default those of its JSON.
+    """
+    half = limit // 2
+    sized = df.withColumn("row_bytes", size if size is not None else F.octet_length(F.to_json(F.struct(*df.columns))))
+    alone = F.col("row_bytes") > half
+    summed = running_sums(sized, [F.col(c) for c in order], {
+        "_large": alone.cast("long"), "_small": F.when(alone, 0).otherwise(F.col("row_bytes")).cast("long"),
+    })
+    piece = F.when(alone, 0).otherwise(F.floor(F.col("_small") / half))
+    chunk = F.struct(F.col("_large").alias("after"), alone.alias("alone"), piece.cast("long").alias("piece"))
+    return summed.withColumn("chunk", chunk).drop("_large", "_small")
 
 
 def chunk_sizes(chunked: DataFrame) -> DataFrame:
-    return chunked.groupBy("part", "chunk").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("bytes"),
-        F.max("row_bytes").alias("largest_row"),
-    )
+    return chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("bytes"))
 
 
 def report_size(sizes: DataFrame) -> DataFrame:

@@ -68,11 +68,12 @@ def test_documents_hold_every_item_in_order(spark):
     rows = labelled(spark, random_rows(500, 4))
     merged, placed = windows.merge_windows(windows.tumbling_windows(rows))
     items = windows.anomaly_items(rows, placed, merged)
-    documents = windows.anomaly_documents(items, per_document=7).collect()
-    assert all(len(d.logs) <= 7 for d in documents)
+    documents = windows.anomaly_documents(items, limit=600).collect()
+    assert all(sum(len(t.encode()) for t in d.logs) <= 600 for d in documents)
+    assert len(documents) > len({d.root_id for d in documents})
     assert sum(len(d.logs) for d in documents) == items.count()
     by_root = {}
-    for d in sorted(documents, key=lambda d: (d.root_id, d.part, d.piece)):
+    for d in sorted(documents, key=lambda d: (d.root_id, d.chunk)):
         by_root.setdefault(d.root_id, []).extend(d.logs)
     ordered = {}
     for r in items.orderBy("root_id", "win", "record_id").collect():
@@ -123,6 +124,9 @@ def test_timeline_totals(spark):
         assert len(mine) == len({r.signal for r in mine}) * (max(r.bin_idx for r in mine) + 1)
     evolution = timeline.temporal_evolution(labelled(spark, rows)).collect()
     assert sum(r.error + r.latency for r in evolution) == sum(r[4] != "information" for r in rows)
+    assert sorted(r.bin_idx for r in evolution) == list(range(len(evolution)))
+    few = timeline.temporal_evolution(labelled(spark, [rows[0], rows[-1]])).collect()
+    assert len(few) <= 32 and all(r.start_epoch is not None for r in few)
 
 
 def test_summary_and_cards(spark):
