@@ -70,32 +70,24 @@ def flatten_json(value: Column, sep: str = "_") -> Column:
     return flat(value)
 
 
-def _json_paths(key: str) -> list[str]:
-    """Paths whose flattened name is the key: every '_' may stand for nesting."""
-    paths = [[]]
-    for i, part in enumerate(key.split("_")):
-        paths = [[part]] if i == 0 else [
-            q for p in paths for q in ([*p[:-1], f"{p[-1]}_{part}"], [*p, part])
-        ]
-    return ["$" + "".join(f"['{name}']" for name in path) for path in paths]
-
-
-def json_field(parsed: Column, keys: Sequence[str]) -> Column:
-    """Text of the first configured key the object holds, nested keys included."""
-    nested = any("_" in key for key in keys)
-    paths = [p for key in keys for p in (_json_paths(key) if nested else [f"$['{key}']"])]
-    return F.coalesce(*[F.try_variant_get(parsed, p, "string") for p in paths])
-
-
 def json_records(
     lines: DataFrame, time_keys: Sequence[str], message_keys: Sequence[str], as_of: datetime
 ) -> tuple[DataFrame, DataFrame]:
-    """(parsed lines, discarded lines) of JSON object lines."""
-    parsed = F.try_parse_json("value")
+    """(parsed lines, discarded lines) of JSON object lines.
+
+    A key with '_' may be the joined path of a nested field: then each object is
+    flattened once, else its fields are read as they are.
+    """
+    if any("_" in key for key in [*time_keys, *message_keys]):
+        read = lines.withColumn("_fields", flatten_json(F.col("value")))
+        fields = lambda keys: [F.try_element_at("_fields", F.lit(k)) for k in keys]
+    else:
+        read = lines.withColumn("_fields", F.try_parse_json("value"))
+        fields = lambda keys: [F.try_variant_get("_fields", f"$['{k}']", "string") for k in keys]
     none = F.lit(None).cast("string")
-    time = json_field(parsed, time_keys) if time_keys else none
-    message = json_field(parsed, message_keys) if message_keys else none
-    read = lines.withColumn("ts_text", time).withColumn("_message", message)
+    read = read.withColumn("ts_text", F.coalesce(*fields(time_keys), none)).withColumn(
+        "_message", F.coalesce(*fields(message_keys), none)
+    )
     read = read.withColumn(
         "epoch", F.when(F.col("ts_text").isNotNull(), json_time_epoch("ts_text", as_of))
     )

@@ -95,8 +95,10 @@ def preprocess(
     timed, untimed = records.segment_records(
         records.parse_lines(text, as_of, order), chunk_bits
     )
+    # Figures of the whole corpus and the records themselves both read what JSON lines gave.
+    has_json = json_time and json_message
     built = records.build_records(
-        timed, untimed, kept if json_time and json_message else None, time_range, as_of
+        timed, untimed, materialize(kept, "json-records") if has_json else None, time_range, as_of
     )
     return built, discarded
 

@@ -241,6 +241,20 @@ WITH_BUILT = WITH_RECORDS + """, kept AS (SELECT * FROM recs WHERE digit_count /
 ORACLES["build_records"] = WITH_BUILT + """SELECT file_name, line_seq, epoch_us, ts_text,
  CASE WHEN token_count > b THEN substring(text, 1, b) ELSE text END AS truncated_log FROM built, bound"""
 
+ORACLES["json_section"] = WITH_RECORDS + f""", js AS (SELECT 'nested.json.log' AS file_name, event_id AS line_seq,
+  (epoch_us(ts) // 1000) * 1000 AS epoch_us, CAST(epoch_us(ts) // 1000 AS VARCHAR) AS ts_text, t AS text,
+  {digits('t')} AS digit_count, {digits('t')} + {letters('t')} + 1 AS char_count, {tokens('t')} AS token_count
+  FROM (SELECT *, {_JSON_TEXT} AS t FROM events)),
+ kept AS (SELECT * FROM (SELECT 0 AS section, file_name, line_seq, epoch_us, ts_text, text, digit_count, char_count, token_count FROM recs
+  UNION ALL SELECT 1, file_name, line_seq, epoch_us, ts_text, text, digit_count, char_count, token_count FROM js)
+  WHERE digit_count / char_count < 0.65),
+ built AS (SELECT section, file_name, line_seq, epoch_us, ts_text, text, token_count FROM kept
+  UNION ALL SELECT 2, file_name, line_seq, m, strftime(make_timestamp(m), '%Y-%m-%d %H:%M:%S'), text, token_count
+  FROM docs, (SELECT max(epoch_us) AS m FROM kept)),
+ bound AS (SELECT CAST(floor(avg(token_count) + 2 * stddev_samp(token_count)) AS INT) AS b FROM built)
+ SELECT section, file_name, line_seq, epoch_us, ts_text,
+ CASE WHEN token_count > b THEN substring(text, 1, b) ELSE text END AS truncated_log FROM built, bound"""
+
 # --- templates ----------------------------------------------------------------------------
 
 ORACLES["mask_variables"] = WITH_LINES + f"""SELECT file_name, line_seq, {mask(fold('value'))} AS masked FROM

@@ -16,7 +16,7 @@ from logtide.functions import masking, text as tx, timestamps as tm, tokens as t
 from logtide.operators import (
     causality, classify, explore, records, store, summary, tags, templates, timeline, windows,
 )
-from logtide.plans.analysis import Analysis, analyze
+from logtide.plans.analysis import Analysis, analyze, preprocess
 from logtide.plans.common import materialize, shared_dir
 from logtide.plans.session import tune
 from logtide.sources import archives, lines as ln, matcher, sinks, tables
@@ -460,6 +460,21 @@ def build_records(spark, sf_dir):
     )
 
 
+@query
+def json_section(spark, sf_dir):
+    """Text, JSON and untimed lines in one run; the keys of the JSON objects lie levels deep."""
+    lines = tables.event_lines(spark, sf_dir).union(tables.document_lines(spark, sf_dir)).union(
+        tables.nested_json_lines(spark, sf_dir)
+    )
+    built, _ = preprocess(
+        lines, AS_OF, json_time=[tables.NESTED_TIME], json_message=[tables.NESTED_MESSAGE], chunk_bits=CHUNK
+    )
+    return built.select(
+        F.col("record_id.section").alias("section"), "file_name", F.col("record_id.line_seq").alias("line_seq"),
+        micros(F.col("epoch")).alias("epoch_us"), "ts_text", "truncated_log",
+    )
+
+
 # --- templates ------------------------------------------------------------------
 
 

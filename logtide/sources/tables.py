@@ -96,6 +96,22 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NESTED_TIME = "meta_event_time_of_the_source_system"
+NESTED_MESSAGE = "log_a_b_c_d_e_f_g_h_i_j_k_message"
+
+
+def nested_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as objects whose fields ``NESTED_TIME`` and ``NESTED_MESSAGE`` lie levels deep."""
+    value = F.concat(
+        F.lit('{"log": {"a_b": {"c_d": {"e_f_g_h_i_j_k_message": "'), F.col("event_type"), F.lit(" by user "),
+        F.col("user_id").cast("string"), F.lit('"}}}, "meta": {"event_time": {"of_the_source": {"system": '),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string"), F.lit("}}}}"),
+    )
+    return spread_table(spark, sf_dir, "events").select(
+        *_place(F.lit("nested.json.log"), F.col("event_id")), value.alias("value")
+    )
+
+
 def order_lines(spark: SparkSession, sf_dir: str, rendered: str) -> DataFrame:
     """One line per order. ``rendered`` is the SQL text of its date, given ``t``,
     the order's date plus its key as seconds of the day."""

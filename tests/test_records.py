@@ -138,3 +138,16 @@ def test_untimed_only_input(spark):
 def test_clean_line(spark):
     df = spark.createDataFrame([("a\té  b\x0bc\nd",)], "t string")
     assert df.select(clean_line(F.col("t"))).first()[0] == "a b c\nd"
+
+
+def test_json_keys_with_many_underscores(spark):
+    """A key of 14 parts that lie flat, in some objects, or nowhere."""
+    key = "_".join("abcdefghijklmn")
+    values = [
+        '{"a_b": {"c_d_e": {"f_g_h_i_j_k_l_m_n": "deep"}}, "t": 1700000000}', f'{{"{key}": "flat", "t": 1700000001}}',
+        '{"a": {"b": "short"}, "t": 1700000002}', f'{{"{key}": "no time"}}',
+    ]
+    lines = spark.createDataFrame([("f", 0, i, v) for i, v in enumerate(values)], "file_name string, block_start long, line_seq long, value string")
+    kept, discarded = records.json_records(lines, ["t"], [key], datetime(2024, 2, 1, tzinfo=timezone.utc))
+    assert {(r.line_seq, r.text, r.epoch) for r in kept.collect()} == {(0, "deep", 1700000000.0), (1, "flat", 1700000001.0)}
+    assert {r.line_seq for r in discarded.collect()} == {2, 3}
