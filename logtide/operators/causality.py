@@ -13,7 +13,7 @@ from logtide.plans.common import materialize
 
 # Points per series, window length in strides, lags, significance.
 POINTS, WINDOW_STRIDES, MAX_LAG, SIGNIFICANCE, TOP_PAIRS = 1000, 5, 5, 0.05, 10
-BLOCK = 200  # series per block of the pair grid
+BLOCK = 64  # series per block of the pair grid
 
 
 def template_series(labelled: DataFrame) -> DataFrame:
@@ -84,8 +84,15 @@ def _lags(x: np.ndarray, lag: int) -> np.ndarray:
 
 
 def _residual(y: np.ndarray, x: np.ndarray) -> float:
-    fit = np.linalg.lstsq(x, y, rcond=None)[0]
-    return float(((y - x @ fit) ** 2).sum())
+    """Sum of squares that a least-squares fit leaves, by normal equations where they are sound."""
+    try:
+        left = y - x @ np.linalg.solve(x.T @ x, x.T @ y)
+        sound = np.abs(x.T @ left).max() <= 1e-9 * max(1.0, float(y @ y))
+    except np.linalg.LinAlgError:
+        sound = False
+    if not sound:
+        left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    return float(left @ left)
 
 
 def granger_p_values(x: np.ndarray, y: np.ndarray, max_lag: int = MAX_LAG) -> list[float] | None:

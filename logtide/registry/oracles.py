@@ -340,8 +340,7 @@ ORACLES["weighted_vote"] = """SELECT template_id, label, round(m, 6) AS mean_sco
  (SELECT user_id % 40 AS template_id, event_type AS label, avg(floor(value)) AS m, count(*) AS votes
   FROM events GROUP BY 1, 2)) WHERE r = 1"""
 ORACLES["template_signal_vote"] = WITH_REPS + """, v AS (SELECT template_id % 5 AS template_id, golden_signal,
-  count(*) AS votes, min(file_name) AS since, any_value(fault) AS fault FROM reps
-  WHERE template_id % 7 <> template_id // 1000 GROUP BY 1, 2)
+  count(*) AS votes, min(file_name) AS since, any_value(fault) AS fault FROM reps GROUP BY 1, 2)
  SELECT template_id, first(golden_signal ORDER BY votes DESC, since, golden_signal) AS golden_signal,
  first(fault ORDER BY since, golden_signal) AS fault_category FROM v GROUP BY 1"""
 ORACLES["signal_distribution"] = WITH_LABELLED + "SELECT golden_signal, count(*) AS occurrences FROM lab GROUP BY 1"
@@ -498,7 +497,7 @@ ORACLES["explore_page"] = WITH_LABELLED + f"""SELECT event_id AS entry_id, {_ENT
  WHERE floor(epoch) <= epoch(TIMESTAMP '2024-01-20') ORDER BY floor(epoch) DESC, file_name, event_id LIMIT 100"""
 ORACLES["matched_interval"] = WITH_LABELLED + """SELECT event_id AS row_id, test_ids, train_ids, text AS truncated_text,
  '%Y-%m-%d %H:%M:%S' AS format FROM lab JOIN (SELECT text, min(event_id) AS test_ids FROM lab GROUP BY 1) USING (text)
- JOIN (SELECT text, max(event_id) AS train_ids FROM lab WHERE event_id % 2 = 0 GROUP BY 1) USING (text)
+ JOIN (SELECT text, max(event_id) AS train_ids FROM lab GROUP BY 1) USING (text)
  WHERE epoch BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-15')"""
 ORACLES["matcher_files"] = WITH_LABELLED + """SELECT text AS truncated_text, min(template_id) AS test_ids FROM lab GROUP BY 1"""
 

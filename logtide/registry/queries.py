@@ -674,7 +674,8 @@ def weighted_vote(spark, sf_dir):
 
 @query
 def template_signal_vote(spark, sf_dir):
-    reps = _labelled_reps(spark, sf_dir).where("template_id % 7 <> template_id div 1000")
+    """Templates are folded to five, so that each gets votes for several signals."""
+    reps = _labelled_reps(spark, sf_dir)
     return classify.vote_signal(reps.withColumn("template_id", F.col("template_id") % 5))
 
 
@@ -865,10 +866,7 @@ def series_diff(spark, sf_dir):
 
 
 def _hourly_series(spark, sf_dir) -> DataFrame:
-    rows = labelled_events(spark, sf_dir).withColumn(
-        "template_id", F.floor(F.col("template_id") / 1000) * 10 + F.col("template_id") % 8
-    )
-    return materialize(causality.template_series(rows), "hourly")
+    return materialize(_series(spark, sf_dir), "hourly")
 
 
 @query
@@ -885,9 +883,7 @@ def causal_graph(spark, sf_dir):
     pairs = materialize(
         causality.granger_pairs(causality.differenced(_hourly_series(spark, sf_dir))), "pairs"
     )
-    labels = labelled_events(spark, sf_dir).groupBy(
-        (F.floor(F.col("template_id") / 1000) * 10 + F.col("template_id") % 8).alias("template_id")
-    ).agg(F.min_by("text", "record_id").alias("rep_log"), F.min("golden_signal").alias("golden_signal"))
+    labels = labelled_events(spark, sf_dir).groupBy("template_id").agg(F.min_by("text", "record_id").alias("rep_log"), F.min("golden_signal").alias("golden_signal"))
     nodes, edges = causality.causal_graph(pairs, labels)
     return edges.join(nodes.withColumnRenamed("id", "source"), "source").select(
         "source", "target", "label", "gs"
@@ -996,7 +992,7 @@ def matched_interval(spark, sf_dir):
         F.col("text").alias("truncated_text"), "epoch", F.col("record_id.line_seq").alias("row_id")
     )
     ids = rows.groupBy("truncated_text").agg(F.min("row_id").alias("test_ids"))
-    train = rows.where("row_id % 2 = 0").groupBy("truncated_text").agg(F.max("row_id").alias("train_ids"))
+    train = rows.groupBy("truncated_text").agg(F.max("row_id").alias("train_ids"))
     matched = matcher.matched_rows(rows, ids, train)
     start = datetime(2024, 1, 5, tzinfo=timezone.utc).timestamp()
     return records.interval_filter(matched, start, 10 * 86400).select(
