@@ -147,7 +147,8 @@ def granger_pairs(
                     values = granger_p_values(arrays[p], arrays[q])
                     if values and min(values) < SIGNIFICANCE:
                         found.append((ids[p], ids[q], values, min(values)))
-        out = pd.DataFrame(found, columns=["first_id", "second_id", "p_values", "min_p"])
+        # A pair of blocks may have no significant pair at all.
+        out = pd.DataFrame(found, columns=["first_id", "second_id", "p_values", "min_p"]).astype({"min_p": float})
         return out.nsmallest(top_k, "min_p", keep="all") if top_k else out
 
     tested = placed.groupBy("a", "b").applyInPandas(
