@@ -1,6 +1,14 @@
-"""Line deduplication by content-defined chunks.
+"""Line deduplication by windows of lines, or by content-defined chunks.
 
-The lines of a text are cut into chunks where a rolling hash over the hashes of the last
+``drop_shared_lines`` takes a chunk at every place: each MIN_LINES lines in a row are one,
+so every passage of that many lines or more that an earlier document holds is removed to
+its last line, wherever it begins. A line goes if a window over it stands in a document of
+smaller doc_id, or earlier in the text without overlap; so each line that goes is left in
+an earlier place. Blank lines are not part of a window; they go with the line before them,
+those in front with the first.
+
+``drop_repeated_lines`` takes disjoint chunks, which are a fraction as many and miss most
+short passages and the edges of long ones. The lines of a text are cut into chunks where a rolling hash over the hashes of the last
 WINDOW lines hits one of AVERAGE values, so the same run of lines is cut alike wherever
 it stands. A chunk of MIN_LINES lines or more that occurs in several documents stays in
 the one with the smallest doc_id and is removed from the others; repeated within a
@@ -10,7 +18,7 @@ Chunks go to groups with a partial aggregate in front, the removals come back as
 digests per document, and the join on a digest is one the engine can split when
 half the corpus shares a chunk.
 
-Cases: a null text is an empty one and stays null. Blank lines belong to the chunk they
+Cases: a null text is an empty one and stays null. Blank lines in a chunk belong to the chunk they
 stand in and don't count as lines. Rows with the same doc_id count as one document,
 and each loses the same chunks; rows without doc_id lose none but repeats of their own.
 Two different chunks of one digest are both left alone. A text that loses all is
@@ -19,12 +27,12 @@ empty. An empty table gives no rows. Other columns are kept as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logtide.llm.texts import blocks, id_and_text
+from logtide.llm.texts import BLOCK_BYTES, blocks, id_and_text
 from logtide.plans.common import materialize
 
 MIN_LINES = 2
@@ -33,6 +41,7 @@ WINDOW = 2
 AVERAGE = 4
 _BASE = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 _WORD = (1 << 64) - 1
+Cut = Callable[[str, int], dict[bytes, str]]
 
 
 def chunks(text: str) -> list[tuple[str, int]]:
@@ -72,21 +81,40 @@ def _long_chunks(text: str, min_lines: int) -> dict[bytes, str]:
     return {_digest(c): c for c, n in chunks(text) if n >= min_lines}
 
 
-def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def windows(text: str, min_lines: int = MIN_LINES) -> tuple[list[str], list[int], list[str]]:
+    """The lines, the places of those that hold a word, and each min_lines of these in a row."""
+    lines = text.split("\n")
+    places = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    filled = [lines[i] for i in places]
+    return lines, places, ["\n".join(filled[i : i + min_lines]) for i in range(len(filled) - min_lines + 1)]
+
+
+def _all_windows(text: str, min_lines: int) -> dict[bytes, str]:
+    return {_digest(w): w for w in windows(text, min_lines)[2]}
+
+
+def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES, cut_text: Cut = _long_chunks) -> DataFrame:
     """(digest, keep_id, n_docs) of the chunks that more than one document holds."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())],
+                ["doc_id", "digest", "chunk"],
+            )
+
         for batch in blocks(batches):
-            ids, digests, texts = [], [], []
+            ids, digests, texts, held = [], [], [], 0
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for digest, chunk in _long_chunks(text, min_lines).items():
+                for digest, chunk in cut_text(text, min_lines).items():
                     ids.append(doc)
                     digests.append(digest)
                     texts.append(chunk)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())],
-                ["doc_id", "digest", "chunk"],
-            )
+                    held += len(chunk)
+                    if held > BLOCK_BYTES:
+                        yield made()
+                        ids, digests, texts, held = [], [], [], 0
+            yield made()
 
     rows = id_and_text(docs).mapInArrow(cut, "doc_id long, digest binary, chunk string")
     # Groups are equal byte for byte; a digest with two of them names neither.
@@ -99,14 +127,16 @@ def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     ).where("variants = 1 AND keep_id < last_id").select("digest", "keep_id", "n_rows")
 
 
-def removals(docs: DataFrame, repeated: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def removals(
+    docs: DataFrame, repeated: DataFrame, min_lines: int = MIN_LINES, cut_text: Cut = _long_chunks
+) -> DataFrame:
     """(doc_id, digests): the chunks that each document loses to an earlier one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             ids, digests = [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                found = _long_chunks(text, min_lines)
+                found = cut_text(text, min_lines)
                 ids += [doc] * len(found)
                 digests += found
             yield pa.RecordBatch.from_arrays(
@@ -120,10 +150,55 @@ def removals(docs: DataFrame, repeated: DataFrame, min_lines: int = MIN_LINES) -
     )
 
 
+def _without_chunks(text: str, lost: set[bytes], min_lines: int) -> tuple[str, int, int, int]:
+    """The text that is left, its chunks, and how many of them and of their lines went."""
+    seen, kept, n, removed, lines = set(), [], 0, 0, 0
+    for chunk, count in chunks(text):
+        n += 1
+        if count >= min_lines and (chunk in seen or (lost and _digest(chunk) in lost)):
+            removed += 1
+            lines += count
+        else:
+            kept.append(chunk)
+            if count >= min_lines:
+                seen.add(chunk)
+    return "\n".join(kept), n, removed, lines
+
+
+def _without_windows(text: str, lost: set[bytes], min_lines: int) -> tuple[str, int, int, int]:
+    """The same with windows for chunks."""
+    lines, places, found = windows(text, min_lines)
+    first: dict[str, int] = {}
+    gone: set[int] = set()
+    removed = 0
+    for i, window in enumerate(found):
+        if first.setdefault(window, i) <= i - min_lines or (lost and _digest(window) in lost):
+            removed += 1
+            gone.update(range(i, i + min_lines))
+    if not gone:
+        return text, len(found), 0, 0
+    ends = [*places[1:], len(lines)]
+    starts = [0, *places[1:]]
+    kept = [line for i in range(len(places)) if i not in gone for line in lines[starts[i] : ends[i]]]
+    return "\n".join(kept), len(found), removed, len(gone)
+
+
+def drop_shared_lines(docs: DataFrame, min_lines: int = MIN_LINES, report: bool = False) -> DataFrame:
+    """docs without the lines of windows that stand in an earlier place; ``report`` as below, of windows."""
+    return _dropped(docs, min_lines, report, _all_windows, _without_windows)
+
+
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, report: bool = False) -> DataFrame:
     """docs with the text that is left; ``report`` adds n_chunks, n_removed and n_lines_removed."""
-    repeated = materialize(repeated_chunks(docs, min_lines), "repeated-chunks")
-    lost = materialize(removals(docs, repeated, min_lines), "removals")
+    return _dropped(docs, min_lines, report, _long_chunks, _without_chunks)
+
+
+def _dropped(
+    docs: DataFrame, min_lines: int, report: bool, cut_text: Cut,
+    without: Callable[[str, set[bytes], int], tuple[str, int, int, int]],
+) -> DataFrame:
+    repeated = materialize(repeated_chunks(docs, min_lines, cut_text), "repeated-chunks")
+    lost = materialize(removals(docs, repeated, min_lines, cut_text), "removals")
     # The removals grow with the corpus: one plan at every size, not a broadcast while they are few.
     keyed = lost.select(F.col("doc_id").alias("_lost_id"), "digests").hint("merge")
     # Columns of docs travel as one struct, so that none of their names meets one used here.
@@ -139,17 +214,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, report: boo
             if text is None:
                 out.append((None, 0, 0, 0))
                 continue
-            lost, seen, kept, n, removed, lines = set(gone if gone is not None else ()), set(), [], 0, 0, 0
-            for chunk, count in chunks(text):
-                n += 1
-                if count >= min_lines and (chunk in seen or (lost and _digest(chunk) in lost)):
-                    removed += 1
-                    lines += count
-                else:
-                    kept.append(chunk)
-                    if count >= min_lines:
-                        seen.add(chunk)
-            out.append(("\n".join(kept), n, removed, lines))
+            out.append(without(text, set(gone if gone is not None else ()), min_lines))
         return pd.DataFrame(out, columns=["text", "n_chunks", "n_removed", "n_lines_removed"])
 
     cut = joined.withColumn("_cut", left("_doc.text", "digests"))

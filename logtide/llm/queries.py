@@ -60,7 +60,7 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), report=True)
+    return line_chunks.drop_shared_lines(documents(spark, sf_dir).select("doc_id", "text"), report=True)
 
 
 @query

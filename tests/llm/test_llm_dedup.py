@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from logtide.llm import components, exact_dedup, line_chunks, simhash
+from logtide.llm.queries import LLM_QUERIES
 from logtide.plans.common import materialize
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -200,3 +201,56 @@ def test_shared_passage_goes(make):
     assert rows[41].text.count("shared line") < 30
     counted = Counter(r.n_chunks > 0 for r in rows.values())
     assert counted == {True: 42}
+
+
+def plain_shared_lines(rows, n=2):
+    """The first document of each n lines in a row that hold a word, then the lines left of every text."""
+    filled = lambda text: [i for i, x in enumerate(text.split("\n")) if x.strip()]
+    first = {}
+    for doc, text in rows:
+        at, lines = filled(text or ""), (text or "").split("\n")
+        for i in range(len(at) - n + 1):
+            if doc is not None:
+                window = tuple(lines[j] for j in at[i : i + n])
+                first[window] = min(doc, first.get(window, doc))
+    out = []
+    for doc, text in rows:
+        if text is None:
+            out.append((doc, None))
+            continue
+        at, lines, gone, seen = filled(text), text.split("\n"), set(), {}
+        for i in range(len(at) - n + 1):
+            window = tuple(lines[j] for j in at[i : i + n])
+            if seen.setdefault(window, i) + n <= i or (doc is not None and first[window] < doc):
+                gone |= {j for j in at[i : i + n]}
+        owner = lambda j: max([i for i in at if i <= j], default=at[0] if at else -1)
+        out.append((doc, "\n".join(x for j, x in enumerate(lines) if not gone or owner(j) not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("table", ["odd", "documents", "lines"])
+def test_shared_lines(request, make, table, equal):
+    if table == "lines":
+        rng = random.Random(9)
+        texts = ["\n".join(rng.choices(["a", "b b", "c", "d", "", " ", "e e", "f"], k=rng.randint(1, 9))) for _ in range(120)]
+        docs = make([(None if i % 11 == 0 else i // 2, t) for i, t in enumerate(texts)] + [(90, None)], clash=True)
+    else:
+        docs = request.getfixturevalue(table)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    left = line_chunks.drop_shared_lines(docs)
+    assert left.columns == docs.columns
+    equal(left.select("doc_id", "text").collect(), plain_shared_lines(rows))
+    assert line_chunks.drop_shared_lines(docs.where("false")).count() == 0
+
+
+def test_short_passages_go_whole(spark, make, tmp_path):
+    texts, lengths = [], list(range(2, 11)) * 2
+    for i, n in enumerate(lengths):
+        shared = [f"shared {i} line {k}" for k in range(n)]
+        texts += ["\n".join([f"own {i} {j} a", *shared, f"own {i} {j} b", f"own {i} {j} c"]) for j in range(2)]
+    make(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in LLM_QUERIES["op8_line_chunks"](spark, str(tmp_path)).collect()}
+    for i, n in enumerate(lengths):
+        assert rows[2 * i].text == texts[2 * i] and rows[2 * i].n_lines_removed == 0
+        assert rows[2 * i + 1].text == f"own {i} 1 a\nown {i} 1 b\nown {i} 1 c"
+        assert rows[2 * i + 1].n_lines_removed == n
