@@ -21,6 +21,7 @@ import hashlib
 import hmac
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 from math import isqrt
@@ -36,7 +37,8 @@ FIRST_DAY, DAYS = date(1900, 1, 1), 73_049  # up to 2099-12-31
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9.])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
+    # A whole run of groups with 13 digits or more; _cards looks for the numbers in it.
+    "card": r"(?<![0-9])(?=(?:[\x20-]?[0-9]){13})[0-9]++(?:[\x20-][0-9]++)*+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![\w+])(?:\+[1-9][0-9]{0,2}[\x20.-]?)(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,5}){1,4}(?![0-9])"
     r"|(?<![\w+])\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9])",
@@ -44,6 +46,17 @@ PATTERNS = {
     "date": r"(?<![0-9.])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|\.[0-9])",
 }
 
+#: How the digits of a card are grouped, if they are.
+CARD_GROUPS = (
+    (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 5, 6), (8, 8), (4, 3, 3, 3), (4, 4, 5), (6, 13), (4, 4, 4, 4, 3),
+)
+#: Beginnings and lengths in use, which decide between two valid numbers that overlap.
+ISSUED = re.compile(
+    r"4(?:.{12}|.{15}|.{18})|5[1-5].{14}|2[2-7].{14}|3[47].{13}|3(?:0[0-5]|[689].).{11}|35.{14}|(?:5[06-9]|6.).{11,17}"
+)
+_GROUP = re.compile("[0-9]+")
+_ANY_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")
+
 
 class Permutation:
     """Keyed permutations of range(n), without fixed points for n > 1."""
@@ -136,6 +149,51 @@ def _card(text: str, permute: Permutation) -> str | None:
     return _filled(text, body + next(c for c in "0123456789" if luhn(body + c)))
 
 
+def _cards(pattern: re.Pattern, text: str, permute: Permutation) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards in runs of digit groups, whatever numbers stand beside them.
+
+    Unbroken numbers and those in the usual groups go first, wherever in the run they are;
+    between them, other groupings are taken from the left, as long as they can be.
+    """
+    for match in pattern.finditer(text):
+        at = match.start()
+        spans = [m.span() for m in _GROUP.finditer(text, at, match.end())]
+        if text[at - 1 : at] == ".":
+            del spans[0]  # decimals
+        sizes = [end - start for start, end in spans]
+        usual = []
+        for i, size in enumerate(sizes):
+            forms = [(size,)] if 13 <= size <= 19 else [f for f in CARD_GROUPS if tuple(sizes[i : i + len(f)]) == f]
+            for form in forms:
+                start, end = spans[i][0], spans[i + len(form) - 1][1]
+                new = _card(text[start:end], permute)
+                if new is not None:
+                    digits = "".join(_GROUP.findall(text[start:end]))
+                    # Spaces inside, and a hyphen that ties an outer group to a number beside it.
+                    tied = " " in text[start:end] and (
+                        (i > 0 and text[start - 1] == "-") or (i + len(form) < len(spans) and text[end] == "-")
+                    )
+                    usual.append((tied, not ISSUED.fullmatch(digits), i, i + len(form), new))
+        taken: dict[int, tuple[int, str]] = {}
+        used: set[int] = set()
+        for _, _, i, j, new in sorted(usual):
+            if used.isdisjoint(range(i, j)):
+                used.update(range(i, j))
+                taken[i] = j, new
+        i = 0
+        while i < len(spans):
+            if i in taken:
+                j, new = taken[i]
+                yield spans[i][0], spans[j - 1][1], new
+            else:
+                j = next((k for k in range(i, len(spans)) if k in taken), len(spans))
+                for other in _ANY_CARD.finditer(text, spans[i][0], spans[j - 1][1]):
+                    new = _card(other.group(), permute)
+                    if new is not None:
+                        yield *other.span(), new
+            i = j
+
+
 def _ssn(text: str, permute: Permutation) -> str | None:
     area, group, serial = map(int, text.split("-"))
     if not 1 <= area <= 899 or area == 666 or not group or not serial:
@@ -247,6 +305,19 @@ def _email(text: str, permute: Permutation) -> str | None:
 WRITERS = {
     "email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date,
 }
+#: Kinds whose numbers are not whole matches of their pattern.
+SEARCHES = {"card": _cards}
+
+
+def _found(kind: str, pattern: re.Pattern, text: str, permute: Permutation) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the valid values of a kind."""
+    if kind in SEARCHES:
+        yield from SEARCHES[kind](pattern, text, permute)
+        return
+    for match in pattern.finditer(text):
+        new = WRITERS[kind](match.group(), permute)
+        if new is not None:
+            yield *match.span(), new
 
 
 class Pseudonymiser:
@@ -264,10 +335,8 @@ class Pseudonymiser:
             return []
         found = []
         for place, (kind, pattern) in enumerate(self.patterns):
-            for match in pattern.finditer(text):
-                new = WRITERS[kind](match.group(), self.permute)
-                if new is not None:
-                    found.append((match.start(), place, match.end(), kind, new))
+            for start, stop, new in _found(kind, pattern, text, self.permute):
+                found.append((start, place, stop, kind, new))
         out, end = [], 0
         for start, _, stop, kind, new in sorted(found):
             if start >= end:

@@ -89,6 +89,29 @@ def test_iban_and_invalid_values():
         assert rewrite(text) == (text, {})
 
 
+def test_cards_beside_other_numbers():
+    rng = random.Random(3)
+    rewrite = pseudonyms.Pseudonymiser(KEY, ("card",))
+    plain, grouped, amex = "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"
+    for value in (plain, grouped, grouped.replace(" ", "-"), amex, "378282246310005", "41111111 11111111"):
+        new = rewrite(value)[0]
+        assert new != value
+        for text in (
+            "{} 12/27", "{} 123", "{} 12/27 123", "{} 12 27 123", "{} 1234", "item 2 {}", "1 2 3 {} 4 5 6", "2 {} x {} 3",
+            "0.5 {}", "12345678901234567890 {} 12345678901234567890", "{}-12",
+        ):
+            assert rewrite(text.replace("{}", value)) == (text.replace("{}", new), {"card": text.count("{}")}), (text, value)
+    assert rewrite(f"{plain} {grouped} {amex}")[0] == " ".join(rewrite(x)[0] for x in (plain, grouped, amex))
+    for _ in range(300):  # a group tied to a number in front is not the card's first
+        number = " ".join(re.findall("....", "4" + card(rng)[1:]))
+        if pseudonyms.luhn(number.replace(" ", "")):
+            assert rewrite(f"555-{rng.randint(4000, 4999)} {number}")[0].endswith(" " + rewrite(number)[0])
+    for text in (f"0.{plain}", f"{plain}0000", "4111 1111 1111 1112 12/27", "1 2 3 4"):
+        assert rewrite(text) == (text, {})
+    long = " ".join(rng.choice("0123456789") * rng.randint(1, 3) for _ in range(100_000))
+    assert rewrite(f"{plain} {long}")[0].startswith(rewrite(plain)[0] + " ")
+
+
 def test_pseudonyms_of_a_table(odd, equal):
     rows = odd.withColumn("text", F.concat("text", F.lit(" mail a1@b.org"))).cache()
     new = pseudonyms.pseudonymised(rows, KEY)
