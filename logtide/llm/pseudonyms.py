@@ -231,6 +231,32 @@ def _phone(text: str, permute: Permutation) -> str | None:
             return _filled(text, code + new)
 
 
+def _phone_end(text: str) -> int:
+    """Where the number ends in a match that may have swallowed the groups behind it."""
+    if text[0] != "+":
+        return len(text)
+    ends, digits = [], 0
+    for match in _GROUP.finditer(text):
+        digits += len(match.group())
+        ends.append((match.end(), digits))
+    if text[1] == "1":  # ten digits follow +1; other plans have no fixed length
+        national = [end for end, digits in ends if digits == 11]
+        if national:
+            return national[0]
+    return max((end for end, digits in ends if digits <= 15), default=len(text))
+
+
+def _phones(pattern: re.Pattern, text: str, permute: Permutation) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the phones; the search goes on right behind each."""
+    match = pattern.search(text)
+    while match:
+        start, end = match.start(), match.start() + _phone_end(match.group())
+        new = _phone(text[start:end], permute)
+        if new is not None:
+            yield start, end, new
+        match = pattern.search(text, start + 1 if new is None else end)
+
+
 def _ip(text: str, permute: Permutation) -> str | None:
     octets = [int(p) for p in text.split(".")]
     if max(octets) > 255:
@@ -306,7 +332,7 @@ WRITERS = {
     "email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date,
 }
 #: Kinds whose numbers are not whole matches of their pattern.
-SEARCHES = {"card": _cards}
+SEARCHES = {"card": _cards, "phone": _phones}
 
 
 def _found(kind: str, pattern: re.Pattern, text: str, permute: Permutation) -> Iterator[tuple[int, int, str]]:

@@ -112,6 +112,20 @@ def test_cards_beside_other_numbers():
     assert rewrite(f"{plain} {long}")[0].startswith(rewrite(plain)[0] + " ")
 
 
+def test_phones_followed_by_numbers():
+    rewrite = pseudonyms.Pseudonymiser(KEY, ("phone",))
+    for value in ("+1 (743) 555-3824", "+1 743 555 3824", "+1.743.555.3824", "+17435553824", "+1-743-555-3824", "743-555-3824"):
+        new = rewrite(value)[0]
+        assert new != value
+        for behind in (" 24", " 98079", "-24", " 24 98079 11", " 123456", " 1234567890", " 12/27", " 3824.50", ". 24", " 4111 1111 1111 1111"):
+            assert rewrite(value + behind) == (new + behind, {"phone": 1}), (value, behind)
+        assert rewrite(f"{value} 98079 {value} {value}") == (f"{new} 98079 {new} {new}", {"phone": 3})
+    long = "+44 20 7946 0958 123"
+    assert rewrite(long + " 98079") == (rewrite(long)[0] + " 98079", {"phone": 1})
+    assert rewrite("+33 1 23 45 67 89")[1] == {"phone": 1}
+    assert rewrite("+49 123456789012345678") == ("+49 123456789012345678", {})
+
+
 def test_pseudonyms_of_a_table(odd, equal):
     rows = odd.withColumn("text", F.concat("text", F.lit(" mail a1@b.org"))).cache()
     new = pseudonyms.pseudonymised(rows, KEY)
