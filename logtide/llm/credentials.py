@@ -2,16 +2,17 @@
 
 Each kind is found leftmost and without overlaps. Strong parts (assign, access, hex)
 are always reported. Weak parts, which alone mean little, are reported only if
-parts that complete them start within SCOPE code points in the same text:
+parts that complete them lie within SCOPE code points in the same text, measured from the
+end of the earlier to the start of the later:
 
 * weak_id (short access keys, names of users and clients): needs a secret,
 * weak_secret (short assigned values): needs an identifier or an endpoint,
 * endpoint (URLs, addresses, hosts with a port): needs an identifier and a secret.
 
 The co-occurrence is an interval join of weak parts with per-slot extremes: texts are
-cut in slots of SCOPE code points, and of each slot and role only the first and
-last start take part, which decides every case with at most one row per slot and
-role. So a text full of parts makes no pairs.
+cut in slots of SCOPE code points, a part is in every slot it reaches, and of each slot
+and role only the first start and the last end take part, which decides every case with at
+most one row per slot and role. So a text full of parts makes no pairs.
 
 Cases: a null text is an empty one; a text without parts gives zero counts and empty
 spans. Rows that repeat a doc_id, or have none, are texts of their own. An empty table
@@ -99,16 +100,17 @@ def completed_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     each = parts.where(F.exists("parts", lambda p: p["kind"] >= N_STRONG)).select(
         "row", F.explode("parts").alias("p")
     ).select("row", "p.*").withColumn("role", F.element_at(roles, F.col("kind") + 1))
-    each = each.withColumn("slot", F.floor(F.col("start") / scope))
-    extremes = each.groupBy("row", "slot", "role").agg(
-        F.min("start").alias("first"), F.max("start").alias("last")
+    each = each.withColumns({"low": F.floor(F.col("start") / scope), "high": F.floor(F.col("end") / scope)})
+    extremes = each.withColumn("slot", F.explode(F.sequence("low", "high"))).groupBy("row", "slot", "role").agg(
+        F.min("start").alias("first"), F.max("end").alias("last")
     ).withColumnRenamed("role", "other")
     weak = each.where(F.col("kind") >= N_STRONG).select(
         "row", "kind", "start", "end", "role",
-        F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"),
+        F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)).alias("slot"),
     )
-    # In a part's own slot every start is near; before it the last decides, behind it the first.
-    near = (F.col("first") <= F.col("start") + scope) & (F.col("last") >= F.col("start") - scope)
+    # In a slot that a part reaches every other part is near; in the one before, the last end
+    # decides, in the one behind the first start.
+    near = (F.col("first") <= F.col("end") + scope) & (F.col("last") >= F.col("start") - scope)
     met = weak.join(extremes, ["row", "slot"]).where(near & (F.col("role") != F.col("other")))
     seen = lambda role: F.max((F.col("other") == role).cast("int"))
     linked = met.groupBy("row", "kind", "start", "end", "role").agg(

@@ -200,6 +200,35 @@ def test_weak_parts_need_each_other(make):
     assert spans[8] == "endpoint:0:13,weak_id:14:22,weak_secret:23:35"
 
 
+def gap_report(text, scope=credentials.SCOPE):
+    """plain_report with distances from the end of the earlier part to the start of the later."""
+    parts, spans = credentials._finder()(text), plain_scan(text)
+    for kind, start, end in parts:
+        if kind >= 3:
+            near = {credentials.ROLES[k] for k, s, e in parts if max(s - end, start - e) <= scope}
+            role = credentials.ROLES[kind]
+            if {"id": "secret" in near, "secret": bool(near & {"id", "endpoint"}), "endpoint": near >= {"id", "secret"}}[role]:
+                spans.append((start, kind, end))
+    return ",".join(f"{credentials.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+
+
+def test_scope_is_measured_between_parts(make):
+    rng = random.Random(12)
+    token = "token=" + "eyJhbGci." * 100
+    texts = [
+        f"{token} client_id=abc https://a.example.com/x", f"client_id=abc https://a.example.com/x {token}",
+        *(f"{token}{' ' * gap}client_id=abc" for gap in (399, 400, 401)), *(f"client_id=abc{' ' * gap}{token}" for gap in (399, 400, 401)),
+        "https://a.example.com/" + "x" * 900 + " user=eve pwd=hunter22",
+    ]
+    pieces = [token, "user=eve", "pwd=hunter22", "https://a.example.com/" + "y" * 700, "10.0.0.1:5432", "0123456789abcdef" * 60, "login: bob"]
+    for _ in range(200):
+        texts.append("".join(rng.choice(pieces) + " " * rng.choice([1, 100, 380, 399, 400, 401, 402, 800]) for _ in range(rng.randint(2, 8))))
+    spans = [r.spans for r in credentials.secret_scan(make(texts)).orderBy("doc_id").collect()]
+    assert spans == [gap_report(t) for t in texts]
+    assert spans[0] == f"assign:0:{len(token)},weak_id:907:920,endpoint:921:944"
+    assert ["weak_id" in s for s in spans[1:8]] == [True, True, True, False, True, True, False]
+
+
 # --- classifier ---------------------------------------------------------------
 
 
