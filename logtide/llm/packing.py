@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logtide.llm.texts import TOKENIZER_FOLDER, TextEncoder, blocks, id_and_text
+from logtide.llm.texts import TextEncoder, blocks, id_and_text, tokenizer_path, worker_kept
 from logtide.plans.common import materialize
 
 GROUP = 65_536  # pieces packed together
@@ -38,7 +38,7 @@ def token_pieces(
     """A row per piece: its document's ids and the end id, cut every ``capacity`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(path, keeps_space)
+        encode = worker_kept(("encoder", path, keeps_space), lambda: TextEncoder(path, keeps_space))
         end, width = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in blocks(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -114,10 +114,11 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
 
 def packed_sequences(
     docs: DataFrame,
-    path: str = f"{TOKENIZER_FOLDER}/word_bpe_49k.json",
+    path: str | None = None,
     keeps_space: bool = False,
     end_id: int = 0,
     capacity: int = 2048,
 ) -> DataFrame:
     """Each piece of each document with the sequence that holds it and its place there."""
+    path = path or tokenizer_path("word_bpe_49k.json")
     return pack(materialize(token_pieces(docs, path, keeps_space, end_id, capacity), "pieces"), capacity)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.llm import (
-    credentials, exact_dedup, factor_model, line_chunks, line_frequency, packing, pseudonyms, simhash, token_files,
-    trie_bpe,
+    credentials, exact_dedup, factor_model, line_chunks, line_frequency, packing, periodic_runs, pseudonyms, simhash,
+    token_alignment, token_files, trie_bpe,
 )
 from logtide.llm.texts import documents
 
@@ -73,6 +73,47 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_report(documents(spark, sf_dir))
 
 
+@query
+def op12_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.alignments(documents(spark, sf_dir))
+    return found.withColumn(
+        "groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups"), 256))
+    ).drop("groups")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one document of ten, by its id's crc32, the words from one place on repeat a period."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    planted = F.expr("""
+        concat(slice(words, 1, CAST(a AS INT)), slice(flatten(array_repeat(
+            slice(words, CAST(a AS INT) + 1, CAST(p AS INT)), CAST(ceil((n - a) / p) AS INT)
+        )), 1, CAST(n - a AS INT)))
+    """)
+    return (
+        cut.withColumns({"n": F.size("words").cast("long"), "g": F.floor(F.col("h") / 10)})
+        .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+        .withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+        .select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    )
+
+
+@query
+def op13_multiscale_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    greatest = F.expr("""
+        reduce(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>),
+            (m, r) -> CASE WHEN m IS NULL OR r.length * m.period > m.length * r.period THEN r ELSE m END)
+    """)
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("top", greatest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("text"), 256).alias("collapsed_sha256"),
+    )
+
+
 LLM_ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
 WITH n AS (

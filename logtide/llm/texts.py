@@ -3,14 +3,39 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TOKENIZER_FOLDER = "/opt/tokenizers"
+
 BLOCK_BYTES = 4 << 20  # text that a Python worker holds as Python objects at once
 CACHED_PIECES = 600_000  # distinct pieces of text whose ids a task keeps
+T = TypeVar("T")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def worker_kept(key: tuple, make: Callable[[], T]) -> T:
+    """The object of that key, made once in the life of a Python worker.
+
+    This package reaches the workers by value, anew with every task, so its own globals
+    don't last; a module that is only entered there does. For pure functions with bounded
+    caches: a new worker has lost nothing but time.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_logtide_kept", types.ModuleType("_logtide_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

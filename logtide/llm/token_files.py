@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from logtide.llm.texts import TOKENIZER_FOLDER, TextEncoder, blocks, id_and_text
+from logtide.llm.texts import TextEncoder, blocks, id_and_text, tokenizer_path, worker_kept
 from logtide.plans.common import shared_dir
 
 FILE_SCHEMA = "part int, row long, doc_id long, n_tokens long, ids array<int>"
@@ -32,7 +32,7 @@ PAGE_ROWS = 1000
 def write_tokens(
     docs: DataFrame,
     folder: str,
-    path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json",
+    path: str | None = None,
     keeps_space: bool = True,
     end_id: int = 2,
     encoding: str = "dictionary",
@@ -46,9 +46,11 @@ def write_tokens(
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
+    path = path or tokenizer_path("byte_bpe_50k.json")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, row = TextEncoder(path, keeps_space), end_id.to_bytes(4, "little"), 0
+        encode = worker_kept(("encoder", path, keeps_space), lambda: TextEncoder(path, keeps_space))
+        end, row = end_id.to_bytes(4, "little"), 0
         part = TaskContext.get().partitionId()
         for batch in blocks(batches):
             ids = [i + end for i in encode(batch["text"].to_pylist())]

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logtide.llm.texts import CACHED_PIECES, TOKENIZER_FOLDER, blocks, byte_letters, id_and_text
+from logtide.llm.texts import CACHED_PIECES, blocks, byte_letters, id_and_text, tokenizer_path, worker_kept
 
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,11 +167,12 @@ class TrieEncoder:
         return [[self.cache[p] for p in ps] for ps in pieces]
 
 
-def encoded_and_decoded(docs: DataFrame, path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json") -> DataFrame:
+def encoded_and_decoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row the number of ids, their digest, and the digest of the text decoded from them."""
+    path = path or tokenizer_path("byte_bpe_50k.json")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TrieEncoder(path)
+        encoder = worker_kept(("trie", path), lambda: TrieEncoder(path))
         for batch in blocks(batches):
             sizes, ids, texts = [], [], []
             for found in encoder(batch["text"].to_pylist()):
