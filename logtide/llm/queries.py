@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.llm import (
-    credentials, exact_dedup, factor_model, line_chunks, line_frequency, packing, periodic_runs, pseudonyms, simhash,
+    credentials, exact_dedup, factor_model, katz, line_chunks, line_frequency, packing, periodic_runs, pseudonyms, simhash,
     token_alignment, token_files, trie_bpe,
 )
 from logtide.llm.texts import documents
@@ -73,6 +73,11 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_report(documents(spark, sf_dir))
 
 
+@query
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir), order=2, folds=5, fold=1)
+
+
 @query
 def op12_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_alignment.alignments(documents(spark, sf_dir))
