@@ -13,7 +13,7 @@ from logtide.plans.common import materialize
 
 # Points per series, window length in strides, lags, significance.
 POINTS, WINDOW_STRIDES, MAX_LAG, SIGNIFICANCE, TOP_PAIRS = 1000, 5, 5, 0.05, 10
-BLOCK = 64  # series per block of the pair grid
+BLOCK = 128  # series per block of the pair grid
 
 
 def template_series(labelled: DataFrame) -> DataFrame:
@@ -113,6 +113,104 @@ def granger_p_values(x: np.ndarray, y: np.ndarray, max_lag: int = MAX_LAG) -> li
     return out
 
 
+def _moments(x: np.ndarray, y: np.ndarray, max_lag: int) -> list[np.ndarray]:
+    """For each lag p: sums of products of lagged series, as (series of x, series of y, p + 1, p + 1).
+
+    One matrix product gives the sums over the places that the longest lag leaves; a
+    shorter lag has a few places more, whose products are added.
+    """
+    n = x.shape[1]
+    lagged = lambda z: np.stack([z[:, max_lag - k : n - k] for k in range(max_lag + 1)], 1)
+    a, b = lagged(x), lagged(y)
+    whole = (a.reshape(-1, n - max_lag) @ b.reshape(-1, n - max_lag).T).reshape(len(x), max_lag + 1, len(y), max_lag + 1)
+    whole = whole.transpose(0, 2, 1, 3)
+    out = [whole]
+    for p in range(max_lag - 1, 0, -1):
+        one, other = x[:, p::-1], y[:, p::-1]  # place p, at lags 0 to p
+        out.append(out[-1][:, :, : p + 1, : p + 1] + np.einsum("ik,jl->ijkl", one, other))
+    return out[::-1]
+
+
+def _totals(x: np.ndarray, p: int) -> np.ndarray:
+    """Sums of each series at lags 0 to p over the places that lag p leaves."""
+    n = x.shape[1]
+    return np.stack([x[:, p - k : n - k].sum(axis=1) for k in range(p + 1)], 1)
+
+
+def _sound(x: np.ndarray, max_lag: int) -> np.ndarray:
+    """Series that are constant at none of the lags of any test."""
+    n = x.shape[1]
+    good = np.ones(len(x), bool)
+    for p in range(1, max_lag + 1):
+        for k in range(1, p + 1):
+            good &= np.ptp(x[:, p - k : n - k], axis=1) > 0
+    return good
+
+
+def _left(gram: np.ndarray, target: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Sums of squares that stacked fits leave, by their normal equations; nan where those are not sound."""
+    try:
+        found = np.linalg.solve(gram, target[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        half = len(gram) // 2
+        if not half:
+            return np.full(square.shape, np.nan)
+        return np.concatenate([_left(gram[c], target[c], square[c]) for c in (slice(half), slice(half, None))])
+    left = square - (found * target).sum(axis=-1)
+    error = np.abs((gram @ found[..., None])[..., 0] - target).max(axis=-1)
+    return np.where((error <= 1e-9 * np.maximum(1.0, square)) & (left > 1e-9 * square), left, np.nan)
+
+
+def granger_grid(
+    x: np.ndarray, y: np.ndarray, wanted: np.ndarray | None = None, max_lag: int = MAX_LAG
+) -> tuple[np.ndarray, np.ndarray]:
+    """p-values (series of x, series of y, lag) of each y helping to predict each x, and which of the wanted pairs
+    can be tested.
+
+    All fits come from the lagged moments: for each lag the systems of all y against one x
+    are solved in one call. Pairs whose systems are close to singular are fitted one by one.
+    """
+    n, found = x.shape[1], np.full((len(x), len(y), max_lag), np.nan)
+    if n <= 3 * max_lag + 1:
+        return found, np.zeros(found.shape[:2], bool)
+    good = _sound(x, max_lag)[:, None] & _sound(y, max_lag)[None, :]
+    if wanted is not None:
+        good &= wanted
+    xy = _moments(x, y, max_lag)
+    xx, yy = ([np.stack(m)[:, 0, 0] for m in zip(*[_moments(s[None], s[None], max_lag) for s in z])] for z in (x, y))
+    odd = np.zeros(found.shape[:2], bool)
+    for p in range(1, max_lag + 1):
+        places, tx, ty = n - p, _totals(x, p), _totals(y, p)
+        # Regressors: x at lags 1 to p, one, y at lags 1 to p.
+        own = np.empty((len(x), p + 1, p + 1))
+        own[:, :p, :p] = xx[p - 1][:, 1:, 1:]
+        own[:, :p, p] = own[:, p, :p] = tx[:, 1:]
+        own[:, p, p] = places
+        reached = np.concatenate([xx[p - 1][:, 1:, 0], tx[:, :1]], 1)
+        square = xx[p - 1][:, 0, 0]
+        alone = _left(own, reached, square)
+        for i in range(len(x)):
+            gram = np.empty((len(y), 2 * p + 1, 2 * p + 1))
+            gram[:, : p + 1, : p + 1] = own[i]
+            gram[:, p + 1 :, p + 1 :] = yy[p - 1][:, 1:, 1:]
+            across = np.concatenate([xy[p - 1][i][:, 1:, 1:], ty[:, None, 1:]], 1)
+            gram[:, : p + 1, p + 1 :] = across
+            gram[:, p + 1 :, : p + 1] = across.transpose(0, 2, 1)
+            target = np.concatenate([np.broadcast_to(reached[i], (len(y), p + 1)), xy[p - 1][i][:, 0, 1:]], 1)
+            at = np.flatnonzero(good[i])
+            if not len(at):
+                continue
+            joint = _left(gram[at], target[at], np.full(len(at), square[i]))
+            statistic = places * (alone[i] - joint) / joint
+            odd[i, at] |= np.isnan(statistic)
+            found[i, at, p - 1] = [chi2_survival(s, p) if s == s else np.nan for s in statistic.tolist()]
+    for i, j in zip(*np.nonzero(odd)):
+        values = granger_p_values(x[i], y[j], max_lag)
+        good[i, j] = values is not None
+        found[i, j] = values or np.nan
+    return found, good
+
+
 def granger_pairs(
     diffs: DataFrame, top_k: int | None = TOP_PAIRS, both_ways: bool = False, block: int = BLOCK
 ) -> DataFrame:
@@ -134,19 +232,21 @@ def granger_pairs(
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        pdf = pdf.sort_values(["since", "template_id"])
-        ids, own_block = pdf["template_id"].tolist(), pdf["own"].tolist()
-        arrays = [np.asarray(v, dtype=float) for v in pdf["diffs"]]
+        sides = [pdf[pdf["own"] == side].sort_values(["since", "template_id"]) for side in ((a, b) if a != b else (a,))]
+        ids = [side["template_id"].to_numpy() for side in sides]
+        order = [list(zip(side["since"], side["template_id"])) for side in sides]
+        values = [np.array(side["diffs"].tolist(), dtype=float) for side in sides]
         found = []
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                if a != b and own_block[i] == own_block[j]:
-                    continue
-                ways = [(i, j), (j, i)] if both_ways else [(i, j)]
-                for p, q in ways:
-                    values = granger_p_values(arrays[p], arrays[q])
-                    if values and min(values) < SIGNIFICANCE:
-                        found.append((ids[p], ids[q], values, min(values)))
+        for one, other in [(0, 0)] if a == b else [(0, 1), (1, 0)]:
+            if not len(ids[one]) or not len(ids[other]):
+                continue
+            wanted = np.array([
+                [x[1] != y[1] and (both_ways or x < y) for y in order[other]] for x in order[one]
+            ])
+            p, good = granger_grid(values[one], values[other], wanted)
+            least = np.where(good, np.nan_to_num(p, nan=1.0).min(axis=2), 1.0)
+            for i, j in zip(*np.nonzero(least < SIGNIFICANCE)):
+                found.append((ids[one][i], ids[other][j], p[i, j].tolist(), least[i, j]))
         # A pair of blocks may have no significant pair at all.
         out = pd.DataFrame(found, columns=["first_id", "second_id", "p_values", "min_p"]).astype({"min_p": float})
         return out.nsmallest(top_k, "min_p", keep="all") if top_k else out

@@ -261,6 +261,41 @@ ORACLES["mask_variables"] = WITH_LINES + f"""SELECT file_name, line_seq, {mask(f
  (SELECT file_name, line_seq, value FROM event_lines UNION ALL SELECT file_name, line_seq, value FROM document_lines)"""
 ORACLES["exact_templates"] = WITH_LINES + rf"""SELECT trim(regexp_replace({mask(fold('value'))}, '[_\s]+', ' ', 'g')) AS template,
  count(*) AS occurrences FROM document_lines GROUP BY 1"""
+# Learning one shape after the other: each step takes the next shape of every leaf, finds the template with most equal
+# tokens (of equals the one with more wildcards, then the older) and changes it, or adds one.
+WITH_LEARNED = WITH_BUILT.replace("WITH ", "WITH RECURSIVE ", 1) + rf""",
+ logs AS MATERIALIZED (SELECT section, file_name, line_seq, log, trim(regexp_replace({mask('log')}, '[_\s]+', ' ', 'g')) AS shape FROM
+  (SELECT *, CASE WHEN token_count > b THEN substring(text, 1, b) ELSE text END AS log FROM built, bound)),
+ shapes AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY length, lead ORDER BY since) AS i FROM (
+  SELECT shape, string_split(shape, ' ') AS words, CASE WHEN shape = '' THEN 0 ELSE len(string_split(shape, ' ')) END AS length,
+   CASE WHEN regexp_matches(split_part(shape, ' ', 1), '\d|^<\*>$') THEN '<*>' ELSE split_part(shape, ' ', 1) END AS lead,
+   count(*) AS n, min((section, file_name, line_seq)) AS since FROM logs GROUP BY shape)),
+ learn AS (
+  SELECT DISTINCT length, lead, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS t, CAST(0 AS BIGINT) AS hit FROM shapes
+  UNION ALL
+  SELECT length, lead, i, CASE WHEN best.e >= 0.4 * length THEN
+    list_transform(t, lambda x, k: CASE WHEN k = -best.k THEN list_transform(range(1, length + 1), lambda q:
+     CASE WHEN x[q] = words[q] THEN x[q] ELSE '<*>' END) ELSE x END)
+   ELSE list_append(t, words) END, CASE WHEN best.e >= 0.4 * length THEN -best.k ELSE len(t) + 1 END
+  FROM (SELECT s.length, s.lead, s.i, s.words, t, list_reverse_sort(list_transform(t, lambda x, k: {{
+     'e': len(list_filter(range(1, s.length + 1), lambda q: x[q] = s.words[q] AND x[q] <> '<*>')),
+     'w': len(list_filter(x, lambda z: z = '<*>')), 'k': -k}}))[1] AS best
+    FROM learn l JOIN shapes s ON s.length = l.length AND s.lead = l.lead AND s.i = l.i + 1)),
+ last_ AS (SELECT length, lead, arg_max(t, i) AS t FROM learn GROUP BY 1, 2),
+ assigned AS (SELECT shape, array_to_string(last_.t[hit], ' ') AS template, n, since FROM learn
+  JOIN shapes USING (length, lead, i) JOIN last_ USING (length, lead)),
+ tmpl AS (SELECT template, CAST(sum(n) AS BIGINT) AS occurrences, row_number() OVER (ORDER BY min(since), template) AS template_id
+  FROM assigned GROUP BY template)
+"""
+ORACLES["mine_templates"] = WITH_LEARNED + """SELECT file_name, line_seq, template_id, template
+ FROM logs JOIN assigned USING (shape) JOIN tmpl USING (template)"""
+ORACLES["extract_templates"] = WITH_LEARNED + "SELECT template_id, template, occurrences FROM tmpl"
+ORACLES["template_variables"] = WITH_LEARNED + r"""SELECT template_id, len(string_split(template, '<*>')) - 1 AS var_count,
+ to_json(CASE WHEN flat = '' OR template = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(
+  list_filter(range(1, least(len(w), len(s)) + 1), lambda q: s[q] = '<*>'),
+  lambda q: CASE WHEN q = len(s) THEN array_to_string(w[q:], ' ') ELSE w[q] END) END) AS variables
+ FROM (SELECT *, string_split(flat, ' ') AS w, string_split(trim(regexp_replace(template, '[_\s]+', ' ', 'g')), ' ') AS s
+  FROM (SELECT *, trim(regexp_replace(log, '[_\s]+', ' ', 'g')) AS flat FROM logs JOIN assigned USING (shape) JOIN tmpl USING (template)))"""
 ORACLES["extract_variables"] = WITH_LABELLED + """SELECT event_id, CASE WHEN template_id % 2 = 0
  THEN w[1] || '|' || w[2] || '|' || array_to_string(w[4:], ' ') ELSE CAST(user_id AS VARCHAR) END AS variables,
  CASE WHEN template_id % 2 = 0 THEN 3 ELSE 1 END AS var_count
@@ -330,10 +365,8 @@ ORACLES["classify_callable"] = WITH_REPS + """SELECT template_id, file_name,
  CASE WHEN length(rep_text) % 2 = 1 THEN 'latency' ELSE 'error' END AS label,
  CASE WHEN length(rep_text) % 2 = 1 THEN 0.75 ELSE 0.625 END AS score FROM reps"""
 ORACLES["fault_categories"] = WITH_REPS + "SELECT template_id, file_name, golden_signal, 1.0 AS score, faults FROM reps"
-ORACLES["signal_spread"] = WITH_LABELLED + """SELECT event_id,
- CASE WHEN template_id % 3 <> 0 THEN golden_signal ELSE 'info' END AS golden_signal,
- CASE WHEN template_id % 3 <> 0 AND golden_signal <> 'information' THEN template_id END AS error_tid,
- CASE WHEN template_id % 3 <> 0 THEN faults ELSE 'other' END AS faults FROM lab"""
+ORACLES["signal_spread"] = WITH_LABELLED + """SELECT event_id, golden_signal,
+ CASE WHEN golden_signal <> 'information' THEN template_id END AS error_tid, faults FROM lab"""
 ORACLES["non_info"] = WITH_LABELLED + "SELECT event_id, golden_signal FROM lab WHERE golden_signal <> 'information'"
 ORACLES["weighted_vote"] = """SELECT template_id, label, round(m, 6) AS mean_score, votes FROM
  (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY m DESC, votes DESC, label) AS r FROM
@@ -412,9 +445,8 @@ ORACLES["summary_filter"] = WITH_SUMMARY + "SELECT * FROM summ WHERE gs = 'laten
 ORACLES["stat_cards"] = WITH_SUMMARY + """SELECT count(*) AS total, count(*) FILTER (WHERE gs = 'error') AS errors,
  count(*) FILTER (WHERE gs = 'latency') AS latency, count(*) FILTER (WHERE gs = 'information') AS information FROM summ"""
 ORACLES["file_choices"] = WITH_LABELLED + "SELECT DISTINCT file_name, file_name AS base FROM lab"
-ORACLES["analysis_result"] = WITH_REPS + """SELECT template_id, text AS log_line,
- CASE WHEN template_id % 4 <> 0 THEN golden_signal ELSE 'info' END AS golden_signal,
- CASE WHEN template_id % 4 <> 0 THEN fault ELSE 'other' END AS fault_category, n AS occurrences, file_name FROM reps"""
+ORACLES["analysis_result"] = WITH_REPS + """SELECT template_id, text AS log_line, golden_signal,
+ fault AS fault_category, n AS occurrences, file_name FROM reps"""
 ORACLES["analysis_totals"] = WITH_LABELLED + """SELECT count(*) AS total_log_lines,
  count(DISTINCT template_id) AS templates_found, count(DISTINCT file_name) AS files FROM lab"""
 _BIN = "CASE WHEN span <= 3000 THEN 30 " + " ".join(
@@ -468,6 +500,64 @@ ORACLES["series_diff"] = WITH_SERIES + """, grid AS (SELECT template_id, unnest(
  d AS (SELECT template_id, k, lead(c) OVER (PARTITION BY template_id ORDER BY k) - c AS diff FROM v)
  SELECT template_id, k, diff FROM d WHERE diff <> 0"""
 
+# The regressors of a test are one, x at lags 1 to p and y at lags 1 to p; the last row and column of a system are x
+# itself. Eliminating the regressors one after another leaves the sum of squares of the fit in the last corner: after
+# p + 1 of them of x alone, after 2 p + 1 of both. A regressor that depends on those before it is passed over.
+_Z = "sqrt(stat / 2)"
+_ERFC = f"""(CASE WHEN {_Z} < 2 THEN 1 - 2 / sqrt(pi()) * exp(-stat / 2) * {_Z} * list_sum(list_transform(range(0, 60),
+  lambda n: exp(n * ln(greatest(2 * stat, 1e-300)) + lgamma(n + 1) - lgamma(2 * n + 2))))
+ ELSE exp(-stat / 2) / sqrt(pi()) / list_reduce([{_Z}] || list_transform(range(0, 80), lambda k: (80 - k) / 2.0),
+  lambda a, k: {_Z} + k / a) END)"""
+_MORE = "sqrt(2 * stat / pi()) * exp(-stat / 2)"
+_P_VALUE = f"""CASE WHEN stat <= 0 THEN 1.0 ELSE CASE p WHEN 1 THEN {_ERFC} WHEN 2 THEN exp(-stat / 2)
+ WHEN 3 THEN {_ERFC} + {_MORE} WHEN 4 THEN exp(-stat / 2) * (1 + stat / 2) ELSE {_ERFC} + {_MORE} * (1 + stat / 3) END END"""
+WITH_PAIRS = WITH_SERIES.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ grid AS (SELECT template_id, unnest(range(0, last + 1)) AS k FROM kept),
+ v AS (SELECT grid.template_id, grid.k, coalesce(c.c, 0) AS c FROM grid LEFT JOIN c ON c.template_id = grid.template_id AND c.k = grid.k),
+ d AS (SELECT template_id, k, CAST(lead(c) OVER (PARTITION BY template_id ORDER BY k) - c AS DOUBLE) AS diff FROM v),
+ z AS (SELECT template_id, list(diff ORDER BY k) AS z, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY 1 HAVING count(DISTINCT diff) > 1),
+ first_in AS (SELECT template_id, min(epoch) AS since FROM
+  (SELECT template_id, epoch, greatest(CAST(floor((epoch - mn - width) / stride) AS BIGINT) + 1, 0) AS low,
+   least(CAST(floor((epoch - mn) / stride) AS BIGINT), last) AS high FROM x, s) WHERE low <= high GROUP BY 1),
+ lagged AS MATERIALIZED (SELECT template_id, p, k, n - p AS places, z[p - k + 1 : n - k] AS part FROM z,
+  (SELECT unnest(range(1, 6)) AS p), (SELECT unnest(range(0, 6)) AS k) WHERE k <= p AND n > 16),
+ sound AS (SELECT template_id, any_value(since) AS since FROM lagged JOIN first_in USING (template_id)
+  GROUP BY 1 HAVING bool_and(k = 0 OR list_min(part) < list_max(part))),
+ pairs AS (SELECT a.template_id AS x, b.template_id AS y FROM sound a JOIN sound b ON (a.since, a.template_id) < (b.since, b.template_id)),
+ own AS (SELECT a.template_id AS t, a.p, a.k, b.k AS l, list_dot_product(a.part, b.part) AS m FROM lagged a JOIN lagged b USING (template_id, p)),
+ sums AS (SELECT template_id AS t, p, k, list_sum(part) AS m, places FROM lagged),
+ cross_ AS (SELECT x, y, a.p, a.k, b.k AS l, list_dot_product(a.part, b.part) AS m FROM pairs
+  JOIN lagged a ON a.template_id = x JOIN lagged b ON b.template_id = y AND b.p = a.p WHERE b.k > 0),
+ cells AS (
+  SELECT x, y, p, CASE k WHEN 0 THEN 2 * p + 1 ELSE k END AS i, CASE l WHEN 0 THEN 2 * p + 1 ELSE l END AS j, m FROM pairs JOIN own ON t = x
+  UNION ALL SELECT x, y, p, p + k, p + l, m FROM pairs JOIN own ON t = y WHERE k > 0 AND l > 0
+  UNION ALL SELECT x, y, p, CASE k WHEN 0 THEN 2 * p + 1 ELSE k END, p + l, m FROM cross_
+  UNION ALL SELECT x, y, p, p + l, CASE k WHEN 0 THEN 2 * p + 1 ELSE k END, m FROM cross_
+  UNION ALL SELECT x, y, p, 0, CASE k WHEN 0 THEN 2 * p + 1 ELSE k END, m FROM pairs JOIN sums ON t = x
+  UNION ALL SELECT x, y, p, CASE k WHEN 0 THEN 2 * p + 1 ELSE k END, 0, m FROM pairs JOIN sums ON t = x
+  UNION ALL SELECT x, y, p, 0, p + k, m FROM pairs JOIN sums ON t = y WHERE k > 0
+  UNION ALL SELECT x, y, p, p + k, 0, m FROM pairs JOIN sums ON t = y WHERE k > 0
+  UNION ALL SELECT x, y, p, 0, 0, places FROM pairs JOIN sums ON t = x WHERE k = 0),
+ systems AS (SELECT x, y, p, 2 * p + 2 AS w, list(m ORDER BY i, j) AS m FROM cells GROUP BY 1, 2, 3),
+ steps AS (
+  SELECT x, y, p, w, 0 AS s, m, list_transform(range(0, w), lambda i: m[i * w + i + 1]) AS scale FROM systems
+  UNION ALL
+  SELECT x, y, p, w, s + 1, CASE WHEN m[s * w + s + 1] <= 1e-9 * scale[s + 1] THEN m ELSE
+   list_transform(m, lambda e, q: e - m[((q - 1) // w) * w + s + 1] * m[s * w + (q - 1) % w + 1] / m[s * w + s + 1]) END, scale
+  FROM steps WHERE s < w - 1),
+ tests AS (SELECT x, y, p, any_value(places) AS places, max(m[w * w]) FILTER (WHERE s = p + 1) AS alone, max(m[w * w]) FILTER (WHERE s = w - 1) AS joint
+  FROM steps JOIN (SELECT DISTINCT t, p, places FROM sums) q USING (p) WHERE q.t = x GROUP BY 1, 2, 3),
+ lags AS (SELECT x, y, p, joint, places * (alone - joint) / joint AS stat FROM tests),
+ best AS (SELECT x AS first_id, y AS second_id, min(pv) AS least, list(pv ORDER BY p) AS ps FROM
+  (SELECT x, y, p, joint, {_P_VALUE} AS pv FROM lags) GROUP BY 1, 2
+  HAVING min(pv) < 0.05 AND min(joint) > 0 ORDER BY least, first_id, second_id LIMIT 10)
+"""
+ORACLES["granger_pairs"] = WITH_PAIRS + """SELECT first_id, second_id, round(least, 6) AS min_p,
+ array_to_string(list_transform(ps, lambda q: printf('%.4f', q)), ' ') AS p_values FROM best"""
+ORACLES["causal_graph"] = WITH_PAIRS + """, nodes AS (SELECT template_id, first(text ORDER BY file_name, event_id) AS label,
+  min(golden_signal) AS gs FROM lab GROUP BY 1)
+ SELECT second_id AS source, first_id AS target, label, gs FROM best JOIN nodes ON template_id = second_id"""
+
 # --- store and explorer -------------------------------------------------------------------------------
 
 WITH_STORE = WITH_REPS + """, st AS (SELECT template_id, any_value(template) AS template, 1 AS var_count,

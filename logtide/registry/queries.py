@@ -647,8 +647,7 @@ def _labelled_reps(spark, sf_dir) -> DataFrame:
 @query
 def signal_spread(spark, sf_dir):
     rows = labelled_events(spark, sf_dir).drop("golden_signal", "fault_categories")
-    labelled = _labelled_reps(spark, sf_dir).where("template_id % 3 <> 0")
-    return classify.spread_signals(rows, labelled).select(
+    return classify.spread_signals(rows, _labelled_reps(spark, sf_dir)).select(
         F.col("record_id.line_seq").alias("event_id"), "golden_signal", "error_tid",
         F.array_join("fault_categories", ",").alias("faults"),
     )
@@ -812,7 +811,7 @@ def file_choices(spark, sf_dir):
 @query
 def analysis_result(spark, sf_dir):
     reps = materialize(classify.representatives(labelled_events(spark, sf_dir)), "reps")
-    return summary.analysis_result(reps, classify.label_representatives(reps).where("template_id % 4 <> 0"))
+    return summary.analysis_result(reps, classify.label_representatives(reps))
 
 
 @query

@@ -231,6 +231,28 @@ def test_granger_statistic_by_hand():
     assert causality.granger_p_values(x[:10], y[:10]) is None
 
 
+def test_granger_grid_equals_single_fits():
+    """Moments of all pairs at once against a fit for each pair and lag, dependent and constant series included."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.diff(rng.poisson(0.8, (9, 301)), axis=1).astype(float)
+    y = np.diff(rng.poisson(0.1, (8, 301)), axis=1).astype(float)
+    y[0], y[1], y[2], y[3] = x[0], 0.0, 0.0, 2 * x[1]
+    y[2, 150], y[4, 1:] = 1.0, x[3, :-1]
+    found, good = causality.granger_grid(x, y)
+    for i in range(len(x)):
+        for j in range(len(y)):
+            one = causality.granger_p_values(x[i], y[j])
+            assert good[i, j] == (one is not None)
+            if one is not None:
+                assert found[i, j].tolist() == pytest.approx(one, abs=1e-7)
+    wanted = np.zeros((9, 8), bool)
+    wanted[2, 6] = True
+    assert np.array_equal(causality.granger_grid(x, y, wanted)[1], wanted)
+    assert not causality.granger_grid(x[:, :16], y[:, :16])[1].any()
+
+
 def test_series_count_each_window(spark):
     rng = random.Random(4)
     rows = [(i, "f", rng.uniform(0, 5000), i % 2, "error") for i in range(300)] + [(300, "f", 0.0, 5, "error"), (301, "f", 5000.0, 5, "error")]
