@@ -84,6 +84,58 @@ def test_large_leaf_has_one_rule(spark):
     assert templated.count() == len(lines)
 
 
+def mixed_shapes(n, seed):
+    """Lines of a few leaves: families that share rare tokens, tokens that all share, digits first, two tokens."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    out = []
+    for i in range(n):
+        family = rng.randrange(60)
+        out.append(rng.choice([
+            f"job f{family}a of f{family}b {word()} {word()} at {word()}",
+            f"job {word()} of {word()} {word()} {word()} at {word()}",
+            f"x{rng.randrange(30)} {word()} f{family} {word()}",
+            f"ping {word()}", f"x{rng.randrange(400)}",
+        ]))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.4, 0.7])
+def test_split_leaves_equal_one_task(spark, similarity):
+    lines = mixed_shapes(1500, 3)
+    shapes = templates.distinct_shapes(with_ids(spark, lines))
+    whole, all_templates = templates.mine_shapes(shapes, similarity)
+    split, some_templates = templates.mine_shapes(shapes, similarity, split=20)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(whole.select("key", "template")) == same(split.select("key", "template"))
+    assert same(all_templates) == same(some_templates)
+    assert len({r.template for r in whole.collect()}) > 20
+
+
+def test_a_leaf_of_100000_shapes_is_spread(spark):
+    """Families that share tokens with none but their own: the leaf is learned in many parts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(14))
+    families = [(word(), word()) for _ in range(400)]
+    lines = [f"start {a} {b} {word()} {word()} done{word()}" for a, b in families for _ in range(250)]
+    shapes = templates.distinct_shapes(with_ids(spark, lines))
+    assert shapes.select("length", "lead").distinct().count() == 1
+    parts = templates.leaf_parts(shapes, 0.4).groupBy("part").count().collect()
+    assert len(parts) == 400 and {r["count"] for r in parts} == {250}
+    assigned, table = templates.mine_shapes(shapes)
+    assert {r.template: r.occurrences for r in table.collect()} == {f"start {a} {b} <*> <*> <*>": 250 for a, b in families}
+    assert assigned.count() == 100_000
+
+
+def test_connected(spark):
+    from logtide.plans.groups import connected
+
+    links = [(i + 1, i) for i in range(300) if i % 50 != 49] + [(1000, 1001), (1001, 1000), (7, 7)]
+    found = {r.node: r.label for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: i - i % 50 for i in range(300)} | {1000: 1000, 1001: 1000}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
 def test_learning_equals_one_by_one_at_any_similarity(similarity):
     lines = list(dict.fromkeys(sample_lines(800, 7)))
