@@ -6,12 +6,12 @@ rows (``window_items``), because one window may hold any share of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtide.functions.text import annotated_line, duration_label, preview, strip_tags
 from logtide.functions.timestamps import epoch_to_utc_string
 from logtide.operators.classify import first_fault, is_info
-from logtide.plans.common import join_by_key
+from logtide.plans.common import join_by_key, materialize
 from logtide.sources.sinks import CHUNK_BYTES, chunk_by_bytes
 
 # Window length, and the signals a viewer shows in colour.
@@ -69,35 +69,56 @@ def window_counts(windows: DataFrame) -> DataFrame:
     )
 
 
+def _marks(seed: int) -> Column:
+    """The members of a set as bits of a long: a set can only be held by one that has all its bits."""
+    bit = F.pmod(F.xxhash64("tid", F.lit(seed)), F.lit(64)).cast("int")
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+
+
 def containing_sets(sets: DataFrame) -> DataFrame:
     """For distinct sets (set_id, rank, tids): the first set by rank that holds it.
 
-    Each set asks only the sets that hold its rarest member; long posting lists
-    are cut into shards, and the asking set goes to every shard.
+    Sets travel as ids. Each set asks only the sets that hold its rarest member; long posting
+    lists are cut into shards, and the asking set goes to every shard. Pairs that sizes and bits
+    allow are then counted: a set holds another if they have as many members in common as that has.
     """
-    members = sets.select("set_id", "rank", F.explode("tids").alias("tid"))
+    ranks = sets.select("set_id", "rank")
+    members = materialize(sets.select("set_id", F.explode("tids").alias("tid")), "members")
+    sizes = materialize(
+        members.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"), _marks(1).alias("bits"), _marks(2).alias("more")),
+        "set-sizes",
+    )
     spread = members.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     spread = spread.withColumn("shards", F.ceil(F.col("df") / SHARD))
     rarest = members.join(spread, "tid").groupBy("set_id").agg(
         F.min(F.struct("df", "tid", "shards")).alias("p")
     )
-    asking = sets.join(rarest, "set_id").select(
-        F.col("p.tid").alias("tid"), F.col("p.shards").alias("shards"),
-        F.col("set_id").alias("small_id"), F.col("tids").alias("small"),
+    asking = rarest.join(sizes, "set_id").select(
+        F.col("p.tid").alias("tid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.shards") - 1)).alias("shard"),
+        F.col("set_id").alias("small_id"), F.col("size").alias("small"), F.col("bits").alias("b1"), F.col("more").alias("b2"),
     )
-    asked = asking.select("tid", "shards").distinct()
-    shard = F.pmod(F.xxhash64("set_id"), F.col("shards"))
-    postings = members.select("set_id", "tid").join(asked, "tid").join(sets, "set_id").select(
-        "tid", shard.alias("shard"), F.col("set_id").alias("root_id"), "rank", F.col("tids").alias("big"),
+    asked = rarest.select("p.tid", "p.shards").distinct()
+    postings = members.join(asked, "tid").join(sizes, "set_id").select(
+        "tid", F.pmod(F.xxhash64("set_id"), F.col("shards")).alias("shard"), F.col("set_id").alias("root_id"),
+        "size", "bits", "more",
     )
-    asking = asking.withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+    none = F.lit(0).cast("long")
+    pairs = materialize(
+        asking.join(postings, ["tid", "shard"])
+        .where(F.col("small") <= F.col("size"))
+        .where(F.col("b1").bitwiseAND(F.bitwise_not("bits")) == none)
+        .where(F.col("b2").bitwiseAND(F.bitwise_not("more")) == none)
+        .select("small_id", "root_id", "small"), "set-pairs",
+    )
+    held = (
+        pairs.join(members.toDF("small_id", "tid"), "small_id")
+        .join(members.toDF("root_id", "tid"), ["root_id", "tid"], "left_semi")
+        .groupBy("small_id", "root_id", "small").agg(F.count(F.lit(1)).alias("common"))
+        .where(F.col("common") == F.col("small"))
     )
     return (
-        asking.join(postings, ["tid", "shard"])
-        .where((F.size("small") <= F.size("big")) & (F.size(F.array_except("small", "big")) == 0))
-        .groupBy("small_id")
-        .agg(F.min_by("root_id", "rank").alias("root_id"))
+        held.select("small_id", "root_id").join(ranks.toDF("root_id", "rank"), "root_id")
+        .groupBy("small_id").agg(F.min_by("root_id", "rank").alias("root_id"))
         .withColumnRenamed("small_id", "set_id")
     )
 

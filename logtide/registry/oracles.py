@@ -612,3 +612,38 @@ ORACLES["report_size"] = _chunks(64 * 1024) + """SELECT count(DISTINCT (after, a
 ORACLES["run_metrics"] = WITH_LINES + r"""SELECT 'num_log_lines_total' AS name, count(*) * 1.0 AS value FROM document_lines
  UNION ALL SELECT 'num_log_lines_whitespaces', count(*) FILTER (WHERE regexp_replace(value, '\s+', '', 'g') = '') * 1.0 FROM document_lines
  UNION ALL SELECT 'num_log_lines_processed', count(*) * 2.0 FROM events"""
+
+
+def _cut(source: str, order: str, size: str, limit: int, name: str) -> str:
+    """Rows of ``source`` with the chunk they fall in, as in ``_chunks``."""
+    half = limit // 2
+    return f"""{name}_summed AS (SELECT *, {size} > {half} AS alone,
+  coalesce(sum(CASE WHEN {size} > {half} THEN 1 ELSE 0 END) OVER w, 0) AS after,
+  coalesce(sum(CASE WHEN {size} > {half} THEN 0 ELSE {size} END) OVER w, 0) AS small
+  FROM {source} WINDOW w AS (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ {name} AS (SELECT * EXCLUDE (small), CASE WHEN alone THEN 0 ELSE CAST(small // {half} AS BIGINT) END AS piece FROM {name}_summed)"""
+
+
+_PART = "printf('%012d-%d-%012d', CAST(after AS BIGINT), CAST(alone AS INT), CAST(piece AS BIGINT)) AS part, document"
+ORACLES["report_templates"] = WITH_STORE + """, docs AS (SELECT template_id, to_json({'template_id': template_id, 'template': template,
+  'golden_signal': golden_signal, 'fault_category': fault_category, 'occurrence_count': occurrence_count,
+  'component': component, 'rep_log': rep_log}) AS document FROM st),
+ """ + _cut("docs", "template_id", "(strlen(document) + 1)", 4096, "cut") + f" SELECT {_PART} FROM cut"
+ORACLES["report_timeline"] = WITH_TIMELINE + f""", labels AS (SELECT *, CASE
+  WHEN bin_seconds >= 86400 THEN strftime(make_timestamp({us('start')}), '%Y-%m-%d')
+  WHEN bin_seconds >= 3600 THEN strftime(make_timestamp({us('start')}), '%Y-%m-%d %H:%M')
+  ELSE strftime(make_timestamp({us('start')}), '%m-%d %H:%M') END AS label FROM tl),
+ bins AS (SELECT file_name, bin_seconds, bin_name, bin_idx, label,
+  list({{'signal': signal, 'count': count}} ORDER BY signal) AS counts FROM labels GROUP BY ALL),
+ docs AS (SELECT file_name, to_json({{'file_name': file_name, 'bin_seconds': bin_seconds, 'bin_name': bin_name,
+  'bins': list({{'bin_idx': bin_idx, 'label': label, 'counts': counts}} ORDER BY bin_idx)}}) AS document
+  FROM bins GROUP BY file_name, bin_seconds, bin_name),
+ """ + _cut("docs", "file_name", "(strlen(document) + 1)", 64 * 1024, "cut") + f" SELECT {_PART} FROM cut"
+ORACLES["report_anomalies"] = _ITEMS + ", " + _cut(
+    "placed", "start_epoch, root_id, win, file_name, event_id", "strlen(text_output)", 16 * 1024, "pieces"
+) + f""", docs AS (SELECT root_id, after AS a1, alone AS a2, piece AS a3, to_json({{'root_id': root_id,
+  'duration': {utc('any_value(start_epoch)')} || ' -- ' || {utc('any_value(end_epoch)')},
+  'logs': list(text_output ORDER BY win, file_name, event_id), 'files': list(file_name ORDER BY win, file_name, event_id),
+  'gs': list(golden_signal ORDER BY win, file_name, event_id), 'templateIds': list(template_id ORDER BY win, file_name, event_id)}}) AS document
+  FROM pieces GROUP BY 1, 2, 3, 4),
+ """ + _cut("docs", "root_id, a1, a2, a3", "(strlen(document) + 1)", 64 * 1024, "cut") + f" SELECT {_PART} FROM cut"

@@ -19,7 +19,7 @@ from logtide.operators import (
 from logtide.plans.analysis import Analysis, analyze, preprocess
 from logtide.plans.common import materialize, shared_dir
 from logtide.plans.session import tune
-from logtide.sources import archives, lines as ln, matcher, sinks, tables
+from logtide.sources import archives, lines as ln, matcher, reports, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1050,12 +1050,54 @@ def report_size(spark, sf_dir):
 
 @query
 def run_metrics(spark, sf_dir):
-    lines = tables.document_lines(spark, sf_dir)
-    stats = ln.file_stats(lines).agg(
-        F.sum("num_lines").alias("num_log_lines_total"), F.sum("num_blank").alias("num_log_lines_whitespaces")
+    """The figures come from the passes that write the lines; the times differ from run to run."""
+    run = sinks.RunMetrics()
+    blank = F.count_if(F.regexp_replace("value", r"\s+", "") == "")
+    with run.stage("lines"):
+        lines = tables.document_lines(spark, sf_dir)
+        materialize(run.observed(lines, num_log_lines_total=F.count(F.lit(1)), num_log_lines_whitespaces=blank), "lines")
+    for _ in range(2):
+        with run.stage("events"):
+            events = tables.table(spark, sf_dir, "events")
+            materialize(run.observed(events, num_log_lines_processed=F.count(F.lit(1))), "events")
+    return run.rows(spark).where("name NOT LIKE '%_time_ms'")
+
+
+def _reported(documents: DataFrame, order: list[str], limit: int) -> DataFrame:
+    spark = documents.sparkSession
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    reports.write_report(documents, folder, order, limit)
+    return reports.read_report(spark, folder).select("part", F.col("value").alias("document"))
+
+
+@query
+def report_templates(spark, sf_dir):
+    """The template table as report files, read back."""
+    rows = labelled_events(spark, sf_dir).withColumn("component", F.lit("Web"))
+    found = store.template_table(rows, _labelled_reps(spark, sf_dir))
+    document = F.to_json(F.struct(
+        "template_id", "template", "golden_signal", "fault_category", "occurrence_count", "component", "rep_log"
+    ))
+    return _reported(found.select("template_id", document.alias("document")), ["template_id"], 4096)
+
+
+@query
+def report_timeline(spark, sf_dir):
+    """The timeline of each file as a document, read back."""
+    found = timeline.timeline_documents(timeline.signal_timeline(labelled_events(spark, sf_dir)))
+    bins = F.transform("bins", lambda b: F.struct(b["bin_idx"].alias("bin_idx"), b["label"].alias("label"), b["counts"].alias("counts")))
+    document = F.to_json(F.struct("file_name", "bin_seconds", "bin_name", bins.alias("bins")))
+    return _reported(found.select("file_name", document.alias("document")), ["file_name"], 64 * 1024)
+
+
+@query
+def report_anomalies(spark, sf_dir):
+    """The pieces of the anomalies as report files, read back."""
+    found = windows.anomaly_documents(_anomaly_items(spark, sf_dir), 16 * 1024)
+    document = F.to_json(F.struct("root_id", "duration", "logs", "files", "gs", "templateIds"))
+    return _reported(
+        found.select("root_id", F.col("chunk").alias("piece"), document.alias("document")), ["root_id", "piece"], 64 * 1024
     )
-    events = tables.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("num_log_lines_processed"))
-    return sinks.merge_metrics(sinks.as_metrics(stats), sinks.as_metrics(events), sinks.as_metrics(events))
 
 
 @query

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from logtide.plans.common import running_sums
 
@@ -101,3 +105,31 @@ def as_metrics(row: DataFrame) -> DataFrame:
             F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in row.columns
         ])).alias("m")
     ).select("m.name", "m.value")
+
+
+class RunMetrics:
+    """Figures of a run, taken in the passes that write its tables, and the time its stages take."""
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+        self._times: list[tuple[str, float]] = []
+
+    def observed(self, df: DataFrame, **figures: Column) -> DataFrame:
+        """df, whose next write or other action gives these aggregates as figures of the run."""
+        self._seen.append(Observation())
+        return df.observe(self._seen[-1], *[c.alias(name) for name, c in figures.items()])
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        start = time.monotonic()
+        try:
+            yield
+        finally:
+            self._times.append((f"{name}_time_ms", (time.monotonic() - start) * 1000))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(name, value): figures and times of one name are summed. All that is observed must have been run."""
+        found = [(k, float(v or 0)) for seen in self._seen for k, v in seen.get.items()]
+        return spark.createDataFrame([*found, *self._times], "name string, value double").groupBy("name").agg(
+            F.sum("value").alias("value")
+        )

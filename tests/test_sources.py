@@ -1,12 +1,14 @@
+import glob
 import io
 import json
 import os
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from logtide.sources import archives, lines as ln, matcher, sinks
+from logtide.sources import archives, lines as ln, matcher, reports, sinks
 
 
 def write(folder, name, text, mode="w"):
@@ -148,3 +150,40 @@ def test_debug_sink(spark, tmp_path):
     records = df.select("text", F.lit(1).alias("record_id"))
     sinks.write_debug(str(tmp_path / "d"), df, df, records, df)
     assert spark.read.json(str(tmp_path / "d/matcher_output")).first().truncated_log == "x"
+
+
+def test_report_needs_its_manifest(spark, tmp_path):
+    rows = [(i, json.dumps({"id": i, "text": "x" * (i * 37 % 400)})) for i in range(200)] + [(200, "y" * 5000)]
+    df = spark.createDataFrame(rows, "id long, document string").repartition(5)
+    folder = str(tmp_path / "report")
+    reports.write_report(df, folder, ["id"], 2048)
+    back = reports.read_report(spark, folder).collect()
+    assert sorted(r.value for r in back) == sorted(t for _, t in rows)
+    sizes, at = {}, {}
+    for r in back:
+        sizes[r.part] = sizes.get(r.part, 0) + len(r.value) + 1
+        at.setdefault(r.part, []).append(r.value)
+    assert all(n <= 2048 or len(at[p]) == 1 for p, n in sizes.items()) and len(sizes) > 20
+    assert [v for p in sorted(at) for v in at[p]] == [t for _, t in sorted(rows)]
+    files = sorted(glob.glob(f"{folder}/documents/part=*/*.txt"))
+    assert len(files) == len(sizes)  # a chunk is one file
+    with open(files[3], "a") as file:
+        file.write("one more\n")
+    for name in glob.glob(f"{folder}/documents/part=*/.*.crc"):
+        os.remove(name)
+    with pytest.raises(ValueError, match="differs from its manifest"):
+        reports.read_report(spark, folder)
+    empty = str(tmp_path / "empty")
+    reports.write_report(df.where("false"), empty, ["id"])
+    assert reports.read_report(spark, empty).count() == 0
+
+
+def test_run_metrics_are_taken_while_writing(spark, tmp_path):
+    run = sinks.RunMetrics()
+    for i in range(2):
+        with run.stage("write"):
+            df = run.observed(spark.range(50 * (i + 1)), rows=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+            df.write.parquet(str(tmp_path / f"t{i}"))
+    found = {r.name: r.value for r in run.rows(spark).collect()}
+    assert found.keys() == {"rows", "odd", "write_time_ms"}
+    assert (found["rows"], found["odd"]) == (150, 75) and found["write_time_ms"] > 0

@@ -162,6 +162,45 @@ def test_match_templates(spark):
     }
 
 
+def plain_match(line, known, similarity):
+    """Every template of the leaf compared with the line; known has (id, template)."""
+    words = line.split(" ")
+    lead = lambda t: "<*>" if t[0] == "<*>" or any(c.isdigit() for c in t[0]) else t[0]
+    best = None
+    for number, template in known:
+        other = template.split(" ")
+        if len(other) != len(words) or lead(other) != lead(words) or (line == "") != (template == ""):
+            continue
+        equal, wild = sum(a == b != "<*>" for a, b in zip(words, other)), other.count("<*>")
+        if not line or equal / len(words) >= similarity or equal + wild >= len(words):
+            best = max(best or (-1, 0, 0), (equal, wild, -number))
+    return -best[2] if best else None
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.4, 0.8])
+def test_match_equals_comparison_with_all(spark, similarity):
+    rng = random.Random(6)
+    known = dict.fromkeys(
+        " ".join(w if rng.random() < 0.6 else "<*>" for w in t.split(" ")) for t in mixed_shapes(300, 5)
+    )
+    known = list(enumerate([*known, "", "<*> <*>", "ping <*>", "job <*> of <*> <*> <*> at <*>"], 1))
+    table = spark.createDataFrame(known, "template_id long, template string")
+    lines = [*dict.fromkeys(mixed_shapes(400, 6)), ""]
+    records = with_ids(spark, lines).withColumnRenamed("truncated_log", "text")
+    got = {r.text: r.template_id for r in templates.match_templates(records, table, similarity=similarity).collect()}
+    assert got == {line: plain_match(line, known, similarity) for line in lines}
+
+
+def test_match_with_10000_templates_in_a_leaf(spark):
+    """Templates are found by their rare tokens: pairs compared grow with the shapes, not with their product."""
+    known = [(i, f"start unit u{i}x on <*> now") for i in range(1, 10_001)]
+    table = spark.createDataFrame(known, "template_id long, template string")
+    lines = [f"start unit u{i}x on host{chr(97 + i % 20)} now" for i in range(1, 10_001, 5)]
+    records = with_ids(spark, lines).withColumnRenamed("truncated_log", "text")
+    found = templates.match_templates(records, table, similarity=0.8)
+    assert sorted(r.template_id for r in found.collect()) == list(range(1, 10_001, 5))
+
+
 def test_exact_templates(spark):
     records = with_ids(spark, ["a_b 12", "a b 7", "c"])
     got = {r.template: r.occurrences for r in templates.exact_templates(records).collect()}

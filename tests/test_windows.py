@@ -231,6 +231,21 @@ def test_granger_statistic_by_hand():
     assert causality.granger_p_values(x[:10], y[:10]) is None
 
 
+def test_containing_sets(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SHARD", 7)
+    rng = random.Random(12)
+    sets = list({frozenset(rng.sample(range(14), rng.randint(1, 6))) for _ in range(160)} | {frozenset(range(14))})
+    rows = [(i, (-len(s), i), sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "set_id long, rank struct<s:int,w:long>, tids array<long>")
+    found = windows.containing_sets(df)
+    assert {r.set_id: r.root_id for r in found.collect()} == {
+        i: min((-len(b), j) for j, b in enumerate(sets) if s <= b)[1] for i, s in enumerate(sets)
+    }
+    # Sets are ids in every exchange.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "tids" in line and "Scan" not in line]
+
+
 def test_granger_grid_equals_single_fits():
     """Moments of all pairs at once against a fit for each pair and lag, dependent and constant series included."""
     import numpy as np
