@@ -213,7 +213,8 @@ def _phone(text: str, permute: Permutation) -> str | None:
     if code.startswith("1"):
         code = "1"  # +1 is followed by the area code, with or without a space
     own = digits[len(code) :]
-    # Ten digits under +1, or without a country: area and exchange begin with 2 to 9.
+    # Ten digits under +1, or without a country: area and exchange begin with 2 to 9. Either way
+    # it is the same number, with the same pseudonym.
     bases, kind = [10] * len(own), f"phone{code}-any"
     national = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10] if len(own) == 10 and code in ("", "1") else None
 
@@ -221,7 +222,7 @@ def _phone(text: str, permute: Permutation) -> str | None:
         return national is not None and digits[0] > "1" and digits[3] > "1"
 
     if in_plan(own):
-        bases, kind = national, f"phone{code}"
+        bases, kind = national, "phone"
     low = [10 - b for b in bases]
     new = own
     while True:  # a number outside the plan stays outside
@@ -270,32 +271,36 @@ def _date(text: str, permute: Permutation) -> str | None:
     year_first = len(parts[0]) == 4
     year, first, second = (parts[0], parts[1], parts[2]) if year_first else (parts[2], parts[0], parts[1])
     # Slashes put the month first, other marks the day. Where that gives no date, the other
-    # reading is taken; its pseudonyms have a day over 12 too, so they read the same way.
+    # reading is taken.
     month_leads = year_first or mark == "/"
-    swapped = not year_first and int(first if month_leads else second) > 12
-    if swapped:
+    if not year_first and int(first if month_leads else second) > 12:
         month_leads = not month_leads
     month, day = (first, second) if month_leads else (second, first)
     try:
-        value = (date(int(year), int(month), int(day)) - FIRST_DAY).days
+        value = date(int(year), int(month), int(day))
     except ValueError:
         return None
-    if not 0 <= value < DAYS:
+    if not 0 <= (value - FIRST_DAY).days < DAYS:
         return None
-    if swapped:
-        late = _late_days()
-        value = late[permute("late-date", bisect_left(late, value), len(late))]
-    else:
-        value = permute("date", value, DAYS)
-    new = FIRST_DAY + timedelta(days=value)
-    rest = [f"{new.month:02d}", f"{new.day:02d}"]
+    # Days move among those whose fields are as wide and can be read in as many ways, whatever the
+    # notation: so a date has one pseudonym in all, and each reads and looks as the date did.
+    kind = _date_class(value)
+    same = _days_like(kind)
+    new = same[permute(f"date{kind}", bisect_left(same, value), len(same))]
+    rest = [f"{new.month:0{len(month)}d}", f"{new.day:0{len(day)}d}"]
     rest = rest if month_leads else rest[::-1]
     return mark.join([f"{new.year:04d}", *rest] if year_first else [*rest, f"{new.year:04d}"])
 
 
-@lru_cache(1)
-def _late_days() -> list[int]:
-    return [i for i in range(DAYS) if (FIRST_DAY + timedelta(days=i)).day > 12]
+def _date_class(day: date) -> tuple[bool, int]:
+    """Whether the month has two digits; whether the day has one, two, or is no month either."""
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+@lru_cache(None)
+def _days_like(kind: tuple[bool, int]) -> list[date]:
+    days = (FIRST_DAY + timedelta(days=i) for i in range(DAYS))
+    return [d for d in days if _date_class(d) == kind]
 
 
 def _iban(text: str, permute: Permutation) -> str | None:
@@ -315,17 +320,17 @@ def _iban(text: str, permute: Permutation) -> str | None:
 
 
 def _email(text: str, permute: Permutation) -> str | None:
-    # Letters and digits move within their class; marks and the last label stay.
+    # Letters and digits move within their class; marks and the last label stay. An address is the
+    # same in capitals: they stay where they are and don't change the pseudonym.
     head, dot, top = text.rpartition(".")
-    alphabet = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "9": "0123456789"}
-    form = [
-        "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "9" if c.isdigit() else c for c in head
-    ]
+    alphabet = {"a": "abcdefghijklmnopqrstuvwxyz", "9": "0123456789"}
+    form = ["a" if "a" <= c <= "z" else "9" if c.isdigit() else c for c in head.lower()]
     bases = [len(alphabet[f]) for f in form if f in alphabet]
-    values = [alphabet[f].index(c) for f, c in zip(form, head) if f in alphabet]
+    values = [alphabet[f].index(c) for f, c in zip(form, head.lower()) if f in alphabet]
     kind = "email" + hashlib.sha256("".join(form).encode()).hexdigest()[:16]
     out = iter(_unrank(permute(kind, _rank(values, bases), _size(bases)), bases))
-    return "".join(alphabet[f][next(out)] if f in alphabet else f for f in form) + dot + top
+    new = [alphabet[f][next(out)] if f in alphabet else f for f in form]
+    return "".join(n.upper() if c.isupper() else n for n, c in zip(new, head)) + dot + top
 
 
 WRITERS = {

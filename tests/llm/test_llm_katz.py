@@ -173,6 +173,8 @@ def test_tables_hold_the_counts(make):
 def test_packing_of_numbers():
     values = np.array([0, -1, 5, 1 << 62, -(1 << 62)], np.int64)
     assert katz.unpacked(katz.packed(values), 5).tolist() == values.tolist()
+    for some in (np.array([0.5] * 9 + [0.25]), np.array([0.1, 0.2, 0.3])):
+        assert katz.unpacked_few(katz.packed_few(some), len(some)).tolist() == some.tolist()
     h = np.array([-1, -1, 0, 3, 3, 3, 9], np.int64)
     w = np.array([4, 9, 1, 0, 2, 70, 5], np.int64)
     back = katz._unstepped(*katz._steps(h, w), 7)

@@ -10,8 +10,10 @@ import pytest
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from logtide.llm import pseudonyms
+
 from logtide.llm.queries import LLM_ORACLES, LLM_QUERIES
-from test_llm_dedup import plain_components, plain_fingerprint, plain_line_dedup
+from logtide.llm.texts import tokenizer_path
+from test_llm_dedup import plain_components, plain_fingerprint, plain_shared_lines
 from test_llm_rules import plain_quality
 from tokenizers import Tokenizer
 
@@ -19,7 +21,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry_point.queries())
     assert set(LLM_ORACLES) <= set(entry_point.oracle_sql())
 
@@ -63,12 +65,12 @@ def test_pipeline_equals_plain_stages(spark, make, tmp_path):
 
     docs = [(doc, text or "", source) for doc, text, source in rows]
     docs = [(w[0], left, None) for w, left in plain_quality(docs, 20, 0.05) if w[7]]
-    docs = plain_line_dedup([(d, t) for d, t, _ in docs])
+    docs = plain_shared_lines([(d, t) for d, t, _ in docs])
     groups = defaultdict(list)
     for (doc, text), root in zip(docs, plain_components([plain_fingerprint(t) for _, t in docs], 2)):
         groups[root].append((doc is None, doc or 0, text))
     rewrite = pseudonyms.Pseudonymiser(pseudonyms.DEMO_KEY)
-    tokenizer = Tokenizer.from_file("/opt/tokenizers/word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     wanted = []
     for group in groups.values():
         missing, doc, text = min(group)

@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -112,6 +112,45 @@ def test_cards_beside_other_numbers():
     assert rewrite(f"{plain} {long}")[0].startswith(rewrite(plain)[0] + " ")
 
 
+def test_a_value_has_one_pseudonym_in_all_notations():
+    rewrite = pseudonyms.Pseudonymiser(KEY)
+    one = lambda text: rewrite(text)[0]
+    plain = lambda text: re.sub("[^0-9]", "", text)[-10:]
+    for own in ("7435553824", "2002009999"):
+        a, b, c = own[:3], own[3:6], own[6:]
+        forms = [f"+1 ({a}) {b}-{c}", f"+1{own}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}"]
+        assert len({plain(one(f)) for f in forms}) == 1 and plain(one(forms[0])) != own
+        for f in forms:
+            assert re.sub("[0-9]", "9", one(f)) == re.sub("[0-9]", "9", f)
+    for day in (date(2020, 5, 13), date(1999, 12, 31), date(2020, 3, 5), date(2001, 11, 9), date(1987, 2, 10)):
+        wide, thin = (f"{day.month:02d}", f"{day.day:02d}"), (str(day.month), str(day.day))
+        found = set()
+        for m, d in (wide, thin):
+            forms = {f"{day.year}{x}{m}{x}{d}": (0, 1, 2) for x in "-/."} | {f"{m}/{d}/{day.year}": (2, 0, 1)}
+            forms |= {f"{d}{x}{m}{x}{day.year}": (2, 1, 0) for x in "-."}
+            if day.day > 12:
+                forms |= {f"{d}/{m}/{day.year}": (2, 1, 0), f"{m}-{d}-{day.year}": (2, 0, 1)}
+            for form, (y, mo, da) in forms.items():
+                new = one(form)
+                assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", form)
+                fields = [int(x) for x in re.split("[-/.]", new)]
+                found.add((fields[y], fields[mo], fields[da]))
+        assert len(found) == 1 and found != {(day.year, day.month, day.day)}
+    assert one("John.Doe7@Example.com").lower() == one("john.doe7@example.com") == one("JOHN.DOE7@EXAMPLE.com").lower()
+    new = one("John.Doe7@Example.com")
+    assert [c.isupper() for c in new] == [c.isupper() for c in "John.Doe7@Example.com"] and new[:4].lower() != "john"
+
+
+def test_dates_are_permuted_within_their_forms():
+    rewrite = pseudonyms.Pseudonymiser(KEY, ("date",))
+    days = [date(1900, 1, 1) + timedelta(days=i) for i in range(0, 73_049, 7)]
+    new = [rewrite(d.isoformat())[0] for d in days]
+    assert len(set(new)) == len(days) and not set(map(str, days)) <= set(new)
+    for old, text in zip(days, new):
+        got = date.fromisoformat(text)
+        assert got != old and (got.month > 9, got.day > 9, got.day > 12) == (old.month > 9, old.day > 9, old.day > 12)
+
+
 def test_phones_followed_by_numbers():
     rewrite = pseudonyms.Pseudonymiser(KEY, ("phone",))
     for value in ("+1 (743) 555-3824", "+1 743 555 3824", "+1.743.555.3824", "+17435553824", "+1-743-555-3824", "743-555-3824"):
