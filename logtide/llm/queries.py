@@ -80,10 +80,8 @@ def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_alignment.alignments(documents(spark, sf_dir))
-    return found.withColumn(
-        "groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups"), 256))
-    ).drop("groups")
+    digest = lambda text: F.when(text == "", "").otherwise(F.sha2(text, 256))
+    return token_alignment.alignments(documents(spark, sf_dir), groups=digest).withColumnRenamed("groups", "groups_sha256")
 
 
 def with_planted_runs(docs: DataFrame) -> DataFrame:

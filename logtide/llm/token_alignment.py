@@ -11,7 +11,8 @@ A text is read in segments, each the spaces in front of a word and what follows
 next space. No token of either side reaches across their borders: pieces of B have spaces
 at their beginning only, and A's pattern starts anew at the last space of a run, unless
 other white space stands before it and more behind (such texts are read as one segment).
-A distinct segment is encoded and aligned once and remembered by the Python worker.
+A distinct segment is encoded and aligned once, in parts (its lines, and the marks behind
+them) where no token of B joins those, and remembered by the Python worker.
 
 Counts come back to the texts without a shuffle for regular links and the ``HOT`` most
 frequent irregular pairs (arrays of a size that does not grow with the data) and by a
@@ -26,23 +27,26 @@ one by one. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.llm.texts import blocks, byte_letters, id_and_text, tokenizer_path, worker_kept
 from logtide.plans.common import materialize
 
-KEPT_SEGMENTS = 150_000  # distinct segments that a Python worker remembers
+KEPT_SEGMENTS = 400_000  # distinct segments that a Python worker remembers, beside those of a block
+AT_ONCE = 5000  # segments or texts that are encoded in one call
+MARKS = ".,;:!?"
+TEXT_BYTES = 2 << 20  # texts aligned together
 HOT = 65_536  # irregular pairs whose counts every task holds
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, groups string, regular array<int>, irregular array<long>, "
     "vector array<long>"
 )
-Segment = tuple[bool, int, int, str, list[int], list[int]]
+Segment = tuple[int, int, str, bytes, bytes]
 
 
 class Aligner:
@@ -83,67 +87,129 @@ class Aligner:
         self.identity = np.full(max(self.bytes_a) + 1, -1, np.int64)
         for i, spelled in self.bytes_a.items():
             self.identity[i] = same.get(spelled, -1)
-        self.same = self.identity.tolist()
+        spelled = [self.bytes_a.get(i, b"") for i in range(len(self.identity))]
+        self.spell_a, self.spell_b = spelled.__getitem__, self.bytes_b.__getitem__
+        self.names = list(map(str, range(max(len(spelled), size))))
+        whole = [p for i, p in enumerate(piece) if not self.b.is_byte(i)]
+        if any("\n" in p for p in whole):
+            raise ValueError("a piece of B has a line end")
+        self.joined = {x + y for p in whole for x, y in zip(p, p[1:]) if y in MARKS}
+        if any("a" + m in self.joined for m in MARKS):
+            raise ValueError("a piece of B joins a mark to the letter a")
+        self.lines = re.compile(r"(?<=\S)(?=\n\S)")
         # Spaces, then a word; spaces at the end of a text are a segment of their own.
         self.segments = re.compile(r" +[^ ]+| +")
         self.wide = re.compile(r"[^\S ] (?!\S)")
-        self.kept: dict[str, Segment] = {}
-
-    def aligned(self, spelled: bytes, a_ids: list[int], b_ids: list[int]) -> Segment:
-        """Whether both sides spell the bytes; token numbers, groups as text, regular A ids and irregular links."""
-        a_bytes = [self.bytes_a.get(i, b"") for i in a_ids]
-        b_bytes = [self.bytes_b[i] for i in b_ids]
-        if b"".join(a_bytes) != spelled or b"".join(b_bytes) != spelled:
-            return False, 0, 0, "", [], []
-        groups, regular, irregular = [], [], []
-        i = j = i0 = j0 = at_a = at_b = 0
-        while i < len(a_ids):
-            at_a += len(a_bytes[i])
-            i += 1
-            while at_b < at_a:
-                at_b += len(b_bytes[j])
-                j += 1
-            if at_a != at_b:
-                continue
-            a, b = a_ids[i - 1], b_ids[j - 1]
-            if i - i0 == j - j0 == 1:
-                groups.append(f"{a}|{b}")
+        self.newer: dict[str, Segment | None] = {}
+        self.older: dict[str, Segment | None] = {}
+
+    def aligned(self, spelled: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Segment | None]:
+        """Per part the token numbers, groups as text, regular A ids and irregular links; None if a side spells
+        other bytes. The parts are laid end to end, so that all are compared at once."""
+        a_ids, b_ids = list(itertools.chain.from_iterable(a)), list(itertools.chain.from_iterable(b))
+        a_bytes, b_bytes = list(map(self.spell_a, a_ids)), list(map(self.spell_b, b_ids))
+        a_ends = np.cumsum(np.fromiter(map(len, a_bytes), np.int64, len(a_bytes)))
+        b_ends = np.cumsum(np.fromiter(map(len, b_bytes), np.int64, len(b_bytes)))
+        a_last, b_last = np.cumsum(list(map(len, a)), dtype=np.int64), np.cumsum(list(map(len, b)), dtype=np.int64)
+        ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+        whole = b"".join(spelled)
+        if (
+            b"".join(a_bytes) != whole or b"".join(b_bytes) != whole
+            or not np.array_equal(a_ends[a_last - 1], ends) or not np.array_equal(b_ends[b_last - 1], ends)
+        ):
+            if len(spelled) == 1:
+                return [None]
+            half = len(spelled) // 2
+            return [x for c in (slice(half), slice(half, None)) for x in self.aligned(spelled[c], a[c], b[c])]
+        _, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        at_a, at_b = np.array(a_ids, np.int64)[i], np.array(b_ids, np.int64)[j]
+        single = (np.diff(i, prepend=-1) == 1) & (np.diff(j, prepend=-1) == 1)
+        plain = single & (self.identity[at_a] == at_b)
+        a_names, b_names = list(map(self.names.__getitem__, a_ids)), list(map(self.names.__getitem__, b_ids))
+        texts, i0, j0 = [], 0, 0
+        for i1, j1, one in zip((i + 1).tolist(), (j + 1).tolist(), single.tolist()):
+            if one:
+                texts.append(f"{a_names[i0]}|{b_names[j0]}")
             else:
-                groups.append(",".join(map(str, a_ids[i0:i])) + "|" + ",".join(map(str, b_ids[j0:j])))
-            if i - i0 == j - j0 == 1 and self.same[a] == b:
-                regular.append(a)
+                texts.append(f"{','.join(a_names[i0:i1])}|{','.join(b_names[j0:j1])}")
+            i0, j0 = i1, j1
+        regular = at_a[plain].astype("<i4").tobytes()
+        irregular = (at_a[~plain] << 32 | at_b[~plain]).astype("<i8").tobytes()
+        last = np.searchsorted(i, a_last - 1) + 1  # the group behind each part's last
+        seen = np.concatenate(([0], np.cumsum(plain)))[last]
+        out, g, r = [], 0, 0
+        for n_a, n_b, g1, r1 in zip(map(len, a), map(len, b), last.tolist(), seen.tolist()):
+            u, u1 = g - r, g1 - r1
+            out.append((n_a, n_b, ";".join(texts[g:g1]), regular[4 * r : 4 * r1], irregular[8 * u : 8 * u1]))
+            g, r = g1, r1
+        return out
+
+    def _align(self, parts: list[str]) -> Iterator[Segment | None]:
+        """Parts and whole texts, some at a time. B adds a space in front, which stands for that of a word; in front of
+        a line end it is a token by itself, and marks get a letter that they don't join."""
+        for at in range(0, len(parts), AT_ONCE):
+            some = parts[at : at + AT_ONCE]
+            a = self.a.encode_batch_fast(some, add_special_tokens=False)
+            b = self.b.encode([p[1:] if p[0] == " " else p if p[0] == "\n" else "a" + p for p in some], num_threads=1)
+            b = [y[1:] if p[0] != " " else y if len(p) > 1 else [self.space] for p, y in zip(some, b)]
+            yield from self.aligned([p.encode() for p in some], [x.ids for x in a], b)
+
+    def _parts(self, segment: str) -> list[str]:
+        """Parts of a segment that no token crosses: single lines, and the marks behind a word's last letter."""
+        parts = []
+        for line in self.lines.split(segment) if "\n" in segment else [segment]:
+            word = line.rstrip(MARKS)
+            if len(word) == len(line) or not word[-1:].isalpha() or word[-1] + line[len(word)] in self.joined:
+                parts.append(line)
             else:
-                irregular.append(a << 32 | b)
-            i0, j0 = i, j
-        return True, len(a_ids), len(b_ids), ";".join(groups), regular, irregular
-
-    def _align(self, parts: list[str]) -> list[Segment]:
-        """Segments or whole texts; each begins with a space, which B adds by itself."""
-        a = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        b = self.b.encode([p[1:] for p in parts], num_threads=1) if parts else []
-        return [
-            self.aligned(p.encode(), x.ids, y if len(p) > 1 else [self.space]) for p, x, y in zip(parts, a, b)
-        ]
+                parts += [word, line[len(word) :]]
+        return parts
+
+    def _remember(self, wanted: set[str]) -> None:
+        """Have the segments in the newer half of the memory; what a whole half did not ask for is forgotten."""
+        if len(self.newer) + len(wanted) > KEPT_SEGMENTS // 2:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        missing = wanted.difference(newer)
+        for s in missing.intersection(older):
+            newer[s] = older[s]
+        split = {s: self._parts(s) for s in missing.difference(older)}
+        parts = {p for ps in split.values() for p in ps if p not in newer}
+        for p in parts.intersection(older):
+            newer[p] = older[p]
+        new = list(parts.difference(older))
+        newer.update(zip(new, self._align(new)))
+        for s, ps in split.items():
+            if len(ps) > 1:
+                own = [newer[p] for p in ps]
+                newer[s] = None if None in own else (
+                    sum([o[0] for o in own]), sum([o[1] for o in own]), ";".join([o[2] for o in own]),
+                    b"".join([o[3] for o in own]), b"".join([o[4] for o in own]),
+                )
 
     def __call__(self, texts: list[str]) -> list[list[Segment]]:
         """Per text its segments; none for an empty text and one that isn't spelled byte for byte."""
         split = [
             [] if not t else [" " + t] if self.wide.search(" " + t) else self.segments.findall(" " + t) for t in texts
         ]
-        wanted = {s for parts in split if len(parts) > 1 for s in parts}
-        new = [s for s in wanted if s not in self.kept]
-        if len(self.kept) + len(new) > KEPT_SEGMENTS:
-            self.kept = {s: self.kept[s] for s in wanted if s in self.kept}
-        self.kept.update(zip(new, self._align(new)))
-        whole = iter(self._align([parts[0] for parts in split if len(parts) == 1]))
-        found = [[next(whole)] if len(parts) == 1 else [self.kept[s] for s in parts] for parts in split]
-        return [segments if all(s[0] for s in segments) else [] for segments in found]
+        self._remember({s for parts in split if len(parts) > 1 for s in parts})
+        whole = self._align([parts[0] for parts in split if len(parts) == 1])
+        get = self.newer.__getitem__
+        found = [[next(whole)] if len(parts) == 1 else list(map(get, parts)) for parts in split]
+        return [[] if None in segments else segments for segments in found]
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per document row, doc_id, token numbers, groups and links; beside them a row per task with its vector of
     regular links (doc columns null)."""
 
+    def listed(found: list[list[Segment]], field: int, kind: pa.DataType) -> pa.ListArray:
+        parts = [b"".join([s[field] for s in f]) for f in found]
+        width = kind.bit_width // 8
+        offsets = list(itertools.accumulate([len(p) // width for p in parts], initial=0))
+        values = pa.Array.from_buffers(kind, offsets[-1], [None, pa.py_buffer(b"".join(parts))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = worker_kept(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
         schema = pa.schema([
@@ -153,21 +219,18 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         ])
         row = TaskContext.get().partitionId() << 33
         vector = np.zeros(len(aligner.identity), np.int64)
-        for batch in blocks(batches):
+        for batch in blocks(batches, TEXT_BYTES):
             found = aligner(batch["text"].to_pylist())
-            regular = [list(itertools.chain.from_iterable([s[4] for s in f])) for f in found]
-            vector += np.bincount(
-                np.fromiter(itertools.chain.from_iterable(regular), np.int64), minlength=len(vector)
-            )
+            regular = listed(found, 3, pa.int32())
+            irregular = listed(found, 4, pa.int64())
+            vector += np.bincount(regular.values.to_numpy(), minlength=len(vector))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(row, row + len(found)), pa.int64()), batch["doc_id"],
-                    pa.array([sum(s[1] for s in f) for f in found], pa.int64()),
-                    pa.array([sum(s[2] for s in f) for f in found], pa.int64()),
-                    pa.array([";".join([s[3] for s in f]) for f in found], pa.string()),
-                    pa.array(regular, pa.list_(pa.int32())),
-                    pa.array([list(itertools.chain.from_iterable([s[5] for s in f])) for f in found], pa.list_(pa.int64())),
-                    pa.nulls(len(found), pa.list_(pa.int64())),
+                    pa.array([sum([s[0] for s in f]) for f in found], pa.int64()),
+                    pa.array([sum([s[1] for s in f]) for f in found], pa.int64()),
+                    pa.array([";".join([s[2] for s in f]) for f in found], pa.string()),
+                    regular, irregular, pa.nulls(len(found), pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
@@ -211,8 +274,10 @@ def alignments(
     docs: DataFrame,
     path_a: str | None = None,
     path_b: str | None = None,
+    groups: Callable[[Column], Column] = lambda text: text,
 ) -> DataFrame:
-    """Per row doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and ``groups``: the ids of each group.
+    """Per row doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and ``groups``: the ids of each group as
+    ``a1,a2|b1;a3|b2``, or what the function ``groups`` makes of this text before it is written.
 
     n_best counts the links whose pair is the most frequent one of its B id (ties
     included), count_sum adds up the counts of the pairs of all links.
@@ -221,7 +286,8 @@ def alignments(
     path_b = path_b or tokenizer_path("piece_bpe_32k.model")
     aligner = Aligner(path_a, path_b)
     identity = aligner.identity
-    aligned = materialize(align(docs, path_a, path_b), "aligned")
+    found = align(docs, path_a, path_b).withColumn("groups", groups(F.col("groups")))
+    aligned = materialize(found, "aligned")
     pairs, regular, best_of = link_counts(aligned, identity)
     best = np.zeros(len(aligner.bytes_b), np.int64)
     np.maximum.at(best, identity[regular > 0], regular[regular > 0])
