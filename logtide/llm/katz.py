@@ -47,8 +47,8 @@ from logtide.llm.texts import blocks, id_and_text
 from logtide.plans.common import materialize
 
 MAX_DISCOUNTED = 5
-BLOCK_TOKENS = 4_000_000
-PART_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
+PART_TOKENS = 2_000_000
 STATE = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, tokens binary"
 TYPES = "part int, block long, size long, h binary, w binary, n binary, p binary"
 ANSWERS = (
@@ -82,6 +82,22 @@ def unpacked(data: bytes, size: int, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
 
 
+def packed_few(values: np.ndarray) -> bytes:
+    """Probabilities as places in the list of distinct ones, where that is short: unigrams have one per count."""
+    distinct, at = np.unique(values, return_inverse=True)
+    if len(distinct) >= len(values) // 4:
+        return np.zeros(2, "<i8").tobytes() + packed(values)
+    listed = packed(distinct)
+    return np.array([len(distinct), len(listed)], "<i8").tobytes() + listed + packed(at)
+
+
+def unpacked_few(data: bytes, size: int) -> np.ndarray:
+    count, length = np.frombuffer(data[:16], "<i8").tolist()
+    if not count:
+        return unpacked(data[16:], size, np.float64)
+    return unpacked(data[16 : 16 + length], count, np.float64)[unpacked(data[16 + length :], size)]
+
+
 def _steps(h: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted pairs as differences: of h to the h before, of w to the w before under the same h."""
     same = np.concatenate(([False], h[1:] == h[:-1]))
@@ -225,7 +241,7 @@ class Block:
             h, w = _steps(self.h[own], self.w[own])
             rows.append({
                 "part": part, "block": self.block, "size": len(own), "h": h, "w": w, "n": packed(n[own]),
-                "p": packed(self.lower[own]),
+                "p": packed_few(self.lower[own]),
             })
         return pa.Table.from_pylist(rows, schema=_schema(TYPES))
 
@@ -298,7 +314,7 @@ def merge(level: int, hot: np.ndarray, parts: int, last: bool, often: float):
         hs, ws = zip(*[_unstepped(r["h"], r["w"], r["size"]) for r in rows])
         h, w = np.concatenate(hs), np.concatenate(ws)
         n = np.concatenate([unpacked(r["n"], r["size"]) for r in rows])
-        p = np.concatenate([unpacked(r["p"], r["size"], np.float64) for r in rows])
+        p = np.concatenate([unpacked_few(r["p"], r["size"]) for r in rows])
         order = np.lexsort((w, h))
         h, w = h[order], w[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
