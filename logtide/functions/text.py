@@ -98,6 +98,12 @@ def annotated_line(text: Column, fault: Column, signal: Column) -> Column:
     )
 
 
+def parse_annotated_line(line: Column) -> Column:
+    """text, fault and signal of a report line; the last marks count, as a text may hold some itself."""
+    form = r"(?s)^(.*) => Fault-Categories: (.*?) => Golden-Signal: (.*)$"
+    return F.struct(*[F.regexp_extract(line, form, i).alias(n) for i, n in enumerate(("text", "fault", "signal"), 1)])
+
+
 def size_display(size: Column) -> Column:
     """Bytes as '4.0 MB'; null for negative or missing sizes."""
     def scaled(unit: float, suffix: str) -> Column:
@@ -123,6 +129,11 @@ def log_scaled(count: Column) -> Column:
     return F.when(count == 0, F.lit(0.0)).otherwise(F.round(F.log10(count + 1), 2))
 
 
+def log_height(count: Column) -> Column:
+    """Height in the temporal evolution: log10(n), and zero where there is nothing."""
+    return F.when(count > 0, F.log10(count)).otherwise(F.lit(0.0))
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)$", 1)
 

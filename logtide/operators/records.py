@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 import json
 
@@ -291,8 +291,11 @@ def time_range_filter(records: DataFrame, time_range: str) -> DataFrame:
     )
 
 
-def interval_filter(records: DataFrame, start: float, seconds: float) -> DataFrame:
-    """Records within [start, start + seconds]."""
+def interval_filter(records: DataFrame, start: float | str, seconds: float) -> DataFrame:
+    """Records within [start, start + seconds]; a start given as text is an ISO date or time, UTC unless it says so."""
+    if isinstance(start, str):
+        moment = datetime.fromisoformat(start)
+        start = (moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).timestamp()
     return records.where(F.col("epoch").between(start, start + seconds))
 
 

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.functions.tokens import bracket_tokens, match_tag
 from logtide.plans.common import join_by_key
 
 
-def load_tags(path: str) -> dict:
-    """Tag rules from a JSON file, missing keys filled in."""
-    with open(path) as source:
-        config = json.load(source)
+def load_tags(spark: SparkSession, path: str) -> dict:
+    """Tag rules from a JSON file of any store that Spark reads, missing keys filled in."""
+    config = json.loads(spark.read.option("wholetext", "true").text(path).first()["value"])
     tags = [
         {"name": t["name"], "keywords": t.get("keywords", []), "patterns": t.get("patterns", [])}
         for t in config.get("tags", [])
@@ -49,6 +48,11 @@ def components_of_representatives(reps: DataFrame, config: dict) -> DataFrame:
     )
 
 
+def distinct_components(components: DataFrame) -> DataFrame:
+    """Templates and records per component, from the rows of ``template_components``."""
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("templates"), F.sum("n").alias("records"))
+
+
 def tag_components(
     templated: DataFrame, config: dict, components: DataFrame | None = None
 ) -> DataFrame:

@@ -62,6 +62,12 @@ def normal_windows(windows: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFra
     )
 
 
+def normal_window_lines(labelled: DataFrame, windows: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """The records of the windows with information only, as rows, with the window's times."""
+    spans = normal_windows(windows, seconds).select("win", "start_ts", "end_ts")
+    return join_by_key(window_items(labelled, seconds), spans, ["win"], how="inner")
+
+
 def window_counts(windows: DataFrame) -> DataFrame:
     return windows.agg(
         F.count_if("all_info").alias("normal_windows"),

@@ -647,3 +647,16 @@ ORACLES["report_anomalies"] = _ITEMS + ", " + _cut(
   'gs': list(golden_signal ORDER BY win, file_name, event_id), 'templateIds': list(template_id ORDER BY win, file_name, event_id)}}) AS document
   FROM pieces GROUP BY 1, 2, 3, 4),
  """ + _cut("docs", "root_id, a1, a2, a3", "(strlen(document) + 1)", 64 * 1024, "cut") + f" SELECT {_PART} FROM cut"
+ORACLES["normal_window_lines"] = _with_windows(30) + f"""SELECT win, {utc('w.epoch')} AS start_ts, {utc('w.epoch + 30')} AS end_ts,
+ event_id, template_id, text FROM items JOIN w USING (win) WHERE all_info"""
+ORACLES["component_totals"] = WITH_LINES + f""", t AS (SELECT length(value) % 50 AS template_id,
+  first({_TAG} ORDER BY file_name, line_seq) AS component, count(*) AS n FROM event_lines GROUP BY 1)
+ SELECT component, count(*) AS templates, CAST(sum(n) AS BIGINT) AS records FROM t GROUP BY 1"""
+ORACLES["interval_from_text"] = """SELECT event_id FROM events
+ WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-11'"""
+ORACLES["glob_scan"] = WITH_LINES + "SELECT file_name, value FROM event_lines WHERE regexp_matches(file_name, '^app-[0-4].log$')"
+ORACLES["debug_outputs"] = WITH_LABELLED.replace("WITH ", WITH_LINES + ", ", 1) + """SELECT 'matcher_output' AS name, template_id, count(*) AS n FROM lab GROUP BY 2
+ UNION ALL SELECT 'processed_logs', 0, count(*) FROM lab UNION ALL SELECT 'none_logs', 0, count(*) FROM document_lines
+ UNION ALL SELECT 'json_discarded', 0, count(*) FROM events"""
+ORACLES["annotated_lines"] = WITH_LABELLED + """SELECT event_id, text, fault, golden_signal AS signal,
+ CASE WHEN event_id > 0 THEN round(log10(event_id), 6) ELSE 0 END AS height FROM lab"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -118,6 +119,42 @@ def line_scan(spark, sf_dir):
     return lines.select(_file_of_path(F.col("file_name")).alias("file_name"), "value")
 
 
+@query
+def glob_scan(spark, sf_dir):
+    """Folders that overlap and one named twice: each file is read once."""
+    path = _text_files(spark, sf_dir)
+    lines = ln.read_log_lines(spark, [f"{path}/file=app-[0-4].log", f"{path}/file=app-[0-4].log"], "*.txt")
+    return lines.select(_file_of_path(F.col("file_name")).alias("file_name"), "value")
+
+
+@query
+def debug_outputs(spark, sf_dir):
+    """The debug outputs written and read back: rows of each, and lines per template."""
+    path = f"{shared_dir(spark)}/debug-{uuid.uuid4().hex}"
+    rows = labelled_events(spark, sf_dir).withColumn("truncated_log", F.col("text"))
+    untimed = tables.document_lines(spark, sf_dir).select(F.col("value").alias("text"))
+    refused = tables.json_lines(spark, sf_dir).select("value")
+    sinks.write_debug(path, untimed, refused, rows.select("record_id", "template_id", "text"), rows)
+    counts = [
+        spark.read.text(f"{path}/{name}").groupBy(F.lit(name).alias("name"), F.lit(0).cast("long").alias("template_id"))
+        .agg(F.count(F.lit(1)).alias("n")) for name in ("none_logs", "json_discarded", "processed_logs")
+    ]
+    lines = spark.read.schema("template_id long, truncated_log string").json(f"{path}/matcher_output")
+    per_template = lines.groupBy(F.lit("matcher_output").alias("name"), "template_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_template.unionByName(counts[0]).unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def annotated_lines(spark, sf_dir):
+    """Report lines, read apart again."""
+    rows = labelled_events(spark, sf_dir)
+    line = tx.annotated_line(F.col("text"), F.get("fault_categories", 0), F.col("golden_signal"))
+    return rows.select(
+        F.col("record_id.line_seq").alias("event_id"), tx.parse_annotated_line(line).alias("parts"),
+        F.round(tx.log_height(F.col("record_id.line_seq")), 6).alias("height"),
+    ).select("event_id", "parts.*", "height")
+
+
 def _write_archives(documents: DataFrame, folder: str) -> None:
     """One zip per batch of documents, a member per document. Names depend on the
     rows only, so a repeated task replaces its own files."""
@@ -415,6 +452,13 @@ def time_range(spark, sf_dir):
     )
 
 
+@query
+def interval_from_text(spark, sf_dir):
+    return records.interval_filter(labelled_events(spark, sf_dir), "2024-01-10T05:30:00+05:30", 86400).select(
+        F.col("record_id.line_seq").alias("event_id")
+    )
+
+
 @query
 def interval_filter(spark, sf_dir):
     start = datetime(2024, 1, 10, tzinfo=timezone.utc).timestamp()
@@ -569,15 +613,28 @@ def match_templates(spark, sf_dir):
 # --- tags and labels ------------------------------------------------------------
 
 
-@query
-def component_tags(spark, sf_dir):
-    lines = tables.event_lines(spark, sf_dir).select(
+def _tag_lines(spark, sf_dir) -> DataFrame:
+    return tables.event_lines(spark, sf_dir).select(
         F.struct(
             F.lit(0).alias("section"), "file_name", "block_start", "line_seq"
         ).alias("record_id"),
         F.col("value").alias("text"),
         F.pmod(F.length("value"), F.lit(50)).cast("long").alias("template_id"),
     )
+
+
+@query
+def component_totals(spark, sf_dir):
+    """The tag rules come from a file."""
+    path = f"{shared_dir(spark)}/tags-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(TAGS),)], "value string").coalesce(1).write.text(path)
+    found = tags.template_components(_tag_lines(spark, sf_dir), tags.load_tags(spark, path))
+    return tags.distinct_components(found)
+
+
+@query
+def component_tags(spark, sf_dir):
+    lines = _tag_lines(spark, sf_dir)
     return tags.tag_components(lines, TAGS).select(
         F.col("record_id.line_seq").alias("line_seq"), "template_id", "component"
     )
@@ -715,6 +772,16 @@ def event_windows(spark, sf_dir):
     )
 
 
+@query
+def normal_window_lines(spark, sf_dir):
+    """Windows of 30 seconds."""
+    labelled = labelled_events(spark, sf_dir)
+    found = materialize(windows.tumbling_windows(labelled), "windows")
+    return windows.normal_window_lines(labelled, found).select(
+        "win", "start_ts", "end_ts", F.col("record_id.line_seq").alias("event_id"), "template_id", "text"
+    )
+
+
 @query
 def window_counts(spark, sf_dir):
     return windows.window_counts(_windows(spark, sf_dir))

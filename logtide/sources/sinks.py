@@ -8,8 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from logtide.plans.common import running_sums
+from logtide.plans.common import join_by_key, running_sums
 
+PART_ENTRIES = 1_000_000  # entries of an hour that one file of the store holds
 CHUNK_BYTES = int(2.5 * 1024 * 1024)  # fixed value: report chunks stay below this
 
 
@@ -18,11 +19,12 @@ def write_store(templates: DataFrame, files: DataFrame, entries: DataFrame, path
     templates.write.mode("overwrite").parquet(f"{path}/templates")
     files.write.mode("overwrite").parquet(f"{path}/template_files")
     day = F.to_date(F.timestamp_seconds("timestamp"))
-    # Days are uneven, so rows spread over each day's hours as well.
-    hour = F.pmod(F.floor(F.col("timestamp") / 3600), F.lit(24))
+    # Days are uneven, so rows spread over each day's hours, and those of an hour over as many parts as it needs.
+    hour = F.floor(F.col("timestamp") / 3600)
+    hours = entries.groupBy(hour.alias("_hour")).agg(F.ceil(F.count(F.lit(1)) / PART_ENTRIES).alias("_parts"))
     (
-        entries.withColumn("day", day)
-        .repartition("day", hour, F.pmod(F.xxhash64("entry_id"), F.lit(16)))
+        join_by_key(entries.withColumns({"day": day, "_hour": hour}), hours, ["_hour"])
+        .repartition("day", "_hour", F.pmod(F.xxhash64("entry_id"), F.col("_parts"))).drop("_hour", "_parts")
         .sortWithinPartitions("day", F.desc("timestamp"), "file_source", "entry_id")
         .write.mode("overwrite").partitionBy("day").parquet(f"{path}/log_entries")
     )
