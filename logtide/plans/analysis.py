@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from logtide.functions import timestamps
 from logtide.operators import classify, records, store, summary, tags, templates, timeline, windows
 from logtide.plans.common import materialize
 
@@ -86,11 +87,17 @@ def preprocess(
     time_range: str = "all-data",
     json_time: Sequence[str] = (),
     json_message: Sequence[str] = (),
-    order: Sequence[int] | None = None,
+    order: Sequence[int] | str | None = None,
     chunk_bits: int = records.CHUNK_BITS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(log records, discarded JSON lines) from physical lines."""
+    """(log records, discarded JSON lines) from physical lines.
+
+    ``order`` is that of the timestamp patterns: indexes, or "hits" for those most frequent in the
+    lines first, which takes a pass over the lines to count them.
+    """
     text, json_text = records.split_json_lines(lines)
+    if order == "hits":
+        order = timestamps.order_by_hits(timestamps.pattern_hits(text))
     kept, discarded = records.json_records(json_text, json_time, json_message, as_of)
     timed, untimed = records.segment_records(
         records.parse_lines(text, as_of, order), chunk_bits
