@@ -151,3 +151,18 @@ def test_json_keys_with_many_underscores(spark):
     kept, discarded = records.json_records(lines, ["t"], [key], datetime(2024, 2, 1, tzinfo=timezone.utc))
     assert {(r.line_seq, r.text, r.epoch) for r in kept.collect()} == {(0, "deep", 1700000000.0), (1, "flat", 1700000001.0)}
     assert {r.line_seq for r in discarded.collect()} == {2, 3}
+
+
+def test_patterns_ordered_by_hits_give_the_same_records(spark):
+    from logtide.plans.analysis import preprocess
+
+    lines = [f"{i % 12 + 1:02d}/{i % 28 + 1:02d}/23 10:{i % 60:02d}:01 word{i} done" if i % 3 else f"2023-05-{i % 28 + 1:02d} 10:{i % 60:02d}:01,5 odd{i}" for i in range(90)]
+    df = spark.createDataFrame([("a.log", 0, i, t) for i, t in enumerate(lines)], "file_name string, block_start long, line_seq long, value string")
+    shown = lambda order: sorted((r.text, r.epoch) for r in preprocess(df, AS_OF, order=order)[0].collect())
+    assert len(shown("hits")) == 90 and shown("hits") == shown(None)
+
+
+def test_interval_start_as_text(spark):
+    df = spark.createDataFrame([(float(i * 3600),) for i in range(50)], "epoch double")
+    for start in ("1970-01-01T05:00:00", "1970-01-01 06:00:00+01:00", 5 * 3600.0):
+        assert sorted(r.epoch // 3600 for r in records.interval_filter(df, start, 7200).collect()) == [5, 6, 7]
