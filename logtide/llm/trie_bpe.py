@@ -29,6 +29,7 @@ from logtide.llm.texts import CACHED_PIECES, blocks, byte_letters, id_and_text,
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
+CACHED_WORDS = 300_000  # distinct words whose ids a Python worker remembers, beside its pieces
 
 
 class TrieEncoder:
@@ -53,8 +54,14 @@ class TrieEncoder:
         self.wide = regex.compile(r"\s (?!\S)")
         self._spines(vocabulary, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]])
         self.ids = {token: i for token, i in self.ids.items() if i in self.right}
-        self.longest = max(map(len, self.ids))
+        # The longest token that ends in each four bytes: longer ones need not be looked up.
+        self.reach: dict[bytes, int] = {}
+        for token in self.ids:
+            self.reach[token[-4:]] = max(len(token), self.reach.get(token[-4:], 0))
+        self.sizes = {i: len(token) for i, token in self.bytes.items()}
         self.follows: dict[int, bool] = {}
+        self.names = {i: f"{i}," for i in self.bytes}
+        self.words_kept: dict[str, tuple[str, int, bytes]] = {}
         self.cache: dict[str, tuple[str, int, bytes]] = {}
 
     def _spines(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
@@ -104,7 +111,8 @@ class TrieEncoder:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of distinct words, each state of a shared prefix computed once."""
-        ids, longest, follows, may_follow = self.ids.get, self.longest, self.follows.get, self._may_follow
+        ids, reach, follows, may_follow = self.ids.get, self.reach.get, self.follows.get, self._may_follow
+        sizes = self.sizes
         encoded: dict[bytes, list[int]] = {}
         last: list[int] = [-1]  # last token of each prefix of the current path in the trie
         before = b""
@@ -116,7 +124,8 @@ class TrieEncoder:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                low = end - reach(word[end - 4 : end], 3) if end > 3 else 0
+                for start in range(low if low > 0 else 0, end):
                     token = ids(word[start:end])
                     if token is None:
                         continue
@@ -133,7 +142,7 @@ class TrieEncoder:
             found, at = [], len(word)
             while at:
                 found.append(last[at])
-                at -= len(self.bytes[last[at]])
+                at -= sizes[last[at]]
             encoded[word] = found[::-1]
             before = word
         return encoded
@@ -147,15 +156,32 @@ class TrieEncoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def add(self, pieces: set[str]) -> None:
-        """Encode the pieces that the cache lacks: their distinct words share one trie."""
+        """Encode the pieces that the cache lacks: their distinct words, but for those met before, share one trie."""
         new = [p for p in pieces if p not in self.cache]
         if len(self.cache) + len(new) > CACHED_PIECES:
             self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
-        split = {p: [w.encode("utf-8", "replace") for w in self.words.findall(p)] for p in new if p not in self.special}
-        encoded = self.encode_words(list({w for words in split.values() for w in words}))
+        split = {p: self.words.findall(p) for p in new if p not in self.special}
+        known = self.words_kept
+        words = {w for ws in split.values() for w in ws}
+        if len(known) + len(words) > CACHED_WORDS:
+            known = self.words_kept = {w: known[w] for w in words if w in known}
+        spelled = {w: w.encode("utf-8", "replace") for w in words if w not in known}
+        encoded = self.encode_words(list(set(spelled.values())))
+        names = self.names
+        for w, data in spelled.items():
+            found = encoded[data]
+            known[w] = "".join([names[i] for i in found]), len(found), self.decode(found)
         for piece in new:
-            found = [i for w in split[piece] for i in encoded[w]] if piece in split else [self.special[piece]]
-            self.cache[piece] = ("".join(f"{i}," for i in found), len(found), self.decode(found))
+            if piece not in split:
+                own = self.special[piece]
+                self.cache[piece] = names[own], 1, self.decode([own])
+                continue
+            own = [known[w] for w in split[piece]]
+            if len(own) == 1:
+                self.cache[piece] = own[0]
+                continue
+            texts, sizes, parts = zip(*own) if own else ((), (), ())
+            self.cache[piece] = "".join(texts), sum(sizes), b"".join(parts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
