@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logtide.functions.bind import bind
 from logtide.plans.common import join_by_key
+from logtide.plans.places import first_records
 
 # The labels, in the classifier's order, and how they are used.
 SIGNALS = ["information", "error", "availability", "latency", "saturation", "traffic"]
@@ -102,14 +103,11 @@ CLASSIFIERS = {"rules": classify_rules, "callable": classify_callable}
 
 def representatives(templated: DataFrame) -> DataFrame:
     """First record per template and file, with the pair's record count."""
-    first = F.struct("clean_text", "text", "ts_text", "epoch", "record_id")
-    grouped = templated.groupBy("template_id", "file_name").agg(
-        F.min_by(first, "record_id").alias("r"), F.count(F.lit(1)).alias("n")
-    )
-    blank = F.trim("r.clean_text") == ""
-    return grouped.select(
-        "template_id", "file_name", "n", "r.text", "r.ts_text", "r.record_id",
-        F.when(blank, "empty log").otherwise(F.col("r.clean_text")).alias("rep_text"),
+    first = first_records(templated, ["template_id", "file_name"], ["text", "ts_text", "record_id", "clean_text"])
+    blank = F.trim("clean_text") == ""
+    return first.select(
+        "template_id", "file_name", "n", "text", "ts_text", "record_id",
+        F.when(blank, "empty log").otherwise(F.col("clean_text")).alias("rep_text"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from logtide.functions.masking import var_count
 from logtide.operators.classify import vote_signal
 from logtide.plans.common import dense_id, materialize
+from logtide.plans.places import place_in_file, place_order, records_at
 
 REQUIRED = {"template_id", "template", "variables", "epoch", "file_name"}
 FILES_PER_MAP = 1000  # files that one map of counts names; further ones are in further maps
@@ -39,34 +40,50 @@ def template_table(
 ) -> DataFrame:
     """One row per template; its counts by file are in ``template_files``.
 
-    Records are read once, reduced to one row per template and file. The
+    Records are reduced to places per template and file by hash aggregates on
+    numbers, and the texts of the records that stand there are fetched. The
     component comes from ``components``, else from the records.
     """
     check_columns(records)
     has_component = "component" in records.columns
     component = F.col("component") if has_component else F.lit(None).cast("string")
-    per_file = materialize(
-        records.groupBy("template_id", "file_name").agg(
-            F.min(F.struct("record_id", "template", component.alias("component"))).alias("first"),
-            F.min(F.when(F.col("text") != "", F.struct("record_id", "text"))).alias("rep"),
-            F.count(F.lit(1)).alias("n"),
+    placed = records.select(
+        "template_id", "file_name", place_in_file().alias("place"), "template", component.alias("_component"), "text"
+    )
+    per_file = placed.groupBy("template_id", "file_name").agg(
+        F.min("place").alias("place"), F.min(F.when(F.col("text") != "", F.col("place"))).alias("filled"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    places = materialize(
+        per_file.groupBy("template_id").agg(
+            F.min(place_order("file_name", "place")).alias("first"),
+            F.min(F.when(F.col("filled").isNotNull(), place_order("file_name", "filled"))).alias("rep"),
+            F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"),
         ),
-        "template-files",
+        "template-places",
     )
-    stats = per_file.groupBy("template_id").agg(
-        F.min("first").alias("first"), F.min("rep").alias("rep"),
-        F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"),
+    wanted = places.select("template_id", F.explode(F.array_distinct(F.array("first", "rep"))).alias("at"))
+    wanted = materialize(wanted.where("at IS NOT NULL").select("template_id", "at.file_name", "at.place"), "wanted")
+    found = records_at(placed, wanted, ["template_id", "file_name", "place"])
+    at = F.col("place").eqNullSafe(F.col("first.place")) & F.col("file_name").eqNullSafe(F.col("first.file_name"))
+    rep = F.col("place").eqNullSafe(F.col("rep.place")) & F.col("file_name").eqNullSafe(F.col("rep.file_name"))
+    # Two rows a template at most, so these buffers hold what is kept in the end.
+    stats = found.join(places.withColumnRenamed("template_id", "_id"), F.col("template_id").eqNullSafe(F.col("_id"))).groupBy(
+        "template_id", "occurrence_count", "file_count"
+    ).agg(
+        F.max(F.when(at, F.col("template"))).alias("template"), F.max(F.when(at, F.col("_component"))).alias("_component"),
+        F.max(F.when(rep, F.col("text"))).alias("rep_log"),
     )
-    named = F.col("first.component")
+    named = F.col("_component")
     if components is not None:
         named = F.col("component")
         stats = stats.join(components.select("template_id", "component"), "template_id", "left")
     return (
         stats.join(vote_signal(labelled_reps), "template_id", "left")
         .select(
-            "template_id", "first.template", var_count(F.col("first.template")).alias("var_count"),
+            "template_id", "template", var_count(F.col("template")).alias("var_count"),
             "golden_signal", "fault_category", "occurrence_count", named.alias("component"),
-            F.coalesce("rep.text", F.lit("")).alias("rep_log"), "file_count",
+            F.coalesce("rep_log", F.lit("")).alias("rep_log"), "file_count",
         )
     )
 

@@ -8,16 +8,13 @@ from logtide.functions.text import base_name, escape_tags, newline_breaks
 from logtide.operators.classify import (
     DEFAULT_FAULT, DEFAULT_SIGNAL, first_fault, is_info, signal_distribution,
 )
+from logtide.plans.places import first_records
 
 
 def template_summary(labelled: DataFrame) -> DataFrame:
     """Per template and file: first text, first signal, records, share of all."""
     return summary_of_representatives(
-        labelled.groupBy("template_id", "file_name").agg(
-            F.min_by("text", "record_id").alias("text"),
-            F.min_by("golden_signal", "record_id").alias("golden_signal"),
-            F.count(F.lit(1)).alias("n"),
-        )
+        first_records(labelled, ["template_id", "file_name"], ["text", "golden_signal"])
     )
 
 

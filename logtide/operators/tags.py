@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.functions.tokens import bracket_tokens, match_tag
 from logtide.plans.common import join_by_key
+from logtide.plans.places import first_records
 
 
 def load_tags(spark: SparkSession, path: str) -> dict:
@@ -31,10 +32,7 @@ def _component(first: DataFrame, config: dict) -> DataFrame:
 def template_components(templated: DataFrame, config: dict) -> DataFrame:
     """Component per template, read off the template's first record."""
     return _component(
-        templated.groupBy("template_id").agg(
-            F.min_by("text", "record_id").alias("text"), F.count(F.lit(1)).alias("n")
-        ),
-        config,
+        first_records(templated, ["template_id"], ["text"]), config
     )
 
 

@@ -12,6 +12,7 @@ from logtide.functions.text import annotated_line, duration_label, preview, stri
 from logtide.functions.timestamps import epoch_to_utc_string
 from logtide.operators.classify import first_fault, is_info
 from logtide.plans.common import join_by_key, materialize
+from logtide.plans.places import place_in_file, place_order
 from logtide.sources.sinks import CHUNK_BYTES, chunk_by_bytes
 
 # Window length, and the signals a viewer shows in colour.
@@ -26,14 +27,16 @@ def window_items(labelled: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFram
 
 
 def window_templates(records: DataFrame, *keys: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Records reduced to one row per window, template and further keys."""
-    return (
-        window_items(records, seconds).groupBy("win", "template_id", *keys)
-        .agg(
-            F.min_by(F.struct("record_id", "epoch"), "record_id").alias("first"),
-            F.count(F.lit(1)).alias("n"),
-        )
+    """Records reduced to one row per window, template, file and further keys."""
+    placed = window_items(records, seconds).select(
+        "win", "template_id", F.col("record_id.file_name").alias("file_name"), *keys, "epoch",
+        place_in_file().alias("place"),
+    )
+    found = placed.groupBy("win", "template_id", "file_name", *keys).agg(
+        F.min("place").alias("place"), F.min_by("epoch", "place").alias("epoch"), F.count(F.lit(1)).alias("n")
     )
+    first = F.struct(place_order("file_name", "place").alias("place"), "epoch").alias("first")
+    return found.select("win", "template_id", "file_name", *keys, first, "n")
 
 
 def windows_of_templates(reduced: DataFrame) -> DataFrame:

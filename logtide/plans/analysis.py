@@ -53,7 +53,7 @@ class Analysis:
     @cached_property
     def windows(self) -> DataFrame:
         # Labels join the reduced rows, not the records.
-        reduced = windows.window_templates(self.templated, "file_name")
+        reduced = windows.window_templates(self.templated)
         labelled = classify.spread_signals(reduced, self.signals)
         return materialize(windows.windows_of_templates(labelled), "windows")
 

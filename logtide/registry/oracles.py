@@ -176,6 +176,17 @@ _order(
 )
 _order("ts_source_zone", "strftime(t, '%Y/%m/%d-%H:%M:%S')", "epoch_us(t) - 32400000000")
 _order("ts_loose", "strftime(t, '%Y-%m-%d %H:%M:%S')", valid=f"{_CLOCK} > 0")
+# Of the forms, in the order of their list: date and time as ISO, with slashes, without year, in brackets (a time to the
+# main patterns already), time alone, with weekday, and those that a shorter span overlaps from the left. All others are none.
+_TODAY = f"epoch_us(TIMESTAMP '1996-06-01') + {_CLOCK}"
+_SAME_YEAR = f"epoch_us(make_timestamp(1996, month(t), day(t), 0, 0, 0)) + {_CLOCK}"
+ORACLES["ts_loose_forms"] = f"""SELECT o_orderkey AS line_seq, CASE WHEN {_CLOCK} > 0 THEN CASE o_orderkey % 14
+ WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' WHEN 1 THEN strftime(t, '%Y/%m/%d %H:%M:%S')
+ WHEN 2 THEN strftime(t, '%b %d %H:%M:%S') WHEN 4 THEN strftime(t, '%Y-%m-%d %H:%M:%S') WHEN 6 THEN strftime(t, '%H:%M:%S.%g')
+ WHEN 9 THEN strftime(t, '%a, %d %b %Y %H:%M:%S') || ' GMT' WHEN 12 THEN strftime(t, '%Y-%m-%d %H:%M:%S')
+ WHEN 13 THEN strftime(t, '%Y-%m-%dT%H:%M:%S') END END AS ts_text, CASE WHEN {_CLOCK} > 0 THEN CASE o_orderkey % 14
+ WHEN 0 THEN epoch_us(t) WHEN 1 THEN epoch_us(t) WHEN 2 THEN {_SAME_YEAR} WHEN 4 THEN epoch_us(t) WHEN 6 THEN {_TODAY} WHEN 9 THEN epoch_us(t)
+ WHEN 12 THEN epoch_us(t) WHEN 13 THEN epoch_us(t) END END AS epoch_us FROM {_ORDERS}"""
 ORACLES["ts_pattern_hits"] = "SELECT 2 AS pattern_index, count(*) AS hits FROM events"
 
 ORACLES["display_values"] = WITH_LABELLED + f"""SELECT event_id AS id, {utc('epoch')} AS utc,

@@ -345,6 +345,31 @@ def ts_loose(spark, sf_dir):
     return _order_times(spark, sf_dir, "concat('(', date_format(t, 'yyyy-MM-dd HH:mm:ss'), ')')")
 
 
+# One form of each of the looser patterns, and spans that overlap, by the remainder of the order's key.
+LOOSE_FORMS = [
+    "'x(', date_format(t, \"yyyy-MM-dd'T'HH:mm:ss.SSS\"), 'Z)'",
+    "'x(', date_format(t, 'yyyy/MM/dd HH:mm:ss'), ')'",
+    "'x(', date_format(t, 'MMM dd HH:mm:ss'), ')'",
+    "'x(', date_format(t, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000)'",
+    "'x[', date_format(t, 'yyyy-MM-dd HH:mm:ss'), ']'",
+    "'x(', date_format(t, 'yyyy-MM-dd) (HH:mm:ss'), ')'",
+    "'x(', date_format(t, 'HH:mm:ss.SSS'), ')'",
+    "'at last 1638360645 (', date_format(t, 'HH:mm:ss'), ')'",
+    "'at last 1638360645123 (', date_format(t, 'HH:mm:ss'), ')'",
+    "'x(', date_format(t, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT)'",
+    "'x(', date_format(t, 'yyyyDDD HH:mm:ss'), '.50)'",
+    "'at last 5f2c6e00 (', date_format(t, 'HH:mm:ss'), ')'",
+    "'x(', date_format(t, 'HH:mm:yyyy-MM-dd HH:mm:ss'), ')'",
+    "'x(', date_format(t, \"yyyy/MM/yyyy-MM-dd'T'HH:mm:ss\"), ')'",
+]
+
+
+@query
+def ts_loose_forms(spark, sf_dir):
+    forms = " ".join(f"WHEN {n} THEN concat({form})" for n, form in enumerate(LOOSE_FORMS))
+    return _order_times(spark, sf_dir, f"CASE o_orderkey % {len(LOOSE_FORMS)} {forms} END")
+
+
 @query
 def ts_pattern_hits(spark, sf_dir):
     return tm.pattern_hits(tables.event_lines(spark, sf_dir))
