@@ -91,12 +91,13 @@ class TextEncoder:
         self.keeps_space = keeps_space
         self.wide = re.compile(r"\s (?!\S)")
         self.lines = re.compile(r" ?\S+(?:\n\S+)+")
-        self.marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
+        self.marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?#$%&*]+)")
         # Letters that both sides lower alike, then the runs that reach the merges as they are.
         self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
         self.plain = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+" if keeps_space else r"[a-zà-öø-ÿß]+")
         self.model = self.tokenizer.model
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.blank = self.letters[ord(" ")]
         self.cache: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -104,13 +105,17 @@ class TextEncoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _merged(self, run: str) -> bytes:
-        spelled = run.encode().decode("latin-1").translate(self.letters)
+        if run.isascii():  # letters stand for themselves
+            spelled = run.replace(" ", self.blank)
+        else:
+            spelled = run.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _atoms(self, piece: str) -> list[str]:
         """Parts of a piece that share no token: around single line ends, and before the marks behind a word."""
         atoms = []
-        for n, part in enumerate(piece.split("\n") if self.lines.fullmatch(piece) else [piece]):
+        lines = "\n" in piece and self.lines.fullmatch(piece)
+        for n, part in enumerate(piece.split("\n") if lines else (piece,)):
             if n and self.keeps_space:
                 atoms.append("\n")
             found = self.marked.fullmatch(part)
