@@ -131,6 +131,18 @@ class TextEncoder:
         )
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Nothing made here is cyclic, so the collector, which would walk all pieces, waits."""
+        import gc
+
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         whole = [self._whole(t) for t in texts]
         # A separator in front of the space keeps it with the word that follows.
         pieces = [

@@ -45,7 +45,8 @@ def ids_of(found):
 
 @pytest.mark.parametrize("path, keeps_space", [(BYTES, True), (WORDS, False)])
 def test_encoder_equals_library(library, path, keeps_space, document_rows):
-    texts = ODD + [t for _, t in document_rows]
+    marks = ["word$$$ Über&&& x²%% don't*** a.# É##", "a$b c*.d %%% q$ $q #", "naïve%\nnext* line&&\nend"]
+    texts = ODD + marks + [t for _, t in document_rows]
     got = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in TextEncoder(path, keeps_space)(texts)]
     assert got == [e.ids for e in library[path].encode_batch(texts, add_special_tokens=False)]
 
