@@ -254,3 +254,30 @@ def test_short_passages_go_whole(spark, make, tmp_path):
         assert rows[2 * i].text == texts[2 * i] and rows[2 * i].n_lines_removed == 0
         assert rows[2 * i + 1].text == f"own {i} 1 a\nown {i} 1 b\nown {i} 1 c"
         assert rows[2 * i + 1].n_lines_removed == n
+
+
+def test_spans_hold_each_window_once_and_are_cut_by_content():
+    rng = random.Random(6)
+    lines = [f"line {rng.random()}" for _ in range(300)]
+    found = line_chunks.spans(lines)
+    assert [i for a, b in found for i in range(a, b + 1)] == list(range(299))
+    assert 40 < len(found) < 200
+    texts = lambda rows: {"\n".join(rows[a : b + 2]) for a, b in line_chunks.spans(rows)}
+    assert len(texts(lines) & texts(["in front", *lines[:150], "amid", *lines[150:]])) > 0.9 * len(found)
+    assert [line_chunks.spans(rows) for rows in ([], ["a"], ["a", "b"])] == [[], [], [(0, 0)]]
+
+
+def test_shared_lines_go_by_rolling_chunks(make):
+    """Chunks that an earlier document holds go whole, and only lines of the chunks that stay are compared."""
+    rng = random.Random(7)
+    text = "\n".join(f"line {rng.random()}" for _ in range(40))
+    docs = make([text, "own\n" + text, text])
+    lost = line_chunks._lost_chunks(docs, 2, line_chunks._shared_chunks)
+    counts = {r.doc_id: len(r.digests) for r in lost.collect()}
+    n = len(line_chunks.spans(text.split("\n")))
+    assert counts[2] == n and n - 2 <= counts[1] <= n
+    kept = Counter(r.doc_id for r in line_chunks.kept_windows(docs, lost).collect())
+    assert kept[0] == 39 and 2 not in kept and 0 < kept[1] < 20
+    rows = {r.doc_id: r for r in line_chunks.drop_shared_lines(docs, report=True).collect()}
+    assert (rows[1].text, rows[2].text) == ("own", "")
+    assert (rows[2].n_chunks, rows[2].n_removed, rows[2].n_lines_removed) == (n, n, 40)
