@@ -6,19 +6,22 @@ rows (``window_items``), because one window may hold any share of the data.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtide.functions.text import annotated_line, duration_label, preview, strip_tags
 from logtide.functions.timestamps import epoch_to_utc_string
 from logtide.operators.classify import first_fault, is_info
-from logtide.plans.common import join_by_key, materialize
+from logtide.plans.common import join_by_key, materialize, running_sums
 from logtide.plans.places import place_in_file, place_order
 from logtide.sources.sinks import CHUNK_BYTES, chunk_by_bytes
 
 # Window length, and the signals a viewer shows in colour.
 WINDOW_SECONDS = 30
 COLOURED = ["latency", "error", "availability", "saturation", "traffic"]
-SHARD = 5_000  # sets compared with a probing set in one join group
+SHARD = 20_000  # sets of a block at most; one of many members counts as several
+MEMBERS = 128  # members that a set has for each time it counts once more
 
 
 def window_items(labelled: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
@@ -78,58 +81,91 @@ def window_counts(windows: DataFrame) -> DataFrame:
     )
 
 
-def _marks(seed: int) -> Column:
-    """The members of a set as bits of a long: a set can only be held by one that has all its bits."""
-    bit = F.pmod(F.xxhash64("tid", F.lit(seed)), F.lit(64)).cast("int")
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+class SetBlock:
+    """Sets in order of rank, and for each member which of them have it: bits if many do, places if few."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        sizes = np.array([len(s) for s in sets])
+        members = np.concatenate(sets) if self.n else np.empty(0, np.int64)
+        places = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        order = np.argsort(members, kind="stable")
+        self.tids, starts = np.unique(members[order], return_index=True)
+        self.lists = np.split(places[order], starts[1:])
+        self.at = {tid: i for i, tid in enumerate(self.tids.tolist())}
+        self.bits: dict[int, np.ndarray] = {}
+        for i, held in enumerate(self.lists):
+            # 64 places take as much room as all bits do.
+            if len(held) * 64 >= self.n:
+                flags = np.zeros(-(-self.n // 64) * 64, np.bool_)
+                flags[held] = True
+                self.bits[i] = np.packbits(flags, bitorder="little").view(np.uint64)
+
+    def first_with(self, tids: list[int]) -> int | None:
+        """The place of the first set that has all the members."""
+        held = [self.at.get(t) for t in tids]
+        if not held or None in held:
+            return None
+        held.sort(key=lambda i: len(self.lists[i]))
+        rarest = held[0]
+        if rarest in self.bits:
+            left = self.bits[rarest].copy()
+            for k, i in enumerate(held[1:], 1):
+                np.bitwise_and(left, self.bits[i], out=left)
+                if k % 8 == 0 and not left.any():
+                    return None
+            words = np.flatnonzero(left)
+            if not len(words):
+                return None
+            word = int(left[words[0]])
+            return int(words[0]) * 64 + (word & -word).bit_length() - 1
+        found = self.lists[rarest]
+        for i in held[1:]:
+            if i in self.bits:
+                word = self.bits[i][found >> 6]
+                found = found[(word >> (found & 63).astype(np.uint64)) & np.uint64(1) == 1]
+            else:
+                found = np.intersect1d(found, self.lists[i], assume_unique=True)
+            if not len(found):
+                return None
+        return int(found[0])
+
+
+def _first_holders(key: tuple, asking: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """For each asking set the first set of a block that holds it, if any does."""
+    asked = asked.sort_values("place")
+    block = SetBlock(list(asked["tids"]))
+    found = [block.first_with(t.tolist()) for t in asking["tids"]]
+    rows = [(s, i) for s, i in zip(asking["set_id"], found) if i is not None]
+    at = [i for _, i in rows]
+    return pd.DataFrame({
+        "set_id": pd.Series([s for s, _ in rows], dtype="int64"),
+        "place": asked["place"].iloc[at].to_numpy(dtype="int64"), "root_id": asked["set_id"].iloc[at].to_numpy(dtype="int64"),
+    })
 
 
 def containing_sets(sets: DataFrame) -> DataFrame:
     """For distinct sets (set_id, rank, tids): the first set by rank that holds it.
 
-    Sets travel as ids. Each set asks only the sets that hold its rarest member; long posting
-    lists are cut into shards, and the asking set goes to every shard. Pairs that sizes and bits
-    allow are then counted: a set holds another if they have as many members in common as that has.
+    ``rank`` puts larger sets first, so a set is held only by itself and sets before it. Blocks
+    of sets in a row, cut by their members, ask themselves and the blocks before them; a block
+    is asked by intersecting the bits of a set's members, rarest first, so that no pairs of sets
+    are made. A set without members or id has none that holds it.
     """
-    ranks = sets.select("set_id", "rank")
-    members = materialize(sets.select("set_id", F.explode("tids").alias("tid")), "members")
-    sizes = materialize(
-        members.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"), _marks(1).alias("bits"), _marks(2).alias("more")),
-        "set-sizes",
+    placed = materialize(running_sums(
+        sets.where((F.size("tids") > 0) & F.col("set_id").isNotNull()).select("set_id", "rank", "tids"), [F.col("rank")],
+        {"place": F.lit(1).cast("long"), "weight": F.floor(F.size("tids") / MEMBERS) + 1},
+    ).select("set_id", "place", "tids", F.floor(F.col("weight") / SHARD).cast("int").alias("block")), "ranked-sets")
+    last = placed.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    asking = placed.select("set_id", "tids", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), "block")).alias("b"))
+    asked = placed.select(
+        "set_id", "place", "tids", F.explode(F.sequence("block", F.lit(last))).alias("a"), F.col("block").alias("b")
     )
-    spread = members.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    spread = spread.withColumn("shards", F.ceil(F.col("df") / SHARD))
-    rarest = members.join(spread, "tid").groupBy("set_id").agg(
-        F.min(F.struct("df", "tid", "shards")).alias("p")
-    )
-    asking = rarest.join(sizes, "set_id").select(
-        F.col("p.tid").alias("tid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.shards") - 1)).alias("shard"),
-        F.col("set_id").alias("small_id"), F.col("size").alias("small"), F.col("bits").alias("b1"), F.col("more").alias("b2"),
-    )
-    asked = rarest.select("p.tid", "p.shards").distinct()
-    postings = members.join(asked, "tid").join(sizes, "set_id").select(
-        "tid", F.pmod(F.xxhash64("set_id"), F.col("shards")).alias("shard"), F.col("set_id").alias("root_id"),
-        "size", "bits", "more",
-    )
-    none = F.lit(0).cast("long")
-    pairs = materialize(
-        asking.join(postings, ["tid", "shard"])
-        .where(F.col("small") <= F.col("size"))
-        .where(F.col("b1").bitwiseAND(F.bitwise_not("bits")) == none)
-        .where(F.col("b2").bitwiseAND(F.bitwise_not("more")) == none)
-        .select("small_id", "root_id", "small"), "set-pairs",
-    )
-    held = (
-        pairs.join(members.toDF("small_id", "tid"), "small_id")
-        .join(members.toDF("root_id", "tid"), ["root_id", "tid"], "left_semi")
-        .groupBy("small_id", "root_id", "small").agg(F.count(F.lit(1)).alias("common"))
-        .where(F.col("common") == F.col("small"))
-    )
-    return (
-        held.select("small_id", "root_id").join(ranks.toDF("root_id", "rank"), "root_id")
-        .groupBy("small_id").agg(F.min_by("root_id", "rank").alias("root_id"))
-        .withColumnRenamed("small_id", "set_id")
+    held = asking.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInPandas(
+        _first_holders, "set_id long, place long, root_id long"
     )
+    # Both results of merge_windows ask for the holders; the sets themselves move once.
+    return materialize(held, "set-holders").groupBy("set_id").agg(F.min_by("root_id", "place").alias("root_id"))
 
 
 def merge_windows(windows: DataFrame, seconds: int = WINDOW_SECONDS) -> tuple[DataFrame, DataFrame]:

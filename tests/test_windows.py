@@ -278,3 +278,28 @@ def test_series_count_each_window(spark):
         times = [e for _, _, e, tid, _ in rows if tid == t]
         assert found[t] == [sum(s <= e < s + width for e in times) for s in starts]
     assert 5 not in found  # too few distinct counts
+
+
+def test_set_blocks_find_the_first_that_holds():
+    """Members in many sets are bits and others places; both against every pair."""
+    import numpy as np
+
+    rng = random.Random(14)
+    for n, members in ((1, 3), (70, 6), (400, 9), (400, 300)):
+        sets = [sorted(rng.sample(range(members), rng.randint(1, min(members, 5)))) for _ in range(n)]
+        block = windows.SetBlock([np.array(s) for s in sets])
+        assert n < 400 or members < 300 or len(block.bits) < len(block.lists)
+        for asking in [*sets, [members], [0, members], []]:
+            wanted = next((i for i, s in enumerate(sets) if asking and set(asking) <= set(s)), None)
+            assert block.first_with(asking) == wanted
+
+
+def test_windows_that_share_one_template(spark):
+    """None holds another; windows without a time or a template with an id have no root."""
+    rows = [(w, float(w * 30), 1, False, [0, w], [0, w]) for w in range(1, 300)] + [(None, None, 1, False, [5], [5])]
+    rows.append((400, 12000.0, 1, False, [], []))
+    df = spark.createDataFrame(
+        rows, "win long, epoch double, n long, all_info boolean, tids array<long>, error_tids array<long>"
+    )
+    _, placed = windows.merge_windows(df)
+    assert {r.win: r.root_id for r in placed.collect()} == {w: w for w in range(1, 300)}
