@@ -15,6 +15,7 @@ MESSAGES = {
     "signup": "disk full on storage volume",
     "error": "connection failed with exception",
 }
+PART_ROWS = 100_000  # rows of a part at most, where a table is spread
 DATE_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are expensive to render or read: one that comes in fewer
-    splits than there are cores is spread over them, larger ones stay as read."""
+    """A table whose rows are expensive to render or read, spread over as many parts as its rows
+    need, at least one per core. One whose splits hold even shares of them already stays as read:
+    a file gives as many splits as its size allows, but its rows come in those where row groups begin."""
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.select(F.spark_partition_id().alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    rows, most = splits.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+    return df.repartition(parts) if most * parts > 2 * rows else df
 
 
 def _message() -> Column:

@@ -187,3 +187,22 @@ def test_run_metrics_are_taken_while_writing(spark, tmp_path):
     found = {r.name: r.value for r in run.rows(spark).collect()}
     assert found.keys() == {"rows", "odd", "write_time_ms"}
     assert (found["rows"], found["odd"]) == (150, 75) and found["write_time_ms"] > 0
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path, monkeypatch):
+    """A file that gives more splits than there are cores, with all rows in one of them."""
+    from logtide.sources import tables
+
+    monkeypatch.setattr(tables, "PART_ROWS", 1000)
+    spark.range(20000).withColumn("pad", F.sha2(F.col("id").cast("string"), 512)).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = tables.table(spark, str(tmp_path), "events")
+        assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        spread = tables.spread_table(spark, str(tmp_path), "events")
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 2000 and sum(sizes) == 20000
+        spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
+        assert tables.spread_table(spark, str(tmp_path), "none").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
