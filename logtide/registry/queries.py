@@ -1127,7 +1127,8 @@ def chunk_files(spark, sf_dir):
     path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     chunked = _chunked_lines(spark, sf_dir, 64 * 1024)
     name = F.concat_ws("-", F.col("chunk.after").cast("string"), F.col("chunk.alone").cast("int").cast("string"), F.col("chunk.piece").cast("string"))
-    chunked.select("file_name", "line_seq", "value", name.alias("part")).repartition("part").write.partitionBy("part").json(path)
+    line = F.to_json(F.struct("file_name", "line_seq", "value"))
+    sinks.write_chunk_folders(chunked.withColumn("part", name), path, line, ["file_name", "line_seq"], "json")
     back = spark.read.schema("file_name string, line_seq long, value string, part string").json(path)
     return back.groupBy("part").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes"),

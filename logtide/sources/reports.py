@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logtide.sources.sinks import CHUNK_BYTES, chunk_by_bytes
+from logtide.sources.sinks import CHUNK_BYTES, chunk_by_bytes, write_chunk_folders
 
 MANIFEST = "part string, documents long, bytes long, digest long"
 
@@ -32,10 +32,7 @@ def write_report(documents: DataFrame, folder: str, order: list[str], limit: int
         F.format_string("%012d", "chunk.piece"),
     )
     rows = chunked.withColumn("part", name)
-    (
-        rows.repartition("part").sortWithinPartitions("part", *order).select("part", "value")
-        .write.partitionBy("part").text(f"{folder}/documents")
-    )
+    write_chunk_folders(rows, f"{folder}/documents", F.col("value"), order, "txt")
     _figures(rows.select("part", "value")).write.json(f"{folder}/manifest")
 
 

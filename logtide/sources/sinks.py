@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from logtide.plans.common import join_by_key, running_sums
@@ -87,6 +92,58 @@ def chunk_sizes(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("bytes"))
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The path as the machines' own or mounted folder, None where it lies in another store."""
+    if path.startswith("/"):
+        path = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").rstrip("/") + path
+    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else None
+
+
+def write_chunk_folders(rows: DataFrame, path: str, line: Column, order: list[str], kind: str) -> None:
+    """A folder ``part=...`` for each ``part`` of the rows, with one file of their lines in the given order.
+
+    ``kind`` ends the files' names; parts are names without marks but hyphens. A part is written
+    by one task, so it has to be small. In folders of the machines the tasks write the files: Hadoop's file
+    system would start a process for each file, folder and checksum to set its mode, which takes
+    many times as long as the lines of a small chunk. A file gets its name once it is whole, so tasks can be
+    repeated. Other stores get them from Spark's writer.
+    """
+    lines = rows.select("part", *order, line.alias("value")).repartition("part").sortWithinPartitions("part", *order)
+    folder = _local_folder(rows.sparkSession, path)
+    if folder is None:
+        lines.select("part", "value").write.partitionBy("part").text(path)
+        return
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part, file, count = f".{uuid.uuid4().hex}", None, None, 0
+
+        def close() -> None:
+            if file is not None:
+                file.close()
+                os.replace(file.name, f"{folder}/part={part}/part-0.{kind}")
+
+        for batch in batches:
+            values = batch["value"].cast(pa.large_binary())
+            offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset :]
+            data = memoryview(values.buffers()[2] or b"")
+            runs, start = pc.run_end_encode(batch["part"]), 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if name != part:
+                    close()
+                    part = name
+                    os.makedirs(f"{folder}/part={part}", exist_ok=True)
+                    file = open(f"{folder}/part={part}/{own}", "wb")
+                file.write(data[offsets[start] : offsets[end]])
+                start = end
+            count += batch.num_rows
+        close()
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([count], pa.int64())})
+
+    os.makedirs(folder, exist_ok=True)
+    ended = lines.select("part", F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).alias("value"))
+    ended.mapInArrow(written, "rows long").agg(F.sum("rows")).collect()
+
+
 def report_size(sizes: DataFrame) -> DataFrame:
     """One row: chunks and rows in them."""
     return sizes.agg(F.count(F.lit(1)).alias("no_of_chunks"), F.sum("rows").alias("no_of_windows"))

@@ -125,6 +125,35 @@ def test_chunks_are_bounded_and_whole(spark):
     assert sorted(sizes) == sorted(again)
 
 
+def test_chunk_folders_hold_their_file_alone(spark, tmp_path, monkeypatch):
+    """No checksum beside it: Hadoop's file system, which writes one, starts processes for each file."""
+    rows = [(i, f"{i // 7}-0-{i % 3}", None if i == 50 else f"é {i} \\ \"" * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, part string, text string").repartition(4)
+    line = F.to_json(F.struct("id", "text"))
+    wanted = sorted((i, p, t) for i, p, t in rows)
+    for at in ("own", "other"):
+        path = str(tmp_path / at)
+        if at == "other":
+            monkeypatch.setattr(sinks, "_local_folder", lambda spark, path: None)
+        sinks.write_chunk_folders(df, path, line, ["id"], "json")
+        back = spark.read.schema("id long, text string, part string").json(path).select("id", "part", "text")
+        assert sorted(tuple(r) for r in back.collect()) == wanted
+        for part in {p for _, p, _ in rows}:
+            names = os.listdir(f"{path}/part={part}")
+            assert names == ["part-0.json"] if at == "own" else len(names) == 2
+            with open(next(f"{path}/part={part}/{n}" for n in names if not n.startswith("."))) as file:
+                assert [json.loads(x)["id"] for x in file] == sorted(i for i, p, _ in rows if p == part)
+    monkeypatch.undo()
+    sinks.write_chunk_folders(df.where("false"), str(tmp_path / "none"), line, ["id"], "json")
+    assert spark.read.schema("id long, text string, part string").json(str(tmp_path / "none")).count() == 0
+
+
+def test_which_folders_are_the_machines(spark):
+    assert sinks._local_folder(spark, "file:///a/b c") == sinks._local_folder(spark, "/a/b c") == "/a/b c"
+    assert sinks._local_folder(spark, "file:/a") == "/a"
+    assert sinks._local_folder(spark, "hdfs://host/a") is sinks._local_folder(spark, "viewfs:/a") is None
+
+
 def test_store_sink(spark, tmp_path):
     entries = spark.createDataFrame(
         [(i, i * 40000, f"f{i % 2}") for i in range(30)], "entry_id long, timestamp long, file_source string"
