@@ -42,7 +42,7 @@ def token_pieces(
         end, width = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in blocks(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist())):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"])):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]

@@ -49,23 +49,24 @@ def write_tokens(
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         encode = worker_kept(("encoder", path, keeps_space), lambda: TextEncoder(path, keeps_space))
-        end, row = end_id.to_bytes(4, "little"), 0
+        row = 0
         part = TaskContext.get().partitionId()
         for batch in blocks(batches):
-            ids = [i + end for i in encode(batch["text"].to_pylist())]
-            sizes = [len(i) // 4 for i in ids]
-            offsets = pa.array([0, *sizes]).cast(pa.int64()).to_numpy().cumsum()
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+            ids, sizes = encode.arrays(batch["text"])
+            values = np.insert(ids, np.cumsum(sizes), end_id).view(np.int32)
+            sizes, count = sizes + 1, batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64()),
+                    pa.array(np.full(count, part, np.int32)), pa.array(np.arange(row, row + count)),
                     batch["doc_id"], pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values)),
                 ],
                 ["part", "row", "doc_id", "n_tokens", "ids"],
             )
-            row += len(ids)
+            row += count
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     options = {

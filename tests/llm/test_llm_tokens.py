@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -34,6 +35,11 @@ def library():
     return {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    return {BYTES: TextEncoder(BYTES, True), WORDS: TextEncoder(WORDS, False)}
+
+
 @pytest.fixture(scope="module")
 def trie():
     return trie_bpe.TrieEncoder(BYTES)
@@ -51,6 +57,37 @@ def test_encoder_equals_library(library, path, keeps_space, document_rows):
     assert got == [e.ids for e in library[path].encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="abÉß×÷7 \n\t'.,#$-\0\u0301\u00a0\u2003日e", max_size=30), max_size=4))
+def test_encoder_equals_library_on_any_texts(library, encoders, texts):
+    for path, encoder in encoders.items():
+        ids, sizes = encoder.arrays(pa.array(["cut off", *texts], pa.string())[1:])
+        wanted = [e.ids for e in library[path].encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for w in wanted for i in w] and sizes.tolist() == [len(w) for w in wanted]
+
+
+@pytest.mark.parametrize("path, keeps_space", [(BYTES, True), (WORDS, False)])
+def test_encoder_forgets_pieces(library, monkeypatch, path, keeps_space):
+    """Beyond the bound only the pieces of the block at hand stay known; texts that go whole are never kept."""
+    monkeypatch.setattr("logtide.llm.texts.CACHED_PIECES", 50)
+    encoder = TextEncoder(path, keeps_space)
+    for n in range(0, 300, 15):
+        texts = [" ".join(f"{w}a{'bcdefghij'[i % 9]}{'klm'[i % 3]}," for i in range(n, n + 30)) for w in ("x", "y")]
+        texts.append(f"two  blanks {n} <|endoftext|>")
+        raw = b"".join(encoder(texts))
+        wanted = [i for e in library[path].encode_batch(texts, add_special_tokens=False) for i in e.ids]
+        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == wanted
+    assert len(encoder.cache) <= 120 and texts[-1] not in encoder.cache
+
+
+@pytest.mark.parametrize("path, keeps_space", [(BYTES, True), (WORDS, False)])
+def test_encoder_knows_a_word_before_any_marks(path, keeps_space):
+    """Each word is encoded once, whatever marks or line ends stand beside it."""
+    encoder = TextEncoder(path, keeps_space)
+    encoder(["x word word, word. word###\nword\nword x"])
+    assert sum("word" in piece for piece in encoder.cache) == 2  # behind a space and behind a line end
+
+
 def test_trie_equals_library(library, trie, document_rows):
     texts = ODD + [t for _, t in document_rows]
     for text, found in zip(texts, trie(texts)):
