@@ -108,10 +108,11 @@ def write_chunk_folders(rows: DataFrame, path: str, line: Column, order: list[st
     many times as long as the lines of a small chunk. A file gets its name once it is whole, so tasks can be
     repeated. Other stores get them from Spark's writer.
     """
-    lines = rows.select("part", *order, line.alias("value")).repartition("part").sortWithinPartitions("part", *order)
+    dealt = rows.repartition("part").sortWithinPartitions("part", *order)
+    lines = dealt.select("part", line.alias("value"))  # rendered here, so the shuffle carries no text twice
     folder = _local_folder(rows.sparkSession, path)
     if folder is None:
-        lines.select("part", "value").write.partitionBy("part").text(path)
+        lines.write.partitionBy("part").text(path)
         return
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
