@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -107,6 +109,29 @@ def test_memory_of_segments_is_bounded(sides, monkeypatch):
         assert len(aligner.newer) + len(aligner.older) < 80
 
 
+def test_memory_of_segments_is_small():
+    """A remembered segment is a string and its place in arrays; long segments are not remembered."""
+    aligner = token_alignment.Aligner(A, B)
+    aligner(["the word"])
+    texts = [" ".join(f"{x}ing{n}re, {n}tion{x}" for n in range(i, i + 100)) for i in range(0, 10_000, 100) for x in "ab"]
+    tracemalloc.start()
+    arrow = pyarrow.total_allocated_bytes()
+    for text in texts:
+        aligner([text])
+    held = tracemalloc.get_traced_memory()[0] + pyarrow.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 300 * len({word for text in texts for word in text.split()})
+    long = "ab" * 20_000 + " c"
+    assert ";".join(s[2] for s in aligner([long])[0]) == ";".join(plain_alignment((aligner.a, aligner.b), long)[2])
+    assert max(map(len, [*aligner.newer, *aligner.older])) < 1000
+
+
+def test_marks_behind_letters(sides, aligner):
+    texts = [" ".join(f"x{c}{m}y{c}{m}" for m in token_alignment.MARKS) for c in map(chr, range(33, 0x250))]
+    for text, found in zip(texts, aligner(texts)):
+        assert ";".join(s[2] for s in found) == ";".join(plain_alignment(sides, text)[2])
+
+
 def plain_runs(words, exponent=4, least=6):
     """Every lag over all words; of stretches found at several lags the smallest."""
     found = {}
