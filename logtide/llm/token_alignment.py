@@ -352,6 +352,7 @@ def alignments(
                 ],
                 ["row", "n_groups", "n_best", "count_sum", "rest"],
             )
+            pa.default_memory_pool().release_unused()
 
     texts = aligned.where(F.col("row").isNotNull())
     near = materialize(
