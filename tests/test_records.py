@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timezone
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.text import clean_line
 from logtide.operators import records
+from logtide.plans import common
 
 AS_OF = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
@@ -166,3 +168,38 @@ def test_interval_start_as_text(spark):
     df = spark.createDataFrame([(float(i * 3600),) for i in range(50)], "epoch double")
     for start in ("1970-01-01T05:00:00", "1970-01-01 06:00:00+01:00", 5 * 3600.0):
         assert sorted(r.epoch // 3600 for r in records.interval_filter(df, start, 7200).collect()) == [5, 6, 7]
+
+
+@pytest.mark.parametrize("bits", [0, 16])
+def test_folded_rows_hold_each_text_once(spark, bits):
+    """Texts for the classifier are made where they are read, and lines without time are not there twice."""
+    lines = [("a.log", i, v) for i, v in enumerate(["above all", "2024-01-01 10:00:00 one", "  more", "more 12"])]
+    lines += [("b.txt", i, v) for i, v in enumerate(["plain 1 line", None, "wwwOther"])]
+    df = spark.createDataFrame(lines, "file_name string, line_seq long, value string").withColumn("block_start", F.lit(0).cast("long"))
+    parsed = records.parse_lines(df, AS_OF)
+    folded = records.fold_chunks(parsed, bits)
+    assert not {"text", "clean_text"} & set(folded.columns)
+    assert folded.where("(texts IS NULL) = (lines IS NULL)").count() == 0
+    with common.passing_tables(spark):
+        timed, untimed = records.segment_records(parsed, bits)
+        built = {r.text: r for r in timed.unionByName(untimed).collect()}
+    assert set(built) == {"above all", "2024-01-01 10:00:00 one\n more\nmore 12", "plain 1 line", None, "wwwOther"}
+    shown = lambda r: (r.clean_text, r.digit_count, r.char_count, r.token_count)
+    assert shown(built["2024-01-01 10:00:00 one\n more\nmore 12"]) == ("one\nmore\nmore", 2, 13, 7)
+    assert shown(built["above all"]) == ("above all", 0, 9, 2)
+    assert shown(built["plain 1 line"]) == ("plain line", 1, 11, 3)
+    assert shown(built[None])[:3] == (None, None, None)
+
+
+def test_passing_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    names = lambda: sorted(name.split("-")[0] for name in os.listdir(tmp_path))
+    with common.passing_tables(spark) as outer:
+        with common.passing_tables(spark):
+            common.materialize(spark.range(3), "inner")
+            longer = common.materialize(spark.range(4), "longer", outer)
+            kept = common.materialize(spark.range(5), "kept", keep=True)
+        assert names() == ["kept", "longer"] and longer.count() == 4
+    plain = common.materialize(spark.range(6), "plain")
+    assert names() == ["kept", "plain"]
+    assert kept.count() == 5 and plain.count() == 6

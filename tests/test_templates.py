@@ -1,10 +1,13 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators import classify, tags, templates
+from logtide.plans import common
 from logtide.plans.common import dense_id, join_by_key
+from logtide.registry import queries
 
 
 def with_ids(spark, lines):
@@ -127,6 +130,83 @@ def test_a_leaf_of_100000_shapes_is_spread(spark):
     assert assigned.count() == 100_000
 
 
+def _tables(path):
+    return sorted(name.rsplit("-", 1)[0] for name in os.listdir(path) if not name.startswith("."))
+
+
+@pytest.mark.parametrize("split", [5, 10_000])
+def test_mining_leaves_its_results_alone(spark, tmp_path, monkeypatch, split):
+    """What is written on the way is deleted; texts of templates are kept once, shapes have numbers."""
+    records = with_ids(spark, mixed_shapes(400, 4))
+    shapes = templates.distinct_shapes(records)
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assigned, table = templates.mine_shapes(shapes, split=split)
+    assert assigned.count() == shapes.count() and table.count() == table.distinct().count()
+    assert _tables(tmp_path) == ["assigned", "templates"]
+    assert "template" not in spark.read.parquet(str(next(tmp_path.glob("assigned-*")))).columns
+
+
+def test_mined_query_deletes_its_cut_points(spark, tmp_path, monkeypatch):
+    rows = [(i, f"a{i % 7} start\nunit {i} down\n\nred  _ end", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.sql(
+        "SELECT id AS event_id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts, 'error' AS event_type,"
+        " id % 9 AS user_id, 1.5D AS value, '{}' AS props FROM range(50)"
+    ).write.parquet(f"{tmp_path}/in/events.parquet")
+    (tmp_path / "kept").mkdir()
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"{tmp_path}/kept")
+    found = queries.QUERIES["mine_templates"](spark, f"{tmp_path}/in").collect()
+    assert len(found) == 50 + 4 * 40
+    assert _tables(tmp_path / "kept") == ["assigned", "records", "templates"]
+    written = spark.read.parquet(str(next((tmp_path / "kept").glob("records-*"))))
+    assert [c for c, kind in written.dtypes if kind == "string" and c not in ("file_name", "shape_key")] == ["truncated_log", "shape"]
+    # A shape is written where it is not the text itself.
+    assert {r.shape for r in written.where("file_name = 's.txt'").collect()} == {None, "unit <:NUM:> down", "red end"}
+
+
+def test_ids_of_templates_with_the_same_first_record(spark):
+    """Records may come twice, with other texts: the smaller template goes first."""
+    twice = with_ids(spark, ["b one", "a two", "c"])
+    same = twice.withColumn("record_id", F.col("record_id").withField("line_seq", F.lit(3).cast("long")))
+    records = same.where("truncated_log <> 'c'").unionByName(twice.where("truncated_log = 'c'"))
+    _, table = templates.mine_templates(records)
+    assert {r.template: r.template_id for r in table.collect()} == {"c": 1, "a two": 2, "b one": 3}
+
+
+def test_large_leaf_is_learned_by_its_rare_tokens():
+    """12,000 shapes that share a frame and differ in the rest: only templates with enough rare tokens are compared."""
+    rng = random.Random(4)
+    frame = ["start", "the", "of", "the", "and"]
+    lines = list(dict.fromkeys(
+        " ".join([*frame, *(f"w{rng.randrange(3000)}" for _ in range(8))]) for _ in range(12_000)
+    ))
+    leaf = templates.LeafTemplates(0.7)
+    touched = 0
+
+    class Counted(set):
+        def __iter__(self):
+            nonlocal touched
+            touched += len(self)
+            return super().__iter__()
+
+    for line in lines:
+        words = line.split(" ")
+        leaf.learn(words)
+        for place in (0, 1):  # the sets of the frame are only looked up
+            held = leaf.holders and leaf.holders[place].get(words[place])
+            if type(held) is set:
+                leaf.holders[place][words[place]] = Counted(held)
+    assert len(leaf.templates) > 11_000 and touched == 0
+
+
+def test_a_single_template_needs_no_index():
+    leaf = templates.LeafTemplates(0.4)
+    assert leaf.learn(["a", "b", "c"]) == 0 and not leaf.holders
+    assert leaf.learn(["a", "b", "d"]) == 0 and leaf.templates == [["a", "b", "<*>"]]
+    assert leaf.learn(["x", "y", "d"]) == 1
+
+
 def test_connected(spark):
     from logtide.plans.groups import connected
 
